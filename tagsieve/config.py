@@ -15,6 +15,7 @@ BRIEF_TOP_CHUNKS = 30
 BRIEF_CHUNK_CHARS = 400
 TFIDF_MAX_TERMS = 20000
 LR_MAX_ITER = 2000
+LR_TOLERANCE = 1e-5
 SCORING_BATCH = 8
 SCREEN_ROWS = 20
 TAG_SEPARATOR = " | "
@@ -27,5 +28,7 @@ COLOCATE_MAX_CHARS = 4_000_000
 BROADCAST_MAX_CHARS = 32_000_000
 #: Copies of a reference posting when the reference set is too big to broadcast.
 TERM_SALTS = 32
+#: Cached training rows per task; every task returns one model-sized gradient.
+TRAIN_ROWS_PER_TASK = 2_000
 #: Ordered-prefix counts split the key space into this many ranges.
 RANK_BUCKETS = 65536

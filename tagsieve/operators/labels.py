@@ -97,9 +97,10 @@ def label_vocab(tags: DataFrame) -> DataFrame:
 
 def label_matrix(rows: DataFrame, vocab: DataFrame) -> DataFrame:
     """(row_id, idx) of the ones of the label matrix; unknown tags are ignored."""
-    order = vocab.agg(F.array_sort(F.collect_list(F.struct("idx", "tag"))).alias("v")).select("v.tag").scalar()
-    found = F.transform("tags", lambda tag: F.array_position(order, tag).cast("int") - 1)
-    ones = rows.select("row_id", F.explode_outer(F.filter(found, lambda i: i >= 0)).alias("idx"))
+    ordered = vocab.agg(F.array_sort(F.collect_list(F.struct("idx", "tag"))).alias("v")).select("v.tag").scalar()
+    listed = rows.select("row_id", "tags", ordered.alias("_order"))
+    found = F.transform("tags", lambda tag: F.array_position("_order", tag).cast("int") - 1)
+    ones = listed.select("row_id", F.explode_outer(F.filter(found, lambda i: i >= 0)).alias("idx"))
     return ones.filter("idx is not null")
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
@@ -16,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tagsieve import config
 from tagsieve.functions import scores, text
-from tagsieve.operators import labels, metrics, scoring, split
+from tagsieve.operators import labels, logistic, metrics, scoring, split
 from tagsieve.session import stored
 
 
@@ -96,48 +94,33 @@ def fit_linear(
     features: PipelineModel,
     column: str = "quotation",
     max_iter: int = config.LR_MAX_ITER,
-    parallelism: int = 4,
+    tolerance: float = config.LR_TOLERANCE,
 ) -> scoring.LinearModel:
-    """One balanced, L2-regularised logistic regression per tag of ``vocab``.
-
-    ``train`` is (row_id, quotation, tags). All fits read one cached feature table.
-    A tag without positive (or without negative) rows gets a constant score.
-    """
-    spark = train.sparkSession
+    """Balanced logistic regression for each tag of ``vocab`` from (row_id, quotation, tags)."""
     tags = [row["tag"] for row in vocab.orderBy("idx").collect()]
-    prepared = features.transform(with_grams(train, column)).select("features", "tags").persist()
+    n_rows = train.count()
+    counts = {row["tag"]: row["n"] for row in labels.tag_frequency(train).collect()}
+    vector = F.unwrap_udt("features")
+    known = F.array(*[F.lit(tag) for tag in tags]).cast("array<string>")
+    found = F.transform("tags", lambda tag: F.array_position(known, tag).cast("int") - 1)
+    tasks = max(1, -(-n_rows // config.TRAIN_ROWS_PER_TASK))
+    rows = (
+        features.transform(with_grams(train, column).repartition(tasks))
+        .select(vector.alias("v"), F.filter(found, lambda i: i >= 0).alias("labels"))
+        .select(F.col("v.indices").alias("indices"), F.col("v.values").alias("values"), "labels")
+        .persist()
+    )
+    vocabulary = features.stages[0].vocabulary
+    pos = np.array([counts.get(tag, 0) for tag in tags], dtype=float)
     try:
-        counts = {row["tag"]: row["n"] for row in labels.tag_frequency(prepared).collect()}
-        n = prepared.count()
-
-        def fit(tag: str) -> tuple[np.ndarray, float]:
-            pos = counts.get(tag, 0)
-            if pos == 0 or pos == n:
-                return np.zeros(len(features.stages[0].vocabulary)), float("-inf") if pos == 0 else float("inf")
-            label = F.array_contains("tags", tag)
-            rows = prepared.select(
-                "features",
-                label.cast("double").alias("label"),
-                F.when(label, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos))).alias("weight"),
-            )
-            fitted = LogisticRegression(
-                weightCol="weight", regParam=1.0 / n, standardization=False, maxIter=max_iter
-            ).fit(rows)
-            return fitted.coefficients.toArray(), fitted.intercept
-
-        with ThreadPoolExecutor(parallelism) as pool:
-            fits = list(pool.map(fit, tags))
+        coefs, bias = logistic.fit(rows, len(vocabulary), n_rows, pos, max_iter, tolerance)
     finally:
-        prepared.unpersist()
+        rows.unpersist()
     terms = pd.DataFrame(
-        {
-            "term": features.stages[0].vocabulary,
-            "idf": features.stages[1].getScalingVec().toArray(),
-            "coefs": list(np.column_stack([coefs for coefs, _ in fits])) if fits else [],
-        }
+        {"term": vocabulary, "idf": features.stages[1].getScalingVec().toArray(), "coefs": coefs.tolist()}
     )
-    table = spark.createDataFrame(terms, "term string, idf double, coefs array<double>")
-    return scoring.LinearModel(tags, table, [bias for _, bias in fits])
+    table = train.sparkSession.createDataFrame(terms, "term string, idf double, coefs array<double>")
+    return scoring.LinearModel(tags, table, bias.tolist())
 
 
 def score_rows(rows: DataFrame, model: scoring.LinearModel, column: str = "quotation") -> DataFrame:

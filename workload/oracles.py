@@ -305,7 +305,8 @@ BASE = ANNOTATED + [
     ("kept", "SELECT tag, n, row_number() OVER (ORDER BY tag) - 1 AS idx FROM freq WHERE n >= 5"),
     (
         "rows_kept",
-        "SELECT row_id, quotation, list_filter(tags, lambda t: list_contains((SELECT list(tag) FROM kept), t)) AS tags FROM tagged",
+        """SELECT row_id, quotation, list_filter(tags, lambda t: list_contains(allowed, t)) AS tags
+           FROM tagged CROSS JOIN (SELECT list(tag) AS allowed FROM kept)""",
     ),
 ]
 # The greedy walk, one row per step: how many training rows each tag has left.
