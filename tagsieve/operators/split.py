@@ -28,7 +28,8 @@ def _key() -> Column:
 
 
 def _cutoff(rows: DataFrame, target: Column) -> Column:
-    """Key of the ``target``-th row in hash order, or null.
+    """Key of the ``target``-th row in hash order, of the last row if there are
+    fewer, or null for none.
 
     The leading hash digits cut the order into ranges of about equal size. Counting
     them finds the range that holds the row, and only that range is ranked.
@@ -37,9 +38,10 @@ def _cutoff(rows: DataFrame, target: Column) -> Column:
     bucketed = rows.select("row_id", "_hash", F.substring("_hash", 1, digits).alias("_bucket"))
     counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(Window.orderBy("_bucket"))
+    last = F.sum("_n").over(Window.partitionBy())
     holding = (
         counts.withColumn("_upto", upto)
-        .withColumn("_rank", target - (F.col("_upto") - F.col("_n")))
+        .withColumn("_rank", F.least(target, last) - (F.col("_upto") - F.col("_n")))
         .filter((F.col("_rank") >= 1) & (F.col("_rank") <= F.col("_n")))
         .select("_bucket", "_rank")
     )
