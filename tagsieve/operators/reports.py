@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagsieve import config
 from tagsieve.functions import text
+from tagsieve.session import stored
 
 REPORT = ["doc_id", "arquivo"]
 TABLE_COLUMNS = ["arquivo", "trecho", "similaridade", "tags_preditas", "confianca", "numero_tags", "revisar"]
@@ -113,12 +114,14 @@ def brief_inputs(results: DataFrame, known: DataFrame, group: Sequence[str] = tu
     """One row per group: totals, tag counts, absent tags and evidence, as sorted arrays.
 
     An empty ``group`` takes all reports as one. Every array is short: tags are
-    at most the label list, evidence at most the top chunks.
+    at most the label list, evidence at most the top chunks. Four steps read the
+    results, so the needed columns are stored first.
     """
     group = list(group)
+    needed = ["doc_id", "arquivo", "trecho_id", "trecho", "tags_preditas", "confianca", "revisar"]
+    results = stored(results.select(*needed))
     if not group:
-        one = [F.lit("todos").alias("grupo")]
-        return brief_inputs(results.select(*one, "*"), known, ["grupo"])
+        results, group = results.withColumn("grupo", F.lit("todos")), ["grupo"]
     totals = results.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_total"), F.sum(F.col("revisar").cast("bigint")).alias("n_revisar")
     )

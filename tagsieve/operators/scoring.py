@@ -51,10 +51,12 @@ def score_linear(rows: DataFrame, model: LinearModel, column: str = "trecho") ->
     postings = listed.select(
         *KEYS,
         *[F.when(first, F.col(name)).alias(name) for name in others],
+        first.alias("_first"),
         F.col("_gram.term").alias("term"),
         F.col("_gram.tf").alias("_tf"),
     )
-    weighted = postings.join(F.broadcast(model.terms), "term", "left").withColumn("_w", F.col("_tf") * F.col("idf"))
+    known = postings.join(F.broadcast(model.terms), "term", "left").filter(F.col("idf").isNotNull() | F.col("_first"))
+    weighted = known.withColumn("_w", F.col("_tf") * F.col("idf"))
     sums = [F.sum(F.col("_w") * F.get("coefs", F.lit(i))).alias(f"_s{i}") for i in range(len(model.tags))]
     summed = weighted.groupBy(*KEYS).agg(
         *[F.max(name).alias(name) for name in others],

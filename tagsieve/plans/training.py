@@ -103,7 +103,8 @@ def fit_linear(
     vector = F.unwrap_udt("features")
     known = F.array(*[F.lit(tag) for tag in tags]).cast("array<string>")
     found = F.transform("tags", lambda tag: F.array_position(known, tag).cast("int") - 1)
-    tasks = max(1, -(-n_rows // config.TRAIN_ROWS_PER_TASK))
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    tasks = max(-(-n_rows // config.TRAIN_ROWS_PER_TASK), min(cores, -(-n_rows // 100)), 1)
     rows = (
         features.transform(with_grams(train, column).repartition(tasks))
         .select(vector.alias("v"), F.filter(found, lambda i: i >= 0).alias("labels"))

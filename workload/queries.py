@@ -132,7 +132,7 @@ def paragraphs(spark, sf_dir):
 
 
 def report_chunks(spark, sf_dir):
-    return chunks.report_chunks(inputs.reports(spark, sf_dir))
+    return chunks.report_chunks(inputs.spread(inputs.reports(spark, sf_dir)))
 
 
 def paragraph_chunks(spark, sf_dir):
@@ -145,7 +145,7 @@ def chunk_counts(spark, sf_dir):
 
 
 def tokens(spark, sf_dir):
-    return chunks.term_counts(inputs.reports(spark, sf_dir), ["doc_id"], "texto")
+    return chunks.term_counts(inputs.spread(inputs.reports(spark, sf_dir)), ["doc_id"], "texto")
 
 
 def ngrams(spark, sf_dir):
@@ -233,7 +233,7 @@ def report_coverage(spark, sf_dir):
 def report_status(spark, sf_dir):
     reports = inputs.reports(spark, sf_dir)
     found = analyze_plan.find_candidates(reports, inputs.references(spark, sf_dir))
-    return report_ops.report_status(chunks.chunk_counts(reports), similarity.union_all(found))
+    return report_ops.report_status(chunks.chunk_counts(inputs.spread(reports)), similarity.union_all(found))
 
 
 def report_tag_counts(spark, sf_dir):
@@ -502,7 +502,8 @@ def batch_scores(spark, sf_dir):
 
         return predict
 
-    found = chunks.report_chunks(inputs.reports(spark, sf_dir)).select("doc_id", "trecho_id", "trecho")
+    reports = inputs.spread(inputs.reports(spark, sf_dir))
+    found = chunks.report_chunks(reports).select("doc_id", "trecho_id", "trecho")
     scored = scoring.score_batches(found, make_predict, batch_size=256)
     return scoring.classify(scored, ["long", "many a", "many e", "many i"]).select(
         "doc_id", "trecho_id", "tags_preditas", "confianca", "numero_tags", "revisar"
