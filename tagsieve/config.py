@@ -25,7 +25,7 @@ TAG_SEPARATOR = " | "
 #: longer ones are spread over the cluster by (report, term) and (report, chunk).
 COLOCATE_MAX_CHARS = 4_000_000
 #: A reference set is broadcast only up to this many characters of quotations.
-BROADCAST_MAX_CHARS = 32_000_000
+BROADCAST_MAX_CHARS = 8_000_000
 #: Copies of a reference posting when the reference set is too big to broadcast.
 TERM_SALTS = 32
 #: Cached training rows per task; every task returns one model-sized gradient.

@@ -55,12 +55,16 @@ def chunk_counts(reports: DataFrame) -> DataFrame:
 
 
 def term_counts(rows: DataFrame, keys: list[str], column: str, bigrams: bool = False) -> DataFrame:
-    """(keys..., term, tf): how often every term occurs in a row's text."""
-    words = text.tokens(F.col(column))
-    if bigrams:
-        # A separate projection: the word list is used several times below.
-        listed = rows.select(*keys, words.alias("words"))
-        exploded = listed.select(*keys, F.explode_outer(text.with_bigrams(F.col("words"))).alias("term"))
-    else:
-        exploded = rows.select(*keys, F.explode_outer(words).alias("term"))
-    return exploded.filter("term is not null").groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(keys..., term, tf): how often every term occurs in a row's text.
+
+    ``keys`` tell the rows apart, so terms are counted inside the row: nothing
+    is shuffled. Each step is a projection of its own, as the next one reads the
+    list several times.
+    """
+    listed = rows.select(*keys, text.tokens(F.col(column)).alias("_words"))
+    terms = text.with_bigrams(F.col("_words")) if bigrams else F.col("_words")
+    ordered = listed.select(*keys, F.sort_array(terms).alias("_words"))
+    runs = ordered.select(*keys, "_words", text.run_starts(F.col("_words")).alias("_starts"))
+    counts = text.run_counts(F.col("_words"), F.col("_starts"))
+    exploded = runs.select(*keys, F.explode_outer(counts).alias("_run")).filter("_run is not null")
+    return exploded.select(*keys, "_run.term", F.col("_run.tf").cast("bigint").alias("tf"))

@@ -85,14 +85,17 @@ def prepare_references(
     )
 
 
-def by_report_parts(reports: DataFrame, max_chars: int = config.COLOCATE_MAX_CHARS) -> list[DataFrame]:
+def by_report_parts(
+    reports: DataFrame, max_chars: int = config.COLOCATE_MAX_CHARS, placed: bool = False
+) -> list[DataFrame]:
     """Split reports by length into inputs for the same operators.
 
     Ordinary reports are placed by id, once, as raw text: all later groupings
     stay in place. Very long ones are not, so that the postings of one huge
     report spread over the cluster; whether there are any is looked up first.
     Where the reports have an ``n_chars`` column, files answer that from their
-    statistics, without reading the texts.
+    statistics, without reading the texts. ``placed`` says that the reports come
+    from a table bucketed by id, which makes even that one exchange unnecessary.
     """
     length = F.col("n_chars") if "n_chars" in reports.columns else F.length("texto")
     plain = reports.select("doc_id", "nome", "texto")
@@ -101,10 +104,11 @@ def by_report_parts(reports: DataFrame, max_chars: int = config.COLOCATE_MAX_CHA
     partitions = int(reports.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     is_huge = F.coalesce(length > max_chars, F.lit(False))
     huge = reports.filter(is_huge).select("doc_id", "nome", "texto")
-    if huge.isEmpty():
-        return [plain.repartition(partitions, "doc_id")]
-    usual = reports.filter(~is_huge).select("doc_id", "nome", "texto")
-    return [usual.repartition(partitions, "doc_id"), huge]
+    split = not huge.isEmpty()
+    usual = reports.filter(~is_huge).select("doc_id", "nome", "texto") if split else plain
+    if not placed:
+        usual = usual.repartition(partitions, "doc_id")
+    return [usual, huge] if split else [usual]
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -121,11 +125,10 @@ def _maybe_broadcast(refs: References, side: DataFrame) -> DataFrame:
 def term_idf(chunks: DataFrame, refs: References) -> DataFrame:
     """(doc_id, trecho_id, term, tf, df_doc, df_ref, scale, idf): every chunk
     posting with its report's smoothed weight; ``scale`` is ``1 + ln(1 + n)``."""
-    # The report name is a key only so that this branch reads the same columns as
-    # the one that returns the text: both then share one exchange of the reports.
-    keys = [name for name in ("doc_id", "arquivo", "n_trechos", "trecho_id") if name in chunks.columns]
-    postings = term_counts(chunks, keys, "trecho")
-    in_report = Window.partitionBy("doc_id", "term")
+    postings = term_counts(chunks, ["doc_id", "arquivo", "n_trechos", "trecho_id"], "trecho")
+    # The report's name adds nothing to the key. It makes this branch read the same
+    # columns as the one that returns the texts, so both share one exchange of them.
+    in_report = Window.partitionBy("doc_id", "term", "arquivo")
     counted = postings.withColumn("df_doc", F.count(F.lit(1)).over(in_report))
     joined = counted.join(_maybe_broadcast(refs, refs.frequencies), "term", "left")
     df_ref = F.coalesce("df_ref", F.lit(0))

@@ -21,10 +21,11 @@ def find_candidates(
     refs: similarity.References,
     threshold: float = config.SIMILARITY_THRESHOLD,
     max_chars: int = config.COLOCATE_MAX_CHARS,
+    placed: bool = False,
 ) -> list[DataFrame]:
     """Stage 1 for (doc_id, nome, texto), as parts that keep their placement by report."""
     tune(reports.sparkSession)
-    parts = similarity.by_report_parts(reports, max_chars)
+    parts = similarity.by_report_parts(reports, max_chars, placed)
     return [similarity.candidates(report_chunks(part), refs, threshold) for part in parts]
 
 
@@ -37,13 +38,14 @@ def analyze(
     classification_threshold: float = config.CLASSIFICATION_THRESHOLD,
     review_below: float = config.REVIEW_THRESHOLD,
     max_chars: int = config.COLOCATE_MAX_CHARS,
+    placed: bool = False,
 ) -> DataFrame:
     """Every candidate chunk with its prediction, unordered.
 
     Reports are scored independently, so several reports are simply several rows.
     Input without chunks or candidates gives an empty frame with the full schema.
     """
-    parts = find_candidates(reports, refs, similarity_threshold, max_chars)
+    parts = find_candidates(reports, refs, similarity_threshold, max_chars, placed)
     classified = [
         scoring.classify(scorer(part), tags, classification_threshold, review_below) for part in parts
     ]

@@ -5,7 +5,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tagsieve import config
 from tagsieve.operators import chunks, similarity
 from tagsieve.plans import analyze
 from tests import plain
@@ -151,20 +150,41 @@ def test_no_references_is_an_error(spark, case):
         similarity.candidates(chunks.report_chunks(frame), empty)
 
 
-def exchanges(frame) -> list[str]:
-    plan = frame._jdf.queryExecution().executedPlan().toString()
-    return [line for line in plan.splitlines() if "Exchange " in line and "Reused" not in line]
+def final_plan(frame) -> str:
+    """The plan as it ran."""
+    frame.write.format("noop").mode("overwrite").save()
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
-def test_stage_one_moves_reports_once(case):
-    """Apart from broadcasts and the small reference side, one exchange: the reports by id."""
+def exchanges_of_reports(plan: str) -> list[str]:
+    return [
+        line for line in plan.splitlines() if " Exchange " in line and "doc_id" in line and "Reused" not in line
+    ]
+
+
+def test_stage_one_moves_the_texts_once(case):
+    """One exchange of the reports by id, shared by the branch that scores and the one
+    that returns texts; no posting and no pair is moved."""
     frame, refs, _ = case
-    analyze.tune(frame.sparkSession)
     (part,) = analyze.find_candidates(frame, refs)
-    lines = exchanges(part)
-    by_report = [line for line in lines if "doc_id" in line and "Broadcast" not in line]
-    assert by_report and all("REPARTITION_BY_NUM" in line for line in by_report)
-    plan = part._jdf.queryExecution().executedPlan().toString()
+    plan = final_plan(part)
+    (line,) = exchanges_of_reports(plan)
+    assert "REPARTITION_BY_NUM" in line
+    assert "ReusedExchange [doc_id" in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "Python" not in plan and "ArrowEval" not in plan
-    assert config.COLOCATE_MAX_CHARS > 0
+
+
+def test_bucketed_reports_are_not_moved_at_all(spark, case):
+    frame, refs, _ = case
+    spark.sql("drop table if exists bucketed_reports")
+    frame.write.bucketBy(8, "doc_id").saveAsTable("bucketed_reports")
+    try:
+        table = spark.table("bucketed_reports")
+        (part,) = analyze.find_candidates(table, refs, placed=True)
+        assert exchanges_of_reports(final_plan(part)) == []
+        (usual,) = analyze.find_candidates(frame, refs)
+        assert sorted(part.collect()) == sorted(usual.collect())
+    finally:
+        spark.sql("drop table bucketed_reports")
