@@ -45,9 +45,10 @@ def probability_names(tags: list[str]) -> list[str]:
     """Column names ``prob_<tag>`` with unusual characters as dots.
 
     Two tags that would share a name are an error: one would hide the other.
+    Column names ignore letter case.
     """
     names = ["prob_" + re.sub(r"[^0-9a-zA-Z_]", ".", tag) for tag in tags]
-    if len(set(names)) != len(names):
+    if len({name.lower() for name in names}) != len(names):
         raise ValueError("two tags give the same probability column name")
     return names
 

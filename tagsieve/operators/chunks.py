@@ -49,8 +49,8 @@ def chunk_counts(reports: DataFrame) -> DataFrame:
     return reports.select(
         "doc_id",
         F.col("nome").alias("arquivo"),
-        F.size(text.paragraphs(F.col("texto"))).alias("n_paragrafos"),
-        F.size(text.chunks(F.col("texto"))).alias("n_trechos"),
+        F.coalesce(F.size(text.paragraphs(F.col("texto"))), F.lit(0)).alias("n_paragrafos"),
+        F.coalesce(F.size(text.chunks(F.col("texto"))), F.lit(0)).alias("n_trechos"),
     )
 
 

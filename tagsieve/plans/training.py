@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagsieve import config
@@ -157,15 +157,17 @@ def coefficient_table(model: scoring.LinearModel) -> DataFrame:
     )
 
 
-def save_model(model: scoring.LinearModel, features: PipelineModel, folder: str) -> dict[str, str]:
-    """Fitted vectorizer and coefficients side by side."""
-    paths = {"vectorizer": f"{folder}/vectorizer", "classificador": f"{folder}/classificador"}
-    features.write().save(paths["vectorizer"])
+def save_model(model: scoring.LinearModel, folder: str, features: PipelineModel | None = None) -> dict[str, str]:
+    """Coefficients and, where given, the fitted vectorizer side by side."""
+    paths = {"classificador": f"{folder}/classificador"}
     coefficient_table(model).write.parquet(paths["classificador"])
+    if features is not None:
+        paths["vectorizer"] = f"{folder}/vectorizer"
+        features.write().save(paths["vectorizer"])
     return paths
 
 
-def load_model(spark, folder: str) -> scoring.LinearModel:
+def load_model(spark: SparkSession, folder: str) -> scoring.LinearModel:
     """Linear model from a stored coefficient table."""
     table = spark.read.parquet(f"{folder}/classificador")
     head = table.select("idx", "tag", "intercept").distinct().orderBy("idx").collect()

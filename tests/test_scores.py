@@ -28,8 +28,9 @@ def test_wide_and_long(spark):
     row = scoring.wide_scores(frame, TAGS).first().asDict()
     assert row["prob_.rea..Um"] == 0.1234 and row["prob_c"] == 0.3
     assert [tuple(r) for r in scoring.long_scores(frame, TAGS).collect()][1] == (0, 1, 1, "b", 0.2)
-    with pytest.raises(ValueError):
-        scores.probability_names(["a-b", "a.b"])
+    for tags in (["a-b", "a.b"], ["Um", "um"]):
+        with pytest.raises(ValueError):
+            scores.probability_names(tags)
 
 
 def test_linear_scores_equal_the_formula(spark):

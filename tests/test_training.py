@@ -103,7 +103,7 @@ def test_model_is_better_than_saying_nothing_and_survives_storage(spark, data, t
     model = training.fit_linear(data.train, data.vocab, features)
     scores = training.evaluate(data.test, model).first()
     assert scores["f1_macro"] > 0.6
-    training.save_model(model, features, str(tmp_path))
+    assert set(training.save_model(model, str(tmp_path), features)) == {"classificador", "vectorizer"}
     again = training.load_model(spark, str(tmp_path))
     assert again.tags == model.tags and again.intercepts == model.intercepts
     one = training.evaluate(data.test, again).first()

@@ -436,6 +436,11 @@ FULL_TAGS = sql_list(tables.full_tags())
 EDITED_TAGS = "list_filter(tags, lambda t: t NOT IN ('quality 0', 'quality 1'))"
 EXTENSION = "CASE lang WHEN 'en' THEN 'TXT' WHEN 'fr' THEN 'txt' WHEN 'de' THEN 'doc' ELSE 'pdf' END"
 
+LINEAR_SCORES = with_(
+    [("items", "SELECT item_id AS doc_id, 1 AS trecho_id, text AS trecho FROM benchmark")] + scoring("items"),
+    f"SELECT doc_id, trecho_id, idx, tag, {round6('prob')} AS prob FROM probs",
+)
+
 ORACLES = {
     "analyze": with_(RESULTS, "SELECT * FROM results ORDER BY confianca DESC, arquivo, trecho_id"),
     "read_quotations": with_(ANNOTATED, "SELECT ref_pos, quotation, codes FROM annotated"),
@@ -470,9 +475,14 @@ ORACLES = {
     "tag_lists": with_(ANNOTATED, f"SELECT ref_pos, array_to_string({tag_list('codes')}, ' | ') AS tags FROM annotated"),
     "term_idf": with_(IDF, f"SELECT doc_id, trecho_id, term, tf, df_doc, df_ref, {round6('idf')} AS idf FROM weighted"),
     "chunk_norms": with_(IDF, f"SELECT doc_id, trecho_id, {round6('norm')} AS norm FROM norms"),
-    "similarity_pairs": with_(PAIRS, f"SELECT doc_id, trecho_id, ref_pos, {round6('sim')} AS sim FROM pairs"),
+    "similarity_pairs": with_(PAIRS, f"SELECT doc_id, trecho_id, ref_pos, {round6('sim')} AS sim FROM pairs WHERE sim >= 0.05"),
     "nearest_reference": with_(PAIRS, f"SELECT doc_id, trecho_id, {round4('sim')} AS sim, ref_pos FROM nearest"),
     "candidates": with_(PAIRS, "SELECT * FROM candidates"),
+    "results": with_(
+        RESULTS,
+        f"""SELECT arquivo, trecho_id, similaridade, idx, tag, {round4('prob')} AS prob
+            FROM candidates JOIN probs USING (doc_id, trecho_id)""",
+    ),
     "results_tagged": with_(RESULTS, f"SELECT {TABLE_COLUMNS} FROM results WHERE tags_preditas IS NOT NULL"),
     "results_by_file": with_(RESULTS, f"SELECT {TABLE_COLUMNS} FROM results WHERE arquivo = (SELECT min(arquivo) FROM results)"),
     "report_names": with_(RESULTS, "SELECT DISTINCT arquivo FROM results ORDER BY arquivo"),
@@ -601,10 +611,8 @@ ORACLES = {
              (SELECT count(*) FROM chunks) AS n_trechos FROM flagged""",
         SPACED + CUT,
     ),
-    "linear_scores": with_(
-        [("items", "SELECT item_id AS doc_id, 1 AS trecho_id, text AS trecho FROM benchmark")] + scoring("items"),
-        f"SELECT doc_id, trecho_id, idx, tag, {round6('prob')} AS prob FROM probs",
-    ),
+    "linear_scores": LINEAR_SCORES,
+    "model_files": LINEAR_SCORES,
     "sigmoid_scores": with_(VECTORS, f"SELECT doc_id, idx, {round6('prob')} AS prob FROM vec_probs"),
     "decode_scores": with_(VECTORS, "SELECT * FROM vec_decoded"),
     "wide_scores": with_(

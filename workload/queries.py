@@ -175,8 +175,9 @@ def chunk_norms(spark, sf_dir):
 
 
 def similarity_pairs(spark, sf_dir):
+    """Pairs down to the lowest threshold a user may choose."""
     refs = inputs.references(spark, sf_dir)
-    return _per_part(spark, sf_dir, lambda part: similarity.similarity_pairs(part, refs)).select(
+    return _per_part(spark, sf_dir, lambda part: similarity.similarity_pairs(part, refs, 0.05)).select(
         "doc_id", "trecho_id", "ref_pos", round6(F.col("sim")).alias("sim")
     )
 
@@ -200,6 +201,21 @@ def analyze(spark, sf_dir):
     return analyze_plan.ordered(inputs.results(spark, sf_dir)).drop("probs")
 
 
+def results(spark, sf_dir):
+    """The result rows with their probabilities, one row per tag."""
+    found = inputs.results(spark, sf_dir)
+    listed = found.select("arquivo", "trecho_id", "similaridade", F.posexplode("probs").alias("idx", "prob"))
+    names = F.array(*[F.lit(tag) for tag in inputs.LABELS])
+    return listed.select(
+        "arquivo",
+        "trecho_id",
+        "similaridade",
+        "idx",
+        F.get(names, F.col("idx")).alias("tag"),
+        text.round4(F.col("prob")).alias("prob"),
+    )
+
+
 def results_tagged(spark, sf_dir):
     return report_ops.results_table(inputs.results(spark, sf_dir))
 
@@ -462,7 +478,17 @@ def run_stats(spark, sf_dir):
 
 def linear_scores(spark, sf_dir):
     """Every quotation scored with the fixed model, one row per tag."""
-    model = inputs.fixed_model(spark, sf_dir)
+    return _quotation_scores(spark, sf_dir, inputs.fixed_model(spark, sf_dir))
+
+
+def model_files(spark, sf_dir):
+    """The same after storing the model and loading it again."""
+    folder = fresh_folder(spark)
+    training.save_model(inputs.fixed_model(spark, sf_dir), folder)
+    return _quotation_scores(spark, sf_dir, training.load_model(spark, folder))
+
+
+def _quotation_scores(spark, sf_dir, model: scoring.LinearModel) -> DataFrame:
     rows = inputs.quotations(spark, sf_dir).select(
         F.col("ref_pos").alias("doc_id"), F.lit(1).alias("trecho_id"), F.col("quotation").alias("trecho")
     )
@@ -584,6 +610,7 @@ QUERIES = {
     "similarity_pairs": similarity_pairs,
     "nearest_reference": nearest_reference,
     "candidates": candidates,
+    "results": results,
     "results_tagged": results_tagged,
     "results_by_file": results_by_file,
     "report_names": report_names,
@@ -618,6 +645,7 @@ QUERIES = {
     "train_lr": train_lr,
     "run_stats": run_stats,
     "linear_scores": linear_scores,
+    "model_files": model_files,
     "sigmoid_scores": sigmoid_scores,
     "decode_scores": decode_scores,
     "wide_scores": wide_scores,
