@@ -102,10 +102,10 @@ def by_report_parts(
     # A fixed number of partitions: the work per byte of text is large, so
     # partitions must not be merged by their input size.
     partitions = int(reports.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    is_huge = F.coalesce(length > max_chars, F.lit(False))
-    huge = reports.filter(is_huge).select("doc_id", "nome", "texto")
+    huge = reports.filter(length > max_chars).select("doc_id", "nome", "texto")
     split = not huge.isEmpty()
-    usual = reports.filter(~is_huge).select("doc_id", "nome", "texto") if split else plain
+    rest = reports.filter(length.isNull() | (length <= max_chars)).select("doc_id", "nome", "texto")
+    usual = rest if split else plain
     if not placed:
         usual = usual.repartition(partitions, "doc_id")
     return [usual, huge] if split else [usual]

@@ -625,5 +625,5 @@ ORACLES = {
     "model_comparison": f1({"plain": 1.0, "sharp": 3.0}, 0.9),
     "result_files": with_(VECTORS, "SELECT * FROM vec_decoded"),
     "result_csv": "SELECT item_id AS ref_pos, text AS quotation FROM benchmark",
-    "label_files": with_(BASE, "SELECT tag, f.n, idx FROM freq f LEFT JOIN (SELECT tag, idx FROM kept) USING (tag)"),
+    "label_files": with_(BASE, "SELECT tag, f.n, coalesce(idx, -1) AS idx FROM freq f LEFT JOIN (SELECT tag, idx FROM kept) USING (tag)"),
 }

@@ -584,10 +584,10 @@ def label_files(spark, sf_dir):
     data = _set(spark, sf_dir)
     paths = sinks.write_label_tables(fresh_folder(spark), data.vocab, data.frequencies, data.removed)
     vocab = spark.read.parquet(paths["labels"])
-    stored = spark.read.parquet(paths["frequencia_tags"])
+    found = spark.read.parquet(paths["frequencia_tags"])
     if "tags_removidas" in paths:
-        stored = stored.unionByName(spark.read.parquet(paths["tags_removidas"]))
-    return stored.join(vocab, "tag", "left").select("tag", "n", "idx")
+        found = found.unionByName(spark.read.parquet(paths["tags_removidas"]))
+    return found.join(vocab, "tag", "left").select("tag", "n", F.coalesce("idx", F.lit(-1)).alias("idx"))
 
 
 QUERIES = {
