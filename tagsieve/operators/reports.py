@@ -119,9 +119,9 @@ def brief_inputs(results: DataFrame, known: DataFrame, group: Sequence[str] = tu
     """
     group = list(group)
     needed = ["doc_id", "arquivo", "trecho_id", "trecho", "tags_preditas", "confianca", "revisar"]
-    results = stored(results.select(*needed))
     if not group:
-        results, group = results.withColumn("grupo", F.lit("todos")), ["grupo"]
+        needed, group = [*needed, F.lit("todos").alias("grupo")], ["grupo"]
+    results = stored(results.select(*needed))
     totals = results.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_total"), F.sum(F.col("revisar").cast("bigint")).alias("n_revisar")
     )

@@ -17,19 +17,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagsieve import config
+from tagsieve.session import stored
 
 
 def order_hash(row_id: Column, seed: int = config.SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), row_id.cast("string")))
 
 
-def _key() -> Column:
-    return F.struct("_hash", "row_id")
-
-
-def _cutoff(rows: DataFrame, target: Column) -> Column:
-    """Key of the ``target``-th row in hash order, of the last row if there are
-    fewer, or null for none.
+def _cutoff(rows: DataFrame, target: int) -> tuple[str, str] | None:
+    """(hash, row_id) of the ``target``-th row in hash order, of the last row if
+    there are fewer, or None for none.
 
     The leading hash digits cut the order into ranges of about equal size. Counting
     them finds the range that holds the row, and only that range is ranked.
@@ -40,26 +37,33 @@ def _cutoff(rows: DataFrame, target: Column) -> Column:
     upto = F.sum("_n").over(Window.orderBy("_bucket"))
     last = F.sum("_n").over(Window.partitionBy())
     holding = (
-        counts.withColumn("_upto", upto)
-        .withColumn("_rank", F.least(target, last) - (F.col("_upto") - F.col("_n")))
+        counts.select("_bucket", "_n", (F.least(F.lit(target), last) - (upto - F.col("_n"))).alias("_rank"))
         .filter((F.col("_rank") >= 1) & (F.col("_rank") <= F.col("_n")))
-        .select("_bucket", "_rank")
-    )
-    ranked = bucketed.join(F.broadcast(holding), "_bucket").withColumn(
-        "_place", F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", "row_id"))
+        .first()
     )
-    return ranked.filter("_place = _rank").select(_key()).scalar()
+    if holding is None:
+        return None
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", "row_id"))
+    ranked = bucketed.filter(F.col("_bucket") == holding["_bucket"]).withColumn("_place", place)
+    row = ranked.filter(F.col("_place") == holding["_rank"]).first()
+    return row["_hash"], row["row_id"]
+
+
+def _upto(cutoff: tuple[str, str] | None) -> Column:
+    if cutoff is None:
+        return F.lit(False)
+    return F.struct("_hash", "row_id") <= F.struct(*[F.lit(part) for part in cutoff])
 
 
-def _test_size(rows: DataFrame, test_size: float) -> Column:
-    return rows.agg(F.rint(F.count(F.lit(1)) * F.lit(test_size)).cast("bigint")).scalar()
+def _test_size(rows: DataFrame, test_size: float) -> int:
+    return round(rows.count() * test_size)
 
 
 def random_split(rows: DataFrame, test_size: float = config.TEST_SIZE, seed: int = config.SEED) -> DataFrame:
-    """``rows`` plus ``is_test``, with an exact test size."""
+    """``rows`` (with string ``row_id``) plus ``is_test``, with an exact test size."""
     hashed = rows.withColumn("_hash", order_hash(F.col("row_id"), seed))
     cutoff = _cutoff(hashed, _test_size(rows, test_size))
-    return hashed.withColumn("is_test", F.coalesce(_key() <= cutoff, F.lit(False))).drop("_hash")
+    return hashed.withColumn("is_test", _upto(cutoff)).drop("_hash")
 
 
 def _refused(hashed: DataFrame, min_train: int) -> DataFrame:
@@ -104,9 +108,9 @@ def tag_preserving_split(
     """``rows`` (with string ``row_id`` and ``tags``) plus ``is_test``. Rows without tags may always move."""
     hashed = rows.withColumn("_hash", order_hash(F.col("row_id"), seed))
     slim = hashed.select("row_id", "_hash", "tags")
-    refused = _refused(slim, min_train)
+    refused = stored(_refused(slim, min_train))
     accepted = slim.join(F.broadcast(refused), "row_id", "left_anti")
     cutoff = _cutoff(accepted, _test_size(rows, test_size))
     flagged = hashed.join(F.broadcast(refused.withColumn("_refused", F.lit(True))), "row_id", "left")
-    is_test = F.col("_refused").isNull() & F.coalesce(_key() <= cutoff, F.lit(False))
+    is_test = F.col("_refused").isNull() & _upto(cutoff)
     return flagged.withColumn("is_test", is_test).select(*rows.columns, "is_test")

@@ -43,9 +43,9 @@ def training_set(
     min_train: int = config.MIN_TRAIN_PER_TAG,
 ) -> TrainingSet:
     """Merge corrections, clean, list tags, drop rare tags and split."""
-    # Five steps below read these rows.
+    # Many steps below read these rows and the short tag table.
     tagged = stored(labels.with_tags(labels.training_base(quotations, reviews)))
-    frequency = labels.tag_frequency(tagged)
+    frequency = stored(labels.tag_frequency(tagged))
     kept = labels.frequent_tags(frequency, min_count)
     rows = split.tag_preserving_split(labels.keep_tags(tagged, kept), test_size, seed, min_train)
     return TrainingSet(rows, labels.label_vocab(kept.select("tag")), kept, labels.rare_tags(frequency, min_count))

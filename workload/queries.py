@@ -222,7 +222,7 @@ def results_tagged(spark, sf_dir):
 
 def results_by_file(spark, sf_dir):
     """One report, untagged chunks included: the first by name among those with results."""
-    results = inputs.results(spark, sf_dir)
+    results = stored(inputs.results(spark, sf_dir))
     first = results.agg(F.min("arquivo")).scalar()
     return report_ops.results_table(results.filter(F.col("arquivo") == first), only_tagged=False)
 
@@ -403,7 +403,8 @@ def tag_split(spark, sf_dir):
 
 
 def random_split(spark, sf_dir):
-    return split.random_split(_base(spark, sf_dir)).select("row_id", "is_test")
+    rows = stored(_base(spark, sf_dir).select("row_id"))
+    return split.random_split(rows)
 
 
 def training_set(spark, sf_dir):
