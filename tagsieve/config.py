@@ -15,7 +15,7 @@ BRIEF_TOP_CHUNKS = 30
 BRIEF_CHUNK_CHARS = 400
 TFIDF_MAX_TERMS = 20000
 LR_MAX_ITER = 2000
-LR_TOLERANCE = 1e-5
+LR_TOLERANCE = 1e-4
 SCORING_BATCH = 8
 SCREEN_ROWS = 20
 TAG_SEPARATOR = " | "

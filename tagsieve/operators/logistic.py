@@ -23,7 +23,8 @@ _DIRECT = 16
 
 
 def _partial_gradients(model, n_rows: int, pos: np.ndarray, slice_rows: int = 256):
-    """Function over batches of (indices, values, labels) giving one summed row per task.
+    """Function over batches of (indices, values, labels) giving one summed row per task,
+    for the tags that the model names.
 
     Nested, so that it travels to the workers without this package.
     """
@@ -32,10 +33,9 @@ def _partial_gradients(model, n_rows: int, pos: np.ndarray, slice_rows: int = 25
         import numpy as np
         import pandas as pd
 
-        coefs, bias = model.value
-        n_tags = len(bias)
-        weight_pos, weight_neg = 0.5 / np.maximum(pos, 1), 0.5 / np.maximum(n_rows - pos, 1)
-        loss, grad, grad_bias = np.zeros(n_tags), np.zeros_like(coefs), np.zeros(n_tags)
+        coefs, bias, live = model.value
+        weight_pos, weight_neg = 0.5 / np.maximum(pos[live], 1), 0.5 / np.maximum(n_rows - pos[live], 1)
+        loss, grad, grad_bias = np.zeros(len(live)), np.zeros_like(coefs), np.zeros(len(live))
         for batch in batches:
             for start in range(0, len(batch), slice_rows):
                 part = batch.iloc[start : start + slice_rows]
@@ -43,9 +43,10 @@ def _partial_gradients(model, n_rows: int, pos: np.ndarray, slice_rows: int = 25
                 filled = np.flatnonzero(sizes)
                 row = np.repeat(np.arange(len(part)), sizes)
                 label_sizes = part["labels"].map(len).to_numpy()
-                truth = np.zeros((len(part), n_tags), dtype=bool)
+                truth = np.zeros((len(part), len(pos)), dtype=bool)
                 if label_sizes.sum():
                     truth[np.repeat(np.arange(len(part)), label_sizes), np.concatenate(part["labels"].to_list())] = True
+                truth = truth[:, live]
                 margin = np.tile(bias, (len(part), 1))
                 if len(row):
                     term = np.concatenate(part["indices"].to_list())
@@ -72,18 +73,18 @@ def _add_up(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _evaluate(rows: DataFrame, n_rows: int, pos: np.ndarray, penalty: float):
-    """Loss and gradient of every tag at a point; a point has the intercepts as row 0."""
+    """Loss and gradient of some tags, one per column of a point; intercepts are row 0."""
     context = rows.sparkSession.sparkContext
     tasks = rows.rdd.getNumPartitions()
 
-    def at(point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        model = context.broadcast((point[1:], point[0]))
+    def at(point: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        model = context.broadcast((point[1:], point[0], live))
         partial = rows.mapInPandas(_partial_gradients(model, n_rows, pos), "sums binary")
         if tasks > _DIRECT:
             groups = int(np.ceil(np.sqrt(tasks)))
             numbered = partial.withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(groups)))
             partial = numbered.groupBy("slot").applyInPandas(_add_up, "sums binary")
-        total = sum(np.frombuffer(row["sums"]) for row in partial.toLocalIterator()).reshape(-1, point.shape[1])
+        total = sum(np.frombuffer(row["sums"]) for row in partial.collect()).reshape(-1, point.shape[1])
         model.destroy()
         loss, grad = total[0].copy(), total[1:].copy()
         loss += 0.5 * penalty * (point[1:] ** 2).sum(axis=0)
@@ -94,17 +95,23 @@ def _evaluate(rows: DataFrame, n_rows: int, pos: np.ndarray, penalty: float):
 
 
 def _minimise(
-    at: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]],
+    at: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]],
     point: np.ndarray,
     max_iter: int,
     tolerance: float,
     memory: int = 10,
 ) -> np.ndarray:
-    """Limited-memory quasi-Newton steps for independent columns, each with its own step length."""
-    loss, grad = at(point)
+    """Limited-memory quasi-Newton steps for independent columns, each with its own
+    step length. A column whose gradient is small enough takes no further part."""
+    solution, live = point.copy(), np.arange(point.shape[1])
+    loss, grad = at(point, live)
     pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for _ in range(max_iter):
-        if np.abs(grad).max(initial=0.0) <= tolerance:
+        keep = np.abs(grad).max(axis=0) > tolerance
+        solution[:, live] = point
+        point, loss, grad, live = point[:, keep], loss[keep], grad[:, keep], live[keep]
+        pairs = [(step[:, keep], change[:, keep], inverse[keep]) for step, change, inverse in pairs]
+        if not live.size:
             break
         direction, scales = -grad, []
         for step, change, inverse in reversed(pairs):
@@ -118,20 +125,22 @@ def _minimise(
         for (step, change, inverse), scale in zip(pairs, reversed(scales)):
             direction = direction + (scale - inverse * (change * direction).sum(axis=0)) * step
         slope = (grad * direction).sum(axis=0)
-        length = np.ones(point.shape[1])
+        length, trial = np.ones(len(live)), point + direction
+        trial_loss, trial_grad = at(trial, live)
         for _ in range(30):
-            trial = point + length * direction
-            trial_loss, trial_grad = at(trial)
-            short = trial_loss > loss + 1e-4 * length * slope + 1e-12
-            if not short.any():
+            long = np.flatnonzero(trial_loss > loss + 1e-4 * length * slope + 1e-12)
+            if not long.size:
                 break
-            length = np.where(short, 0.5 * length, length)
+            length[long] *= 0.5
+            trial[:, long] = point[:, long] + length[long] * direction[:, long]
+            trial_loss[long], trial_grad[:, long] = at(trial[:, long], live[long])
         step, change = trial - point, trial_grad - grad
         product = (step * change).sum(axis=0)
         inverse = np.where(product > 1e-14, 1.0 / np.where(product > 1e-14, product, 1.0), 0.0)
         pairs = [*pairs[1 - memory :], (step, change, inverse)]
         point, loss, grad = trial, trial_loss, trial_grad
-    return point
+    solution[:, live] = point
+    return solution
 
 
 def fit(
