@@ -24,9 +24,21 @@ class Intake:
     rejected: DataFrame  # path, reason
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of every file below ``path``."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, content) of every file below ``path`` whose name matches."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return reader.load(path).select("path", "content")
+
+
+def read_folder(spark: SparkSession, path: str, strict: bool = False) -> Intake:
+    """``intake`` of a folder. Each content is read once: the names pick the files
+    of a kind, and for rejected ones only the names are read."""
+    return _assemble(
+        _with_kind(read_files(spark, path, "*.[tT][xX][tT]")),
+        _with_kind(read_files(spark, path, "*.[dD][oO][cC][xX]")),
+        _with_kind(read_files(spark, path)),
+        strict,
+    )
 
 
 def _with_kind(files: DataFrame) -> DataFrame:
@@ -109,12 +121,16 @@ def intake(files: DataFrame, strict: bool = False) -> Intake:
     without any text are dropped.
     """
     kinds = _with_kind(files)
+    return _assemble(kinds, kinds, kinds, strict)
+
+
+def _assemble(txt_files: DataFrame, docx_files: DataFrame, all_files: DataFrame, strict: bool) -> Intake:
     raw = F.col("content").cast("string")
-    plain = kinds.filter("extension = 'txt'").select(
+    plain = txt_files.filter("extension = 'txt'").select(
         "path", "name", (F.validate_utf8(raw) if strict else F.make_valid_utf8(raw)).alias("texto")
     )
-    documents = read_docx(kinds.filter("extension = 'docx'"))
-    unsupported = kinds.filter("extension not in ('txt', 'docx')")
+    documents = read_docx(docx_files.filter("extension = 'docx'"))
+    unsupported = all_files.filter("extension not in ('txt', 'docx')")
     reason = F.when(F.col("extension") == "doc", "old .doc files are not supported: save as .docx").otherwise(
         F.concat(F.lit("format '."), F.col("extension"), F.lit("' is not supported: send .txt or .docx"))
     )

@@ -63,8 +63,14 @@ def test_files_from_a_folder(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "one.txt").write_bytes("linha 1\r\nlinha 2".encode())
     (tmp_path / "sub" / "two.docx").write_bytes(docx("<w:p><w:r><w:t>dois</w:t></w:r></w:p>"))
-    found = reports.intake(reports.read_files(spark, str(tmp_path))).reports
-    assert {r["nome"]: r["texto"] for r in found.collect()} == {"one": "linha 1\r\nlinha 2", "two": "dois"}
+    (tmp_path / "three.TxT").write_bytes(b"tres")
+    (tmp_path / "four.pdf").write_bytes(b"x")
+    found = reports.read_folder(spark, str(tmp_path))
+    texts = {r["nome"]: r["texto"] for r in found.reports.collect()}
+    assert texts == {"one": "linha 1\r\nlinha 2", "two": "dois", "three": "tres"}
+    assert [r["path"].rsplit("/", 1)[-1] for r in found.rejected.collect()] == ["four.pdf"]
+    alike = reports.intake(reports.read_files(spark, str(tmp_path))).reports
+    assert {r["nome"]: r["texto"] for r in alike.collect()} == texts
 
 
 def test_pasted(spark):

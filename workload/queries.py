@@ -109,7 +109,7 @@ def read_reports(spark, sf_dir):
     folder = f"{fresh_folder(spark)}/reports"
     lines = inputs.table(spark, sf_dir, "documents").select("source", F.col("text").alias("value"))
     lines.write.partitionBy("source").option("compression", "none").text(folder)
-    found = report_files.intake(report_files.read_files(spark, folder).filter("path like '%.txt'")).reports
+    found = report_files.read_folder(spark, folder).reports
     return found.groupBy(F.regexp_extract("doc_id", "source=([^/]*)/", 1).alias("source")).agg(
         F.sum(F.length("texto").cast("bigint")).alias("n_chars"),
         F.sum((F.size(F.split("texto", "\n")) - 1).cast("bigint")).alias("n_lines"),
