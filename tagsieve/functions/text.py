@@ -28,9 +28,10 @@ _SENTENCE_GAP = rf"(?<=[.!?])[{BLANKS}]+"
 _TOKEN = r"[\p{L}\p{N}_]{3,}"
 _TAG_SEPARATORS = r"[,;|]"
 
-#: Finished pieces are moved to an outer list in blocks of this size, so that
-#: appending stays cheap on paragraphs with very many pieces.
-_BLOCK = 512
+#: Sentences are packed in segments of this many. A fold copies its state at every
+#: step, so a fold over all sentences of a very long paragraph would copy all its
+#: pieces again and again.
+_SEGMENT = 512
 
 
 def strip(text: Column) -> Column:
@@ -59,37 +60,53 @@ def paragraphs(text: Column) -> Column:
     return F.filter(blocks, lambda block: block != "")
 
 
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pack_sentences(paragraph: Column, max_chars: int = config.MAX_CHARS_CHUNK) -> Column:
     """Split a stripped paragraph longer than ``max_chars`` at sentence ends and
     fill pieces greedily. A single longer sentence stays whole."""
-    empty = F.struct(
-        F.array().cast("array<array<string>>").alias("blocks"),
-        F.array().cast("array<string>").alias("done"),
-        F.lit("").alias("open"),
-        F.lit(0).alias("size"),
-    )
+    nothing = F.array().cast("array<string>")
 
     def add(state: Column, sentence: Column) -> Column:
         size = F.length(sentence)
         fresh = state.size == 0
-        fits = state.size + size + F.when(fresh, 0).otherwise(1) <= max_chars
-        close = ~fits & ~fresh
-        full = F.size(state.done) >= _BLOCK
+        joins = ~fresh & (state.size + 1 + size <= max_chars)
         return F.struct(
-            F.when(close & full, F.concat(state.blocks, F.array(state.done))).otherwise(state.blocks).alias("blocks"),
-            F.when(close & full, F.array(state.open))
-            .when(close, F.concat(state.done, F.array(state.open)))
-            .otherwise(state.done)
-            .alias("done"),
-            F.when(fits & ~fresh, F.concat(state.open, F.lit(" "), sentence)).otherwise(sentence).alias("open"),
-            F.when(fits & ~fresh, state.size + size + 1).otherwise(size).alias("size"),
+            F.when(fresh | joins, state.done).otherwise(F.concat(state.done, F.array(state.open))).alias("done"),
+            F.when(joins, F.concat(state.open, F.lit(" "), sentence)).otherwise(sentence).alias("open"),
+            F.when(joins, state.size + 1 + size).otherwise(size).alias("size"),
         )
 
-    def finish(state: Column) -> Column:
-        tail = F.filter(F.array(state.open), lambda piece: piece != "")
-        return F.concat(F.flatten(state.blocks), state.done, tail)
+    def add_segment(state: Column, segment: Column) -> Column:
+        start = F.struct(nothing.alias("done"), state.open.alias("open"), state.size.alias("size"))
+        return _bind(
+            F.aggregate(segment, start, add),
+            lambda packed: F.struct(
+                F.concat(state.blocks, F.array(packed.done)).alias("blocks"),
+                packed.open.alias("open"),
+                packed.size.alias("size"),
+            ),
+        )
+
+    def pack(sentences: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(sentences) - 1) / _SEGMENT).cast("int"))
+        segments = F.transform(numbers, lambda i: F.slice(sentences, i * _SEGMENT + 1, F.lit(_SEGMENT)))
+        empty = F.struct(
+            F.array().cast("array<array<string>>").alias("blocks"), F.lit("").alias("open"), F.lit(0).alias("size")
+        )
+        return F.aggregate(
+            segments,
+            empty,
+            add_segment,
+            lambda state: F.concat(
+                F.flatten(state.blocks), F.filter(F.array(state.open), lambda piece: piece != "")
+            ),
+        )
 
-    packed = F.aggregate(F.split(paragraph, _SENTENCE_GAP), empty, add, finish)
+    packed = _bind(F.split(paragraph, _SENTENCE_GAP), pack)
     return F.when(F.length(paragraph) <= max_chars, F.array(paragraph)).otherwise(packed)
 
 
