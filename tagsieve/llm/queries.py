@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagsieve.llm import chat, pii, shards, urls
+from tagsieve.llm import bpe, chat, pii, shards, urls
 from tagsieve.llm.common import table
 
 #: For tests and examples; a production run passes its own secret.
@@ -22,6 +22,12 @@ URL_RULES = (
 )
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.pseudonymise(docs, "text", DEMO_KEY, "kinds")
@@ -64,6 +70,18 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary_path()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    read = bpe.decode(bpe.encode(docs, "text", path), "ids", path)
+    return read.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op10_weighted_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return shards.assign(docs, "doc_id", "text", shards.layout(24)).select(
@@ -74,6 +92,7 @@ def op10_weighted_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op3_url_filter": op3_url_filter,
+    "op8_prefix_bpe": op8_prefix_bpe,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_weighted_tree_shards": op10_weighted_tree_shards,
 }
