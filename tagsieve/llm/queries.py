@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagsieve.llm import bpe, chat, pii, shards, urls
+from tagsieve.llm import bpe, chat, decontam, pii, shards, simhash, urls
 from tagsieve.llm.common import table
 
 #: For tests and examples; a production run passes its own secret.
@@ -70,6 +70,27 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark")
+    found = decontam.mark(docs, "text", items, "item_id", "text")
+    hit = F.aggregate("benchmark.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        F.col("benchmark.n_words").alias("n_words"),
+        hit.alias("n_hit"),
+        F.size("benchmark.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("benchmark.items", ",").cast("binary"), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+def op7_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.link(docs, "doc_id", "text")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -92,6 +113,8 @@ def op10_weighted_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op3_url_filter": op3_url_filter,
+    "op5_wu_manber": op5_wu_manber,
+    "op7_simhash_pigeonhole": op7_simhash_pigeonhole,
     "op8_prefix_bpe": op8_prefix_bpe,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_weighted_tree_shards": op10_weighted_tree_shards,
