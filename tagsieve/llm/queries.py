@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagsieve.llm import bpe, chat, decontam, pii, shards, simhash, urls
-from tagsieve.llm.common import table
+from tagsieve.llm import bpe, chat, decontam, pii, quality, shards, simhash, urls
+from tagsieve.llm.common import held_out, table
 
 #: For tests and examples; a production run passes its own secret.
 DEMO_KEY = "example key, not a secret"
@@ -34,6 +34,23 @@ def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("kinds").cast("long").alias("n_replaced"))
 
 
+#: Scores from here on count as good.
+QUALITY_THRESHOLD = 0.3
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
+    """Learned from the labels of rows that are not held out."""
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 5, 0))
+    return quality.fit(docs, "doc_id", "text", labels, "quality")
+
+
+def op2_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model(spark, docs, sf_dir)
+    scored = quality.classify(docs, "text", model, QUALITY_THRESHOLD)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "rule string, verdict string")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -112,6 +129,7 @@ def op10_weighted_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
+    "op2_additive_quality": op2_additive_quality,
     "op3_url_filter": op3_url_filter,
     "op5_wu_manber": op5_wu_manber,
     "op7_simhash_pigeonhole": op7_simhash_pigeonhole,
