@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagsieve.llm import bpe, chat, decontam, pii, quality, shards, simhash, urls
+from tagsieve.llm import bpe, chat, decontam, mtree, pii, quality, shards, simhash, urls
 from tagsieve.llm.common import held_out, table
 
 #: For tests and examples; a production run passes its own secret.
@@ -87,6 +87,11 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mtree.points(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return mtree.search(rows, rows.filter(F.col("id") % 50 == 0))
+
+
 def op5_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = table(spark, sf_dir, "benchmark")
@@ -131,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_additive_quality": op2_additive_quality,
     "op3_url_filter": op3_url_filter,
+    "op4_mtree_search": op4_mtree_search,
     "op5_wu_manber": op5_wu_manber,
     "op7_simhash_pigeonhole": op7_simhash_pigeonhole,
     "op8_prefix_bpe": op8_prefix_bpe,
