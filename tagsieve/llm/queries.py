@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagsieve.llm import bpe, chat, decontam, mtree, pii, quality, shards, simhash, urls
+from tagsieve.llm import bpe, chat, decontam, maxent, mtree, pii, quality, shards, simhash, urls
 from tagsieve.llm.common import held_out, table
 
 #: For tests and examples; a production run passes its own secret.
@@ -107,6 +107,11 @@ def op5_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return maxent.score(docs, "doc_id", "text", held_out(F.col("doc_id"), 7, 2))
+
+
 def op7_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.link(docs, "doc_id", "text")
@@ -138,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_mtree_search": op4_mtree_search,
     "op5_wu_manber": op5_wu_manber,
+    "op6_hashed_maxent": op6_hashed_maxent,
     "op7_simhash_pigeonhole": op7_simhash_pigeonhole,
     "op8_prefix_bpe": op8_prefix_bpe,
     "op9_chat_formatting": op9_chat_formatting,
