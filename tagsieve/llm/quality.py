@@ -253,7 +253,7 @@ def score(text: Column, model: Model) -> Column:
 
 
 def classify(docs: DataFrame, text: str, model: Model, threshold: float, name: str = "score") -> DataFrame:
-    """docs with the score and predicted (1 from the threshold on)."""
+    """docs with the score and predicted (1 from the threshold on), which replace columns of these names."""
     return docs.withColumn(name, score(F.col(text), model)).withColumn(
         "predicted", (F.col(name) >= threshold).cast("int")
     )

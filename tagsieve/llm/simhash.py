@@ -270,13 +270,14 @@ def _distinct(docs: DataFrame, key: str) -> DataFrame:
 
 def link(docs: DataFrame, key: str, text: str, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """(key, fp, component_id) for every document."""
-    prints = stored(docs.select(key, fingerprints(F.col(text), shingle).alias("__llm_fp")))
-    distinct = _distinct(prints, key)
+    prints = stored(docs.select(F.col(key).alias("__llm_key"), fingerprints(F.col(text), shingle).alias("__llm_fp")))
+    distinct = _distinct(prints, "__llm_key")
     linked = classes(distinct, distance).withColumnRenamed("fp", "__fp")
     owners = distinct.join(linked, F.col("fp") == F.col("__fp"), "left").select(
         "fp", F.coalesce("component_id", "id").alias("component_id")
     )
-    return prints.join(owners, F.col("__llm_fp") == F.col("fp")).select(key, "fp", "component_id")
+    joined = prints.join(owners, F.col("__llm_fp") == F.col("fp"))
+    return joined.select(F.col("__llm_key").alias(key), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str, text: str, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
@@ -287,8 +288,9 @@ def keep_one(docs: DataFrame, key: str, text: str, distance: int = DISTANCE, shi
     first_of = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("first")
     stays = linked.join(distinct, "fp").groupBy("root").agg(first_of).select(F.col("first.fp").alias("__stays"))
     goes = linked.select("fp").join(stays, F.col("fp") == F.col("__stays"), "left_anti")
+    goes = goes.select(F.col("fp").alias("__llm_goes"))
     order = Window.partitionBy("__llm_fp").orderBy(
         F.col(key).asc_nulls_last(), F.xxhash64(*[F.col(c) for c in docs.columns])
     )
     first = printed.withColumn("__llm_rank", F.row_number().over(order)).filter("__llm_rank = 1")
-    return first.join(goes, F.col("__llm_fp") == F.col("fp"), "left_anti").select(*docs.columns)
+    return first.join(goes, F.col("__llm_fp") == F.col("__llm_goes"), "left_anti").select(*docs.columns)

@@ -138,8 +138,10 @@ def verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, url: str, rules: DataFrame, otherwise: str = "allow") -> DataFrame:
-    """pages with host, path, rule (null: none fits) and verdict. rules: rule, verdict."""
-    split = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    """pages with host, path, rule (null: none fits) and verdict, which replace columns of these names.
+    rules: rule, verdict."""
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    split = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     found = verdicts(split.select("host", "path"), rules_of(rules)).select(
         F.col("host").alias("__llm_host"), F.col("path").alias("__llm_path"), "rule", "verdict"
     )
