@@ -106,14 +106,15 @@ def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def grouped_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
-    """m groups of nearly equal size; each grows by the bit that correlates most with it."""
+    """m groups of nearly equal size; each starts with the bit that correlates most with all that are
+    free and grows by the bit that correlates most with the group."""
     p = np.diag(both) / max(n, 1)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     related = np.abs((both / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread))
     free, groups = set(range(BITS)), []
     for k in range(m):
         size = len(free) // (m - k)
-        first = min(free, key=lambda b: (abs(p[b] - 0.5), b))
+        first = max(free, key=lambda b: (related[b, list(free)].sum(), -b))
         group = [first]
         free.remove(first)
         while len(group) < size:
