@@ -6,7 +6,7 @@ one array (a scalar subquery) and rows are never shuffled to be filtered by it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagsieve import config
@@ -23,41 +23,66 @@ def clean_quotations(rows: DataFrame, columns: tuple[str, ...] = ("quotation", "
 def training_base(quotations: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
     """(row_id, quotation, codes): annotations with corrections on top.
 
-    ``quotations`` is (ref_pos, quotation, codes), ``reviews`` (seq, quotation, codes).
-    Only when usable reviews are given, each quotation is kept once: its latest
-    review, else its last annotation. A reviews table without the expected columns
-    is ignored, and then repeated quotations stay.
+    ``quotations`` is (ref_pos, quotation, codes); ``reviews`` needs quotation and codes and may
+    have any of ``REVIEW_ORDER``, which say what is later. Only when usable reviews are given,
+    each quotation is kept once: its latest review, else its last annotation. A reviews table
+    without quotation or codes is ignored, and then repeated quotations stay. Reviews that
+    nothing orders are told apart by their codes, so the choice is repeatable.
     """
+    empty = _empty()
+    unordered = F.struct(*[value.alias(name) for name, value in empty.items() if name != "seq"])
     originals = quotations.select(
         F.concat(F.lit("o"), F.col("ref_pos").cast("string")).alias("row_id"),
         F.lit(0).alias("source"),
+        unordered.alias("written"),
         F.col("ref_pos").cast("bigint").alias("seq"),
         "quotation",
         "codes",
     )
-    if reviews is None or not {"quotation", "codes", "seq"} <= set(reviews.columns):
+    if reviews is None or not {"quotation", "codes"} <= set(reviews.columns):
         merged = originals
     else:
+        order = {
+            name: F.coalesce(F.col(name).cast(_TYPES[name]), value) if name in reviews.columns else value
+            for name, value in empty.items()
+        }
+        written = F.struct(*[value.alias(name) for name, value in order.items() if name != "seq"])
+        number = F.col("seq").cast("string") if "seq" in reviews.columns else F.lit(None).cast("string")
+        unnumbered = F.hex(F.xxhash64("quotation", "codes", written))
         corrections = reviews.select(
-            F.concat(F.lit("r"), F.col("seq").cast("string")).alias("row_id"),
+            F.concat(F.lit("r"), F.coalesce(number, unnumbered)).alias("row_id"),
             F.lit(1).alias("source"),
-            F.col("seq").cast("bigint").alias("seq"),
+            written.alias("written"),
+            order["seq"].alias("seq"),
             "quotation",
             "codes",
         )
-        merged = latest_by_quotation(originals.unionByName(corrections))
+        merged = latest_by_quotation(originals.unionByName(corrections), ("source", "written", "seq"))
     return clean_quotations(merged).select("row_id", "quotation", "codes")
 
 
-def latest_by_quotation(rows: DataFrame) -> DataFrame:
-    """One row per quotation, the last by (source, seq).
+#: What orders reviews, the strongest first: when they were made, when they were written, their
+#: place in what was written, and a number given by the caller.
+REVIEW_ORDER = ("data_revisao", "gravado_em", "linha", "seq")
+_TYPES = dict(zip(REVIEW_ORDER, ("string", "bigint", "bigint", "bigint")))
 
-    An aggregation rather than a window: copies of one text are reduced before
-    the shuffle, however many there are.
+
+def _empty() -> dict[str, Column]:
+    """What stands for a missing value, before all others."""
+    return {"data_revisao": F.lit(""), **{name: F.lit(-1).cast("bigint") for name in REVIEW_ORDER[1:]}}
+
+
+def latest_by_quotation(rows: DataFrame, order: tuple[str, ...] = ("source", "seq")) -> DataFrame:
+    """One row per quotation, the last by ``order``.
+
+    An aggregation rather than a window: copies of one text are reduced before the shuffle,
+    however many there are. Groups are keyed by a hash first, so that different texts are told
+    apart by eight bytes and only equal hashes compare texts.
     """
-    rest = [name for name in rows.columns if name not in ("quotation", "source", "seq")]
-    last = F.max(F.struct("source", "seq", *rest)).alias("last")
-    return rows.groupBy("quotation").agg(last).select("quotation", "last.*")
+    rest = [name for name in rows.columns if name not in ("quotation", *order)]
+    last = F.max(F.struct(*order, *rest)).alias("last")
+    keyed = rows.groupBy(F.xxhash64("quotation").alias("_key"), "quotation").agg(last)
+    return keyed.select("quotation", "last.*")
 
 
 def with_tags(rows: DataFrame) -> DataFrame:

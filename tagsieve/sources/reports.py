@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagsieve.functions import text
+from tagsieve.session import stored
 
 PASTED_NAME = "texto_colado"
 
@@ -31,8 +32,8 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def read_folder(spark: SparkSession, path: str, strict: bool = False) -> Intake:
-    """``intake`` of a folder. Each content is read once: the names pick the files
-    of a kind, and for rejected ones only the names are read."""
+    """``intake`` of a folder. Each content is read once: the names pick the files of a kind, and for
+    rejected ones only the names are read."""
     return _assemble(
         _with_kind(read_files(spark, path, "*.[tT][xX][tT]")),
         _with_kind(read_files(spark, path, "*.[dD][oO][cC][xX]")),
@@ -90,7 +91,7 @@ def _unpacker():
                     body = ElementTree.fromstring(package.read("word/document.xml")).find(space + "body")
                 lines = [paragraph_text(p) for p in body.findall(space + "p")]
                 return "\n\n".join(line for line in lines if line), None
-            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, AttributeError) as error:
+            except Exception as error:  # whatever is wrong with one file must not stop the others
                 return None, f"unreadable .docx file ({type(error).__name__})"
 
         for batch in batches:
@@ -125,23 +126,26 @@ def intake(files: DataFrame, strict: bool = False) -> Intake:
 
 
 def _assemble(txt_files: DataFrame, docx_files: DataFrame, all_files: DataFrame, strict: bool) -> Intake:
+    """Every file is read once: texts and rejections are rows of one frame, stored for its two readers."""
     raw = F.col("content").cast("string")
     plain = txt_files.filter("extension = 'txt'").select(
-        "path", "name", (F.validate_utf8(raw) if strict else F.make_valid_utf8(raw)).alias("texto")
+        "path",
+        "name",
+        (F.validate_utf8(raw) if strict else F.make_valid_utf8(raw)).alias("texto"),
+        F.lit(None).cast("string").alias("reason"),
     )
     documents = read_docx(docx_files.filter("extension = 'docx'"))
     unsupported = all_files.filter("extension not in ('txt', 'docx')")
     reason = F.when(F.col("extension") == "doc", "old .doc files are not supported: save as .docx").otherwise(
         F.concat(F.lit("format '."), F.col("extension"), F.lit("' is not supported: send .txt or .docx"))
     )
-    texts = plain.unionByName(documents.filter("reason is null").select("path", "name", "texto"))
-    reports = texts.filter(text.strip(F.col("texto")) != "").select(
+    nothing = F.lit(None).cast("string")
+    refused = unsupported.select("path", "name", nothing.alias("texto"), reason.alias("reason"))
+    found = stored(plain.unionByName(documents).unionByName(refused))
+    reports = found.filter(F.col("reason").isNull() & (text.strip(F.col("texto")) != "")).select(
         F.col("path").alias("doc_id"), F.regexp_replace("name", r"\.[^.]*$", "").alias("nome"), "texto"
     )
-    rejected = unsupported.select("path", reason.alias("reason")).unionByName(
-        documents.filter("reason is not null").select("path", "reason")
-    )
-    return Intake(reports, rejected)
+    return Intake(reports, found.filter("reason is not null").select("path", "reason"))
 
 
 def pasted(texts: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagsieve import config
+from tagsieve.operators import reviews
+from tagsieve.sources import tables
 
 
 def output_name(names: list[str], run_time: datetime) -> str:
@@ -38,8 +40,22 @@ def write_csv(results: DataFrame, folder: str, name: str) -> str:
 
 
 def write_reviews(new: DataFrame, path: str) -> None:
-    """Append corrections; readers take the last one per quotation, so no rewrite is needed."""
-    new.write.mode("append").parquet(path)
+    """Append corrections with the time of writing and their place in it; readers take the last one
+    per quotation, so no rewrite is needed. Read them back with ``read_reviews``."""
+    stamped = new.withColumn("gravado_em", F.unix_micros(F.current_timestamp()))
+    stamped.withColumn("linha", F.monotonically_increasing_id()).write.mode("append").parquet(path)
+
+
+def read_reviews(spark: SparkSession, path: str) -> DataFrame | None:
+    """Stored corrections, whatever columns earlier writers gave them."""
+    return tables.as_reviews(spark.read.option("mergeSchema", True).parquet(path))
+
+
+def write_review_version(current: DataFrame | None, pairs: DataFrame, path: str) -> int:
+    """A new version of the corrections at ``path``, an empty place: ``current`` with the new pairs
+    (seq, trecho, tags) on top. Returns the number of pairs saved; repeats count."""
+    reviews.upsert_reviews(current, pairs).write.parquet(path)
+    return reviews.usable_pairs(pairs).count()
 
 
 def write_label_tables(folder: str, vocab: DataFrame, frequencies: DataFrame, removed: DataFrame) -> dict[str, str]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagsieve.functions import text
+from tagsieve.operators.labels import REVIEW_ORDER
 
 QUOTATION_COLUMNS = ("quotation", "codes")
 
@@ -100,10 +101,17 @@ def as_quotations(df: DataFrame, position: str = "ref_pos") -> DataFrame:
 
 
 def as_reviews(df: DataFrame | None, position: str = "seq") -> DataFrame | None:
-    """(seq, quotation, codes), or None where there is no usable table of corrections."""
-    if df is None or not {*QUOTATION_COLUMNS, position} <= set(df.columns):
+    """(quotation, codes) and what orders them, or None where there is no usable table of corrections.
+
+    ``position`` names a number that orders the rows, kept as ``seq``; the columns that
+    ``sinks.write_reviews`` stores are kept where they are there.
+    """
+    if df is None or not set(QUOTATION_COLUMNS) <= set(df.columns):
         return None
-    return df.select(F.col(position).cast("bigint").alias("seq"), *QUOTATION_COLUMNS)
+    stored = [name for name in REVIEW_ORDER if name != "seq" and name in df.columns]
+    numbered = position in df.columns and position not in stored
+    number = [F.col(position).cast("bigint").alias("seq")] if numbered else []
+    return df.select(*number, *QUOTATION_COLUMNS, *stored)
 
 
 def label_lines(content: DataFrame, column: str = "value") -> DataFrame:

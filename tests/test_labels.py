@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagsieve.operators import labels, split
+from tagsieve.sources import sinks
 from tests import plain
 
 QUOTATION = "ref_pos bigint, quotation string, codes string"
@@ -33,6 +34,20 @@ def test_latest_review_wins(spark):
     ]
 
 
+def test_stored_corrections_without_numbers_win(spark, tmp_path):
+    originals = spark.createDataFrame([(1, "q", "a"), (2, "q", "b"), (3, "p", "c")], QUOTATION)
+    path = f"{tmp_path}/reviews"
+    spark.createDataFrame([(7, "q", "numbered")], REVIEW).write.parquet(path)
+    for codes in ("first", "second"):
+        new = spark.createDataFrame([("q", codes, "2024-05-06 07:08")], "quotation string, codes string, data_revisao string")
+        sinks.write_reviews(new, path)
+    merged = labels.training_base(originals, sinks.read_reviews(spark, path)).collect()
+    assert {(r["quotation"], r["codes"]) for r in merged} == {("q", "second"), ("p", "c")}
+    assert all(r["row_id"] for r in merged)
+    plain = spark.createDataFrame([("q", "x"), ("q", "x")], "quotation string, codes string")
+    assert {r["codes"] for r in labels.training_base(originals, plain).collect()} == {"x", "c"}
+
+
 def test_without_usable_reviews_repeats_stay(spark):
     originals = spark.createDataFrame([(1, "q", "a"), (2, "q", "b")], QUOTATION)
     assert labels.training_base(originals).count() == 2

@@ -5,6 +5,7 @@ import zipfile
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tagsieve.sources import reports, sinks, tables
 
@@ -86,7 +87,10 @@ def test_quotations_need_their_columns(spark, tmp_path):
     assert [tuple(r) for r in found.collect()] == [(1, 'two\nlines, "quoted"', "a;b")]
     with pytest.raises(ValueError, match="codes"):
         tables.as_quotations(found.drop("codes"))
-    assert tables.as_reviews(None) is None and tables.as_reviews(found) is None
+    assert tables.as_reviews(None) is None and tables.as_reviews(found.drop("codes")) is None
+    assert tables.as_reviews(found).columns == ["quotation", "codes"]
+    stamped = found.withColumn("data_revisao", F.lit("2024-01-02 03:04"))
+    assert tables.as_reviews(stamped, "data_revisao").columns == ["quotation", "codes", "data_revisao"]
     assert tables.as_reviews(found, "ref_pos").columns == ["seq", "quotation", "codes"]
 
 
@@ -134,3 +138,21 @@ def test_sinks(spark, tmp_path):
     assert set(written) == {"labels", "frequencia_tags"}
     written = sinks.write_label_tables(f"{tmp_path}/n", freq, freq, freq)
     assert spark.read.parquet(written["tags_removidas"]).count() == 1
+
+
+def test_any_damaged_docx_is_a_reason(spark):
+    sound = docx("<w:p><w:r><w:t>text that is long enough to be compressed, text that is long</w:t></w:r></w:p>")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as package:
+        package.writestr("word/document.xml", "<a>" + "b" * 5000 + "</a>")
+    packed = bytearray(out.getvalue())
+    start = packed.index(b"word/document.xml") + len("word/document.xml")
+    packed[start : start + 8] = b"\xff" * 8
+    locked = bytearray(sound)
+    for sign, offset in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+        locked[locked.index(sign) + offset] |= 1
+    rows = [("in/sound.docx", sound), ("in/torn.docx", bytes(packed)), ("in/locked.docx", bytes(locked)), ("in/empty.docx", b"")]
+    rows += [("in/null.docx", None), ("in/cut.docx", sound[: len(sound) // 2])]
+    result = reports.intake(spark.createDataFrame(rows, "path string, content binary"))
+    assert [r["nome"] for r in result.reports.collect()] == ["sound"]
+    assert {r["path"] for r in result.rejected.collect()} == {p for p, _ in rows[1:]}

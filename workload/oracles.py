@@ -567,6 +567,29 @@ ORACLES = {
               WHERE list_contains(tags, 'toxic 1') AND quotation <> '')
             WHERE true QUALIFY row_number() OVER (PARTITION BY quotation ORDER BY src DESC, seq DESC) = 1""",
     ),
+    "review_loop": with_(
+        ANNOTATED,
+        f"""SELECT quotation, codes FROM (
+              SELECT 0 AS src, ref_pos AS seq, quotation, codes FROM annotated
+              UNION ALL SELECT 1, seq, quotation, codes FROM reviews
+              UNION ALL SELECT CASE WHEN again THEN 3 ELSE 2 END, ref_pos,
+                quotation, array_to_string({EDITED_TAGS}, ' | ') || CASE WHEN again THEN ' | again' ELSE '' END
+              FROM (SELECT ref_pos, quotation, {tag_list('codes')} AS tags FROM annotated), (VALUES (false), (true)) v(again)
+              WHERE list_contains(tags, 'toxic 1') AND len({EDITED_TAGS}) > 0 AND (NOT again OR list_contains(tags, 'en')))
+            WHERE quotation IS NOT NULL AND quotation NOT IN ('', 'nan') AND codes IS NOT NULL AND codes NOT IN ('', 'nan')
+            QUALIFY row_number() OVER (PARTITION BY quotation ORDER BY src DESC, seq DESC) = 1""",
+    ),
+    "review_version": with_(
+        ANNOTATED,
+        f"""SELECT *, (SELECT count(*) FROM (SELECT quotation, {tag_list('codes')} AS tags FROM annotated)
+                       WHERE list_contains(tags, 'toxic 1') AND quotation <> '') AS saved
+            FROM (SELECT quotation, codes, seq FROM (
+              SELECT 0 AS src, seq, quotation, codes FROM reviews UNION ALL
+              SELECT 1, ref_pos, quotation, array_to_string(tags, ' | ')
+              FROM (SELECT ref_pos, quotation, {tag_list('codes')} AS tags FROM annotated)
+              WHERE list_contains(tags, 'toxic 1') AND quotation <> '')
+            WHERE true QUALIFY row_number() OVER (PARTITION BY quotation ORDER BY src DESC, seq DESC) = 1)""",
+    ),
     "training_base": with_(BASE, "SELECT row_id, quotation, codes FROM base"),
     "tag_frequency": with_(BASE, "SELECT tag, n FROM freq ORDER BY n DESC, tag"),
     "tag_vocab": with_(BASE, "SELECT row_number() OVER (ORDER BY tag) - 1 AS idx, tag FROM freq"),

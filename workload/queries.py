@@ -346,6 +346,32 @@ def upsert_reviews(spark, sf_dir):
     return review_ops.upsert_reviews(inputs.reviews(spark, sf_dir), pairs)
 
 
+def review_loop(spark, sf_dir):
+    """Corrections accepted twice, appended to a stored table that only has numbers, read back and
+    put on top of the annotations."""
+    path = f"{fresh_folder(spark)}/reviews"
+    inputs.reviews(spark, sf_dir).write.parquet(path)
+    edited = _edited(spark, sf_dir)
+    sinks.write_reviews(review_ops.accepted_corrections(edited, REVIEWED_AT), path)
+    again = edited.filter(F.array_contains("tags_corrigidas", "en")).withColumn(
+        "tags_corrigidas", F.concat("tags_corrigidas", F.array(F.lit("again")))
+    )
+    sinks.write_reviews(review_ops.accepted_corrections(again, REVIEWED_AT), path)
+    base = labels.training_base(inputs.annotated(spark, sf_dir), sinks.read_reviews(spark, path))
+    return base.select("quotation", "codes")
+
+
+def review_version(spark, sf_dir):
+    """The stored new version of the corrections, with the number of pairs saved."""
+    tagged = labels.with_tags(inputs.annotated(spark, sf_dir))
+    pairs = tagged.filter(F.array_contains("tags", "toxic 1")).select(
+        F.col("ref_pos").alias("seq"), F.col("quotation").alias("trecho"), "tags"
+    )
+    path = f"{fresh_folder(spark)}/reviews"
+    saved = sinks.write_review_version(inputs.reviews(spark, sf_dir), pairs, path)
+    return spark.read.parquet(path).withColumn("saved", F.lit(saved).cast("bigint"))
+
+
 # Training data
 
 
@@ -629,6 +655,8 @@ QUERIES = {
     "review_queue": review_queue,
     "append_reviews": append_reviews,
     "upsert_reviews": upsert_reviews,
+    "review_loop": review_loop,
+    "review_version": review_version,
     "training_base": training_base,
     "tag_frequency": tag_frequency,
     "tag_vocab": tag_vocab,
