@@ -21,13 +21,6 @@ SCREEN_ROWS = 20
 TAG_SEPARATOR = " | "
 
 # Execution parameters: results do not depend on them.
-#: Reports up to this many characters are processed whole inside one partition;
-#: longer ones are spread over the cluster by (report, term) and (report, chunk).
-COLOCATE_MAX_CHARS = 4_000_000
-#: A reference set is broadcast only up to this many characters of quotations.
-BROADCAST_MAX_CHARS = 8_000_000
-#: Copies of a reference posting when the reference set is too big to broadcast.
-TERM_SALTS = 32
 #: Cached training rows per task; every task returns one model-sized gradient.
 TRAIN_ROWS_PER_TASK = 2_000
 #: Ordered-prefix counts split the key space into this many ranges.

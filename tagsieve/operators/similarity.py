@@ -5,31 +5,29 @@ quotations plus that report's own chunks: with ``n`` texts and document
 frequency ``df`` the weight is ``tf * (1 + ln((1 + n) / (1 + df)))``. A chunk's
 score is the largest cosine with any quotation.
 
-Because every report has its own weights, a quotation has another length in
-every report. Expanding reports x quotation terms is avoided: writing
-``idf = A - l`` with ``A = 1 + ln(1 + n)`` and ``l = ln(1 + df)``, the squared
-length of a quotation under reference-only frequencies is
-``A^2*m0 - 2*A*m1 + m2`` with three per-quotation sums, and a report only
-corrects the terms it shares with the quotation. The same joined rows give the
-dot products, so the corpus is walked once.
-
-Every step groups by the report id and something finer. Input that is already
-partitioned by report therefore runs through all of them without moving a
-posting or a (chunk, quotation) pair; other input is shuffled on the finer keys.
-``by_report_parts`` makes that choice by the size of each report.
+One plan serves every size. Texts are dealt over the cluster by their bytes, once. A
+report's terms are counted inside its row: how often each chunk has a term, and in how
+many chunks it occurs. These rows, one per report and term, are exchanged by (report, term)
+and serve both the chunk vectors and the lengths of the quotations, which every report
+weighs in its own way. Joins are left to the optimizer, which broadcasts by size and
+splits a term or a quotation that most rows share.
+
+With a threshold, few pairs have to be built. A chunk's commonest terms are set aside as
+long as their squared weights sum to less than threshold^2 times the squared length of the
+chunk: a quotation that shares only such terms cannot reach the threshold. Pairs are found by the
+other terms; their sums are then completed with the terms set aside.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagsieve import config
 from tagsieve.functions import text
-from tagsieve.operators.chunks import term_counts
+from tagsieve.operators.chunks import dealt, report_chunks, report_terms, term_counts
 
 KEYS = ["doc_id", "trecho_id"]
 
@@ -41,106 +39,43 @@ class References:
     table: DataFrame  # ref_pos, quotation
     postings: DataFrame  # term, ref_pos, ref_tf
     frequencies: DataFrame  # term, df_ref
-    moments: DataFrame  # ref_pos, m0, m1, m2
     count: int
-    small: bool  # checked: fits a broadcast
     first: int | None  # position of the first quotation
-    first_text: str | None
 
 
-def prepare_references(
-    quotations: DataFrame, broadcast_max_chars: int = config.BROADCAST_MAX_CHARS
-) -> References:
-    """Index (ref_pos, quotation). One small job measures the set, which decides
-    whether it may be broadcast; quotations without text are left out."""
+def prepare_references(quotations: DataFrame) -> References:
+    """Index (ref_pos, quotation); quotations without text are left out. One small job counts them."""
     table = quotations.filter(text.present(F.col("quotation"))).select("ref_pos", "quotation")
-    size = table.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.length("quotation")), F.lit(0)).alias("chars"),
-        F.min(F.struct("ref_pos", "quotation")).alias("first"),
-    ).first()
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.min("ref_pos").alias("first")).first()
     postings = term_counts(table, ["ref_pos"], "quotation").withColumnRenamed("tf", "ref_tf")
     frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df_ref"))
-    log_df = F.log(1.0 + F.col("df_ref"))
-    square = F.col("ref_tf") * F.col("ref_tf")
-    moments = (
-        postings.join(frequencies, "term")
-        .groupBy("ref_pos")
-        .agg(
-            F.sum(square.cast("double")).alias("m0"),
-            F.sum(square * log_df).alias("m1"),
-            F.sum(square * log_df * log_df).alias("m2"),
-        )
-    )
-    first = size["first"]
-    return References(
-        table=table,
-        postings=postings,
-        frequencies=frequencies,
-        moments=moments,
-        count=size["n"],
-        small=size["chars"] <= broadcast_max_chars,
-        first=first["ref_pos"] if first else None,
-        first_text=first["quotation"] if first else None,
-    )
+    return References(table, postings, frequencies, size["n"], size["first"])
 
 
-def by_report_parts(
-    reports: DataFrame, max_chars: int = config.COLOCATE_MAX_CHARS, placed: bool = False
-) -> list[DataFrame]:
-    """Split reports by length into inputs for the same operators.
-
-    Ordinary reports are placed by id, once, as raw text: all later groupings
-    stay in place. Very long ones are not, so that the postings of one huge
-    report spread over the cluster; whether there are any is looked up first.
-    Where the reports have an ``n_chars`` column, files answer that from their
-    statistics, without reading the texts. ``placed`` says that the reports come
-    from a table bucketed by id, which makes even that one exchange unnecessary.
-    """
-    length = F.col("n_chars") if "n_chars" in reports.columns else F.length("texto")
-    plain = reports.select("doc_id", "nome", "texto")
-    # A fixed number of partitions: the work per byte of text is large, so
-    # partitions must not be merged by their input size.
-    partitions = int(reports.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    huge = reports.filter(length > max_chars).select("doc_id", "nome", "texto")
-    split = not huge.isEmpty()
-    rest = reports.filter(length.isNull() | (length <= max_chars)).select("doc_id", "nome", "texto")
-    usual = rest if split else plain
-    if not placed:
-        usual = usual.repartition(partitions, "doc_id")
-    return [usual, huge] if split else [usual]
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _maybe_broadcast(refs: References, side: DataFrame) -> DataFrame:
-    return F.broadcast(side) if refs.small else side
-
-
-def term_idf(chunks: DataFrame, refs: References) -> DataFrame:
-    """(doc_id, trecho_id, term, tf, df_doc, df_ref, scale, idf): every chunk
-    posting with its report's smoothed weight; ``scale`` is ``1 + ln(1 + n)``."""
-    postings = term_counts(chunks, ["doc_id", "arquivo", "n_trechos", "trecho_id"], "trecho")
-    # The report's name adds nothing to the key. It makes this branch read the same
-    # columns as the one that returns the texts, so both share one exchange of them.
-    in_report = Window.partitionBy("doc_id", "term", "arquivo")
-    counted = postings.withColumn("df_doc", F.count(F.lit(1)).over(in_report))
-    joined = counted.join(_maybe_broadcast(refs, refs.frequencies), "term", "left")
+def weighted_terms(reports: DataFrame, refs: References) -> DataFrame:
+    """(doc_id, term, df_doc, df_ref, scale, idf, found): a report's terms with their smoothed weight
+    and the chunks that have them; ``scale`` is ``1 + ln(1 + n)``."""
+    terms = report_terms(dealt(reports)).repartition("doc_id", "term")
+    joined = terms.join(refs.frequencies, "term", "left")
     df_ref = F.coalesce("df_ref", F.lit(0))
     scale = 1.0 + F.log(1.0 + refs.count + F.col("n_trechos"))
     return joined.select(
-        *KEYS,
+        "doc_id",
         "term",
-        "tf",
         "df_doc",
         df_ref.alias("df_ref"),
         scale.alias("scale"),
         (scale - F.log(1.0 + F.col("df_doc") + df_ref)).alias("idf"),
+        "found",
+    )
+
+
+def term_idf(reports: DataFrame, refs: References) -> DataFrame:
+    """(doc_id, trecho_id, term, tf, df_doc, df_ref, scale, idf): every chunk posting."""
+    others = ("term", "df_doc", "df_ref", "scale", "idf")
+    exploded = weighted_terms(reports, refs).select("doc_id", *others, F.explode("found").alias("_hit"))
+    return exploded.select(
+        "doc_id", F.col("_hit.trecho_id").alias("trecho_id"), "term", F.col("_hit.tf").alias("tf"), *others[1:]
     )
 
 
@@ -150,76 +85,116 @@ def chunk_norms(weighted: DataFrame) -> DataFrame:
     return weighted.groupBy(*KEYS).agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
 
 
-def _shared_terms(weighted: DataFrame, refs: References) -> DataFrame:
-    """Chunk postings joined with the quotations that use the same term."""
-    if refs.small:
-        return weighted.join(F.broadcast(refs.postings), "term")
-    # Too many quotations to broadcast: a frequent term would put its chunks on
-    # one task, so chunks of a term are dealt over salted copies of its quotations.
-    salts = F.array(*[F.lit(i) for i in range(config.TERM_SALTS)])
-    dealt = weighted.withColumn("salt", F.pmod(F.xxhash64(*KEYS), F.lit(config.TERM_SALTS)).cast("int"))
-    return dealt.join(refs.postings.withColumn("salt", F.explode(salts)), ["term", "salt"]).drop("salt")
-
+def chunk_vectors(postings: DataFrame, min_similarity: float) -> DataFrame:
+    """(doc_id, trecho_id, scale, norm, terms, aside): a chunk's terms that quotations use, commonest
+    first, of which the first ``aside`` cannot make a pair of ``min_similarity`` by themselves.
 
-def similarity_pairs(chunks: DataFrame, refs: References, min_similarity: float = 0.0) -> DataFrame:
-    """(doc_id, trecho_id, ref_pos, sim) for pairs that share a term and whose
-    cosine, rounded to 12 decimals, reaches ``min_similarity``."""
+    A chunk is a short text, and so is the list of its terms."""
     weight = F.col("tf") * F.col("idf")
-    in_chunk = Window.partitionBy(*KEYS)
-    weighted = (
-        term_idf(chunks, refs)
-        .withColumn("chunk_norm", F.sqrt(F.sum(weight * weight).over(in_chunk)))
-        .filter("df_ref > 0")
-    )
-    ref_only_idf = F.col("scale") - F.log(1.0 + F.col("df_ref"))
-    ref_tf = F.col("ref_tf")
-    idf = F.col("idf")
-    pairs = (
-        _shared_terms(weighted, refs)
-        .groupBy(*KEYS, "ref_pos", "scale", "chunk_norm")
-        .agg(
-            F.sum(weight * ref_tf * idf).alias("dot"),
-            # A term's correction is shared out over the chunks that contain it.
-            F.sum(ref_tf * ref_tf * (idf * idf - ref_only_idf * ref_only_idf) / F.col("df_doc")).alias("part"),
-        )
+    entry = F.struct((-F.col("df_ref")).alias("rank"), "term", (weight * F.col("idf")).alias("w"), (weight * weight).alias("square"))
+    vectors = postings.groupBy(*KEYS, "scale").agg(
+        F.sqrt(F.sum(weight * weight)).alias("norm"),
+        F.sort_array(F.collect_list(F.when(F.col("df_ref") > 0, entry))).alias("terms"),
     )
-    in_report = Window.partitionBy("doc_id", "ref_pos")
-    corrected = pairs.withColumn("correction", F.sum("part").over(in_report)).join(
-        _maybe_broadcast(refs, refs.moments), "ref_pos"
+    limit = min_similarity * min_similarity * (1.0 - 1e-9) * F.col("norm") * F.col("norm")
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+    passed = F.aggregate(
+        "terms",
+        start,
+        lambda state, t: F.when(
+            state.open & (state["sum"] + t.square <= limit),
+            F.struct((state["sum"] + t.square).alias("sum"), (state.n + 1).alias("n"), F.lit(True).alias("open")),
+        ).otherwise(F.struct(state["sum"].alias("sum"), state.n.alias("n"), F.lit(False).alias("open"))),
     )
-    scale = F.col("scale")
-    ref_norm = F.sqrt(
-        scale * scale * F.col("m0") - 2.0 * scale * F.col("m1") + F.col("m2") + F.col("correction")
+    aside = passed["n"] if min_similarity > 0 else F.lit(0)
+    return vectors.withColumn("aside", aside)
+
+
+def candidate_pairs(vectors: DataFrame, refs: References) -> DataFrame:
+    """(doc_id, trecho_id, ref_pos, scale, norm, dot): pairs that share a term not set aside, with the
+    part of the dot product that those terms make."""
+    kept = F.slice("terms", F.col("aside") + 1, F.size("terms"))
+    listed = vectors.select(*KEYS, "scale", "norm", F.explode(kept).alias("_t"))
+    postings = listed.select(*KEYS, "scale", "norm", F.col("_t.term").alias("term"), F.col("_t.w").alias("w"))
+    return (
+        postings.join(refs.postings, "term")
+        .groupBy(*KEYS, "ref_pos", "scale", "norm")
+        .agg(F.sum(F.col("w") * F.col("ref_tf")).alias("dot"))
     )
-    sim = F.rint(F.col("dot") / (F.col("chunk_norm") * ref_norm) * 1e12) / 1e12
-    scored = corrected.select(*KEYS, "ref_pos", sim.alias("sim"))
+
+
+def _completed(pairs: DataFrame, vectors: DataFrame, refs: References) -> DataFrame:
+    """The pairs with the dot products of all shared terms."""
+    aside = vectors.filter("aside > 0").select(*KEYS, F.explode(F.slice("terms", F.lit(1), F.col("aside"))).alias("_t"))
+    terms = aside.select(*KEYS, F.col("_t.term").alias("term"), F.col("_t.w").alias("w"))
+    found = pairs.select(*KEYS, "ref_pos", "scale", "norm").join(terms, KEYS).join(refs.postings, ["term", "ref_pos"])
+    rest = found.select(*KEYS, "ref_pos", "scale", "norm", (F.col("w") * F.col("ref_tf")).alias("dot"))
+    both = pairs.select(*rest.columns).unionByName(rest)
+    return both.groupBy(*KEYS, "ref_pos", "scale", "norm").agg(F.sum("dot").alias("dot"))
+
+
+def reference_norms(pairs: DataFrame, weighted: DataFrame, refs: References) -> DataFrame:
+    """(doc_id, ref_pos, ref_norm): the length of a quotation under the weights of a report, for the
+    reports and quotations of the pairs."""
+    asked = pairs.select("doc_id", "ref_pos", "scale").distinct()
+    terms = asked.join(refs.postings.join(refs.frequencies, "term"), "ref_pos")
+    in_report = weighted.filter("df_ref > 0").select("doc_id", "term", "df_doc")
+    idf = F.col("scale") - F.log(1.0 + F.col("df_ref") + F.coalesce("df_doc", F.lit(0)))
+    weight = F.col("ref_tf") * idf
+    joined = terms.join(in_report, ["doc_id", "term"], "left")
+    return joined.groupBy("doc_id", "ref_pos").agg(F.sqrt(F.sum(weight * weight)).alias("ref_norm"))
+
+
+def similarity_pairs(reports: DataFrame, refs: References, min_similarity: float = 0.0) -> DataFrame:
+    """(doc_id, trecho_id, ref_pos, sim) for pairs that share a term and whose
+    cosine, rounded to 12 decimals, reaches ``min_similarity``."""
+    weighted = weighted_terms(reports, refs)
+    vectors = chunk_vectors(term_idf(reports, refs), min_similarity)
+    pairs = candidate_pairs(vectors, refs)
+    if min_similarity > 0:
+        pairs = _completed(pairs, vectors, refs)
+    normed = pairs.join(reference_norms(pairs, weighted, refs), ["doc_id", "ref_pos"])
+    sim = F.rint(F.col("dot") / (F.col("norm") * F.col("ref_norm")) * 1e12) / 1e12
+    scored = normed.select(*KEYS, "ref_pos", sim.alias("sim"))
     return scored.filter(F.col("sim") >= min_similarity) if min_similarity > 0 else scored
 
 
+#: Similarities are whole numbers of 10^-12; positions fit below 10^20.
+_SIM_UNITS, _POSITIONS, _OFFSET = "1000000000000", "100000000000000000000", "9223372036854775808"
+
+
 def _best(pairs: DataFrame) -> DataFrame:
-    """One quotation per chunk: highest similarity, then the first quotation."""
-    best = F.max(F.struct("sim", (-F.col("ref_pos")).alias("minus_pos"))).alias("best")
-    return pairs.groupBy(*KEYS).agg(best).select(
-        *KEYS,
-        F.col("best.sim").alias("sim"),
-        (-F.col("best.minus_pos")).alias("ref_pos"),
+    """One quotation per chunk: highest similarity, then the first quotation. Both are packed into
+    one number, so that the maximum is a hash aggregate."""
+    units = F.rint(F.col("sim") * F.lit(1e12)).cast("decimal(15,0)")
+    place = F.col("ref_pos").cast("decimal(20,0)") + F.expr(f"cast({_OFFSET} as decimal(20,0))")
+    packed = (units * F.expr(f"cast('{_POSITIONS}' as decimal(21,0))") - place).cast("decimal(38,0)")
+    best = pairs.groupBy(*KEYS).agg(F.max(packed).alias("best"))
+    whole = F.expr(f"ceil(best / cast('{_POSITIONS}' as decimal(21,0)))").cast("decimal(17,0)")
+    unpacked = best.select(*KEYS, "best", whole.alias("units"))
+    position = (
+        F.col("units") * F.expr(f"cast('{_POSITIONS}' as decimal(21,0))")
+        - F.col("best")
+        - F.expr(f"cast({_OFFSET} as decimal(20,0))")
     )
+    return unpacked.select(*KEYS, (F.col("units").cast("double") / 1e12).alias("sim"), position.cast("bigint").alias("ref_pos"))
 
 
-def nearest_reference(chunks: DataFrame, refs: References) -> DataFrame:
+def nearest_reference(reports: DataFrame, refs: References) -> DataFrame:
     """(doc_id, trecho_id, sim, ref_pos) for every chunk; a chunk that shares no
     term with any quotation gets 0 and the first quotation."""
-    best = _best(similarity_pairs(chunks, refs))
+    best = _best(similarity_pairs(reports, refs))
     first = F.lit(refs.first).cast("bigint")
     return (
-        chunks.select(*KEYS)
+        report_chunks(dealt(reports))
+        .select(*KEYS)
         .join(best, KEYS, "left")
         .select(*KEYS, F.coalesce("sim", F.lit(0.0)).alias("sim"), F.coalesce("ref_pos", first).alias("ref_pos"))
     )
 
 
 def candidates(
-    chunks: DataFrame, refs: References, threshold: float = config.SIMILARITY_THRESHOLD
+    reports: DataFrame, refs: References, threshold: float = config.SIMILARITY_THRESHOLD
 ) -> DataFrame:
     """Chunks whose best similarity, rounded to four decimals, reaches the threshold.
 
@@ -230,14 +205,12 @@ def candidates(
     similarity = text.round4(F.col("sim"))
     if threshold > 0:
         # Half a unit of the fourth decimal below the threshold can still round up to it.
-        best = _best(similarity_pairs(chunks, refs, max(threshold - 0.0001, 1e-9)))
+        best = _best(similarity_pairs(reports, refs, max(threshold - 0.0001, 1e-9)))
         best = best.filter(similarity >= threshold)
     else:
-        best = nearest_reference(chunks, refs)
-    quoted = best.join(_maybe_broadcast(refs, refs.table), "ref_pos")
-    # Both sides lie by report already; a merge join needs no exchange and never
-    # ships the chunk texts, whatever their estimated size.
-    return chunks.join(quoted.hint("merge"), KEYS).select(
+        best = nearest_reference(reports, refs)
+    quoted = best.join(refs.table, "ref_pos")
+    return report_chunks(dealt(reports)).join(quoted, KEYS).select(
         "doc_id",
         "arquivo",
         "trecho_id",

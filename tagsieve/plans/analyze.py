@@ -9,24 +9,16 @@ from pyspark.sql import functions as F
 
 from tagsieve import config
 from tagsieve.operators import scoring, similarity
-from tagsieve.operators.chunks import report_chunks
-from tagsieve.session import tune
 
 #: Adds a ``logits`` column to a frame of chunks.
 Scorer = Callable[[DataFrame], DataFrame]
 
 
 def find_candidates(
-    reports: DataFrame,
-    refs: similarity.References,
-    threshold: float = config.SIMILARITY_THRESHOLD,
-    max_chars: int = config.COLOCATE_MAX_CHARS,
-    placed: bool = False,
-) -> list[DataFrame]:
-    """Stage 1 for (doc_id, nome, texto), as parts that keep their placement by report."""
-    tune(reports.sparkSession)
-    parts = similarity.by_report_parts(reports, max_chars, placed)
-    return [similarity.candidates(report_chunks(part), refs, threshold) for part in parts]
+    reports: DataFrame, refs: similarity.References, threshold: float = config.SIMILARITY_THRESHOLD
+) -> DataFrame:
+    """Stage 1 for (doc_id, nome, texto)."""
+    return similarity.candidates(reports, refs, threshold)
 
 
 def analyze(
@@ -37,19 +29,14 @@ def analyze(
     similarity_threshold: float = config.SIMILARITY_THRESHOLD,
     classification_threshold: float = config.CLASSIFICATION_THRESHOLD,
     review_below: float = config.REVIEW_THRESHOLD,
-    max_chars: int = config.COLOCATE_MAX_CHARS,
-    placed: bool = False,
 ) -> DataFrame:
     """Every candidate chunk with its prediction, unordered.
 
     Reports are scored independently, so several reports are simply several rows.
     Input without chunks or candidates gives an empty frame with the full schema.
     """
-    parts = find_candidates(reports, refs, similarity_threshold, max_chars, placed)
-    classified = [
-        scoring.classify(scorer(part), tags, classification_threshold, review_below) for part in parts
-    ]
-    return similarity.union_all(classified)
+    found = find_candidates(reports, refs, similarity_threshold)
+    return scoring.classify(scorer(found), tags, classification_threshold, review_below)
 
 
 def linear_scorer(model: scoring.LinearModel) -> Scorer:

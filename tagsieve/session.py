@@ -8,23 +8,13 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Runtime settings the plans rely on. The last one lets a join on (report, chunk)
-#: use a partitioning by report that is already there.
+#: Settings the plans rely on: sizes measured at run time decide about parts, broadcasts and skew.
 RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session made elsewhere."""
-    for key, value in RUNTIME.items():
-        spark.conf.set(key, value)
-    return spark
-
-
 def get_session(app_name: str = "tagsieve", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the plans rely on; a cluster's own settings are kept."""
     builder = SparkSession.builder.appName(app_name)

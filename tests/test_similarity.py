@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tagsieve.operators import chunks, similarity
+from tagsieve.operators import similarity
 from tagsieve.plans import analyze
 from tests import plain
 
@@ -51,7 +52,7 @@ def case(spark):
 
 
 def nearest(frame, refs):
-    found = similarity.nearest_reference(chunks.report_chunks(frame), refs).collect()
+    found = similarity.nearest_reference(frame, refs).collect()
     return {(r["doc_id"], r["trecho_id"]): (r["sim"], r["ref_pos"]) for r in found}
 
 
@@ -68,7 +69,7 @@ def test_nearest_equals_plain_python(case):
 @pytest.mark.parametrize("threshold", [0.0, 0.05, 0.15, 0.5])
 def test_candidates_equal_plain_python(case, threshold):
     frame, refs, expected = case
-    found = similarity.union_all(analyze.find_candidates(frame, refs, threshold)).collect()
+    found = analyze.find_candidates(frame, refs, threshold).collect()
     got = {
         (r["doc_id"], r["trecho_id"]): (r["similaridade"], r["trecho"], r["quotation_referencia"]) for r in found
     }
@@ -81,34 +82,6 @@ def test_candidates_equal_plain_python(case, threshold):
     assert got == wanted
 
 
-def test_huge_reports_take_the_other_way_with_the_same_rows(case):
-    frame, refs, _ = case
-    usual = similarity.union_all(analyze.find_candidates(frame, refs))
-    parts = analyze.find_candidates(frame, refs, max_chars=600)
-    assert len(parts) == 2 and all(part.count() for part in parts)
-    assert sorted(similarity.union_all(parts).collect()) == sorted(usual.collect())
-
-
-def test_reports_with_unknown_length_are_kept(spark, case):
-    _, refs, _ = case
-    text = "word1 word2 word3 word4 word5 word6 word7 word8"
-    frame = spark.createDataFrame(
-        [(1, "a", text, None), (2, "b", text, 10**7)],
-        "doc_id bigint, nome string, texto string, n_chars bigint",
-    )
-    parts = analyze.find_candidates(frame, refs, 0.0)
-    assert [part.count() for part in parts] == [1, 1]
-
-
-def test_big_reference_sets_are_not_broadcast_and_give_the_same(spark, case):
-    frame, refs, _ = case
-    big = similarity.prepare_references(refs.table, broadcast_max_chars=10)
-    assert refs.small and not big.small
-    shuffled, broadcast = nearest(frame, big), nearest(frame, refs)
-    assert {key: pos for key, (_, pos) in shuffled.items()} == {key: pos for key, (_, pos) in broadcast.items()}
-    assert [shuffled[key][0] for key in broadcast] == pytest.approx([sim for sim, _ in broadcast.values()])
-
-
 def test_a_report_is_scored_independently_of_the_others(case):
     frame, refs, _ = case
     alone = nearest(frame.filter("doc_id = 3"), refs)
@@ -123,7 +96,7 @@ def test_chunk_without_words_or_shared_terms(spark):
     )
     assert refs.count == 2
     assert nearest(reports, refs) == {(1, 1): (0.0, 3), (2, 1): (0.0, 3)}
-    zero = similarity.candidates(chunks.report_chunks(reports), refs, 0.0).collect()
+    zero = similarity.candidates(reports, refs, 0.0).collect()
     assert [(r["similaridade"], r["quotation_referencia"]) for r in zero] == [(0.0, "first words")] * 2
 
 
@@ -135,10 +108,7 @@ def test_similarity_is_rounded_before_the_threshold(spark, monkeypatch):
         similarity, "similarity_pairs", lambda c, r, least=0.0: pairs.filter(F.col("sim") >= least)
     )
     refs = similarity.prepare_references(spark.createDataFrame([(0, "q")], "ref_pos bigint, quotation string"))
-    rows = spark.createDataFrame(
-        [(1, "a", 1, "x", 2), (1, "a", 2, "y", 2)],
-        "doc_id bigint, arquivo string, trecho_id int, trecho string, n_trechos int",
-    )
+    rows = spark.createDataFrame([(1, "a", "x" * 50 + "\n\n" + "y" * 50)], "doc_id bigint, nome string, texto string")
     found = similarity.candidates(rows, refs, 0.15).collect()
     assert [(r["trecho_id"], r["similaridade"]) for r in found] == [(1, 0.15)]
 
@@ -147,7 +117,7 @@ def test_no_references_is_an_error(spark, case):
     frame, _, _ = case
     empty = similarity.prepare_references(spark.createDataFrame([], "ref_pos bigint, quotation string"))
     with pytest.raises(ValueError):
-        similarity.candidates(chunks.report_chunks(frame), empty)
+        similarity.candidates(frame, empty)
 
 
 def final_plan(frame) -> str:
@@ -157,34 +127,52 @@ def final_plan(frame) -> str:
     return frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
-def exchanges_of_reports(plan: str) -> list[str]:
-    return [
-        line for line in plan.splitlines() if " Exchange " in line and "doc_id" in line and "Reused" not in line
-    ]
+def shape(plan: str) -> list[str]:
+    """The operators of a plan that move rows or call Python."""
+    return re.findall(r"Exchange (?:SinglePartition|hashpartitioning|REBALANCE|\w+)|Cartesian\w*|NestedLoop\w*|\w*Python\w*", plan)
 
 
-def test_stage_one_moves_the_texts_once(case):
-    """One exchange of the reports by id, shared by the branch that scores and the one
-    that returns texts; no posting and no pair is moved."""
+def test_one_plan_for_small_and_huge_reports(spark, case):
+    """The same plan whatever the lengths, known or not; texts are dealt once, nothing goes to one
+    task, no cross join, no Python."""
+    frame, refs, _ = case
+    huge = spark.createDataFrame([(1, "a", "word1 word2 word3 " * 200_000)], frame.schema)
+    known = frame.withColumn("n_chars", F.length("texto"))
+    plans = [similarity.candidates(x, refs)._jdf.queryExecution().sparkPlan().toString() for x in (frame, huge, known)]
+    joins = [re.findall(r"\w+Join|\w*Aggregate|Repartition\w*|Rebalance\w*|Window", p) for p in plans]
+    assert joins[0] == joins[1] == joins[2]
+    plan = final_plan(similarity.candidates(frame, refs))
+    found = shape(plan)
+    assert not [x for x in found if "Cartesian" in x or "NestedLoop" in x or "Python" in x or "SinglePartition" in x]
+    assert "ReusedExchange" in plan
+
+
+def test_no_sort_comes_from_the_choice_of_the_nearest(case):
     frame, refs, _ = case
-    (part,) = analyze.find_candidates(frame, refs)
-    plan = final_plan(part)
-    (line,) = exchanges_of_reports(plan)
-    assert "REPARTITION_BY_NUM" in line
-    assert "ReusedExchange [doc_id" in plan
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    assert "Python" not in plan and "ArrowEval" not in plan
+    pairs = similarity.similarity_pairs(frame, refs)
+    assert "SortAggregate" not in similarity._best(pairs)._jdf.queryExecution().executedPlan().toString()
 
 
-def test_bucketed_reports_are_not_moved_at_all(spark, case):
+def test_threshold_saves_pairs_without_losing_any(case):
     frame, refs, _ = case
-    spark.sql("drop table if exists bucketed_reports")
-    frame.write.bucketBy(8, "doc_id").saveAsTable("bucketed_reports")
-    try:
-        table = spark.table("bucketed_reports")
-        (part,) = analyze.find_candidates(table, refs, placed=True)
-        assert exchanges_of_reports(final_plan(part)) == []
-        (usual,) = analyze.find_candidates(frame, refs)
-        assert sorted(part.collect()) == sorted(usual.collect())
-    finally:
-        spark.sql("drop table bucketed_reports")
+    everything = similarity.chunk_vectors(similarity.term_idf(frame, refs), 0.0)
+    some = similarity.chunk_vectors(similarity.term_idf(frame, refs), 0.3)
+    built = [similarity.candidate_pairs(x, refs).count() for x in (everything, some)]
+    assert built[1] < built[0]
+    key = lambda r: (r["doc_id"], r["trecho_id"], r["ref_pos"])
+    all_pairs = {key(r): r["sim"] for r in similarity.similarity_pairs(frame, refs).collect() if r["sim"] >= 0.3}
+    found = {key(r): r["sim"] for r in similarity.similarity_pairs(frame, refs, 0.3).collect()}
+    assert found == {k: pytest.approx(v, abs=1e-9) for k, v in all_pairs.items()}
+
+
+def test_a_word_in_every_chunk(spark):
+    blocks = "\n\n".join(f"common text number{i} which fills a chunk of words" for i in range(60))
+    frame = spark.createDataFrame([(i, f"r{i}", blocks) for i in range(20)], "doc_id bigint, nome string, texto string")
+    quotations = [(i, f"common number{i}") for i in range(10)]
+    refs = similarity.prepare_references(spark.createDataFrame(quotations, "ref_pos bigint, quotation string"))
+    pieces = plain.cut(blocks)
+    expected = [(s, p) for s, p in plain.best_matches(pieces, [q for _, q in quotations])]
+    got = nearest(frame, refs)
+    assert len(got) == 20 * 60
+    for (_, chunk), (sim, pos) in got.items():
+        assert (pytest.approx(expected[chunk - 1][0], abs=1e-9), expected[chunk - 1][1]) == (sim, pos)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagsieve import config
 from tagsieve.functions import text
-from tagsieve.operators import scoring, similarity
+from tagsieve.operators import chunks, scoring, similarity
 from tagsieve.operators.chunks import term_counts
 from tagsieve.plans import analyze
 from tagsieve.sources import tables
@@ -36,16 +36,9 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Deal rows over all cores where the files come as fewer splits than there are
-    cores; large tables, which have many splits, are left alone."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def spaced_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same reports with every line break widened to a blank line."""
-    return spread(reports(spark, sf_dir)).withColumn("texto", F.replace("texto", F.lit("\n"), F.lit("\n \n")))
+    return chunks.dealt(reports(spark, sf_dir)).withColumn("texto", F.replace("texto", F.lit("\n"), F.lit("\n \n")))
 
 
 def quotations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from tagsieve.operators import reports as report_ops
 from tagsieve.operators import reviews as review_ops
 from tagsieve.plans import analyze as analyze_plan
 from tagsieve.plans import training
-from tagsieve.session import fresh_folder, stored, tune
+from tagsieve.session import fresh_folder, stored
 from tagsieve.sources import reports as report_files
 from tagsieve.sources import sinks, tables
 from workload import inputs
@@ -28,15 +28,6 @@ def round6(value: Column) -> Column:
     return F.rint(value * 1e6) / 1e6
 
 
-def _placed_chunks(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    tune(spark)
-    return [chunks.report_chunks(part) for part in similarity.by_report_parts(inputs.reports(spark, sf_dir))]
-
-
-def _per_part(spark, sf_dir, step) -> DataFrame:
-    return similarity.union_all([step(part) for part in _placed_chunks(spark, sf_dir)])
-
-
 # Sources
 
 
@@ -132,7 +123,7 @@ def paragraphs(spark, sf_dir):
 
 
 def report_chunks(spark, sf_dir):
-    return chunks.report_chunks(inputs.spread(inputs.reports(spark, sf_dir)))
+    return chunks.report_chunks(chunks.dealt(inputs.reports(spark, sf_dir)))
 
 
 def paragraph_chunks(spark, sf_dir):
@@ -145,7 +136,7 @@ def chunk_counts(spark, sf_dir):
 
 
 def tokens(spark, sf_dir):
-    return chunks.term_counts(inputs.spread(inputs.reports(spark, sf_dir)), ["doc_id"], "texto")
+    return chunks.term_counts(chunks.dealt(inputs.reports(spark, sf_dir)), ["doc_id"], "texto")
 
 
 def ngrams(spark, sf_dir):
@@ -162,14 +153,14 @@ def tag_lists(spark, sf_dir):
 
 def term_idf(spark, sf_dir):
     refs = inputs.references(spark, sf_dir)
-    return _per_part(spark, sf_dir, lambda part: similarity.term_idf(part, refs)).select(
+    return similarity.term_idf(inputs.reports(spark, sf_dir), refs).select(
         "doc_id", "trecho_id", "term", "tf", "df_doc", "df_ref", round6(F.col("idf")).alias("idf")
     )
 
 
 def chunk_norms(spark, sf_dir):
     refs = inputs.references(spark, sf_dir)
-    return _per_part(spark, sf_dir, lambda part: similarity.chunk_norms(similarity.term_idf(part, refs))).select(
+    return similarity.chunk_norms(similarity.term_idf(inputs.reports(spark, sf_dir), refs)).select(
         "doc_id", "trecho_id", round6(F.col("norm")).alias("norm")
     )
 
@@ -177,21 +168,20 @@ def chunk_norms(spark, sf_dir):
 def similarity_pairs(spark, sf_dir):
     """Pairs down to the lowest threshold a user may choose."""
     refs = inputs.references(spark, sf_dir)
-    return _per_part(spark, sf_dir, lambda part: similarity.similarity_pairs(part, refs, 0.05)).select(
+    return similarity.similarity_pairs(inputs.reports(spark, sf_dir), refs, 0.05).select(
         "doc_id", "trecho_id", "ref_pos", round6(F.col("sim")).alias("sim")
     )
 
 
 def nearest_reference(spark, sf_dir):
     refs = inputs.references(spark, sf_dir)
-    return _per_part(spark, sf_dir, lambda part: similarity.nearest_reference(part, refs)).select(
+    return similarity.nearest_reference(inputs.reports(spark, sf_dir), refs).select(
         "doc_id", "trecho_id", text.round4(F.col("sim")).alias("sim"), "ref_pos"
     )
 
 
 def candidates(spark, sf_dir):
-    parts = analyze_plan.find_candidates(inputs.reports(spark, sf_dir), inputs.references(spark, sf_dir))
-    return similarity.union_all(parts)
+    return analyze_plan.find_candidates(inputs.reports(spark, sf_dir), inputs.references(spark, sf_dir))
 
 
 # Analysis and results
@@ -249,7 +239,7 @@ def report_coverage(spark, sf_dir):
 def report_status(spark, sf_dir):
     reports = inputs.reports(spark, sf_dir)
     found = analyze_plan.find_candidates(reports, inputs.references(spark, sf_dir))
-    return report_ops.report_status(chunks.chunk_counts(inputs.spread(reports)), similarity.union_all(found))
+    return report_ops.report_status(chunks.chunk_counts(chunks.dealt(reports)), found)
 
 
 def report_tag_counts(spark, sf_dir):
@@ -555,7 +545,7 @@ def batch_scores(spark, sf_dir):
 
         return predict
 
-    reports = inputs.spread(inputs.reports(spark, sf_dir))
+    reports = chunks.dealt(inputs.reports(spark, sf_dir))
     found = chunks.report_chunks(reports).select("doc_id", "trecho_id", "trecho")
     scored = scoring.score_batches(found, make_predict, batch_size=256)
     return scoring.classify(scored, ["long", "many a", "many e", "many i"]).select(
