@@ -1,7 +1,7 @@
 """Annotated quotations to tags, vocabulary, frequencies and label matrix.
 
-The label list is what a model outputs, so it is small; it travels to the rows as
-one array (a scalar subquery) and rows are never shuffled to be filtered by it.
+Tags are free text, so nothing is assumed about their number: rows meet tag tables in
+joins, which the optimizer makes broadcasts where the tables are small.
 """
 
 from __future__ import annotations
@@ -109,24 +109,37 @@ def rare_tags(frequency: DataFrame, min_count: int = config.MIN_TAG_COUNT) -> Da
 
 
 def keep_tags(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """Strip the tags that are not in ``kept``; a row may end with an empty list."""
-    allowed = kept.select(F.collect_list("tag")).scalar()
-    return rows.withColumn("tags", F.array_intersect("tags", allowed))
+    """Strip the tags that are not in ``kept``; a row, known by ``row_id``, may end with an empty list."""
+    single = rows.select("row_id", F.posexplode("tags").alias("_pos", "tag"))
+    staying = single.join(kept.select("tag"), "tag").groupBy("row_id")
+    lists = staying.agg(F.array_sort(F.collect_list(F.struct("_pos", "tag"))).alias("_kept"))
+    joined = rows.join(lists, "row_id", "left")
+    tags = F.coalesce(F.col("_kept.tag"), F.array().cast("array<string>"))
+    return joined.select(*[tags.alias(name) if name == "tags" else name for name in rows.columns])
+
+
+#: Tags are numbered within groups of this many leading characters.
+_PREFIX = 3
 
 
 def label_vocab(tags: DataFrame) -> DataFrame:
-    """(idx, tag) in code-point order, from 0. ``tags`` holds each tag once."""
-    position = F.row_number().over(Window.orderBy("tag")) - 1
-    return tags.select(position.alias("idx"), "tag")
+    """(idx, tag) in code-point order, from 0. ``tags`` holds each tag once.
+
+    Tags are ranked among those that begin alike; what comes before follows from the sizes of
+    these groups, so no task sees all tags."""
+    grouped = tags.select("tag", F.substring("tag", 1, _PREFIX).alias("_prefix"))
+    inner = F.row_number().over(Window.partitionBy("_prefix").orderBy("tag")) - 1
+    sizes = grouped.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_prefix", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    ranked = grouped.withColumn("_inner", inner).join(before, "_prefix")
+    return ranked.select((F.col("_before") + F.col("_inner")).cast("int").alias("idx"), "tag")
 
 
 def label_matrix(rows: DataFrame, vocab: DataFrame) -> DataFrame:
     """(row_id, idx) of the ones of the label matrix; unknown tags are ignored."""
-    ordered = vocab.agg(F.array_sort(F.collect_list(F.struct("idx", "tag"))).alias("v")).select("v.tag").scalar()
-    listed = rows.select("row_id", "tags", ordered.alias("_order"))
-    found = F.transform("tags", lambda tag: F.array_position("_order", tag).cast("int") - 1)
-    ones = listed.select("row_id", F.explode_outer(F.filter(found, lambda i: i >= 0)).alias("idx"))
-    return ones.filter("idx is not null")
+    single = rows.select("row_id", F.explode("tags").alias("tag"))
+    return single.join(vocab.select("idx", "tag"), "tag").select("row_id", "idx")
 
 
 def label_counts(rows: DataFrame, vocab: DataFrame) -> DataFrame:

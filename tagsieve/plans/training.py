@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagsieve import config
@@ -51,11 +51,41 @@ def training_set(
     return TrainingSet(rows, labels.label_vocab(kept.select("tag")), kept, labels.rare_tags(frequency, min_count))
 
 
+#: Terms of equal count are ranked among those with the same leading characters.
+_PREFIX = 3
+
+
 def top_terms(rows: DataFrame, limit: int = config.TFIDF_MAX_TERMS, column: str = "quotation") -> DataFrame:
-    """(term, n): the most frequent words and word pairs; equal counts in term order."""
+    """(term, n): the most frequent words and word pairs; equal counts in term order.
+
+    Counts of counts tell down to which count all terms are in. Of the terms with the count
+    that does not fit whole, counts by leading characters tell which are in, and only those
+    that begin like the last one are ranked. No task sees more than these.
+    """
     words = rows.select(text.tokens(F.col(column)).alias("words"))
     terms = words.select(F.explode_outer(text.with_bigrams(F.col("words"))).alias("term")).filter("term is not null")
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(limit)
+    counted = stored(terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    room, cut = limit, None
+    # there are about as many different counts as the square root of the number of words
+    for row in counted.groupBy("n").agg(F.count(F.lit(1)).alias("terms")).orderBy(F.desc("n")).toLocalIterator():
+        if row["terms"] > room:
+            cut = row["n"]
+            break
+        room -= row["terms"]
+    if cut is None:
+        return counted.orderBy(F.desc("n"), "term")
+    equal = counted.filter(F.col("n") == cut).withColumn("_prefix", F.substring("term", 1, _PREFIX))
+    last = ""
+    for row in equal.groupBy("_prefix").agg(F.count(F.lit(1)).alias("terms")).orderBy("_prefix").toLocalIterator():
+        last = row["_prefix"]
+        if row["terms"] > room:
+            break
+        room -= row["terms"]
+    rank = F.row_number().over(Window.partitionBy("_prefix").orderBy("term"))
+    ranked = equal.filter(F.col("_prefix") == last).withColumn("_rank", rank).filter(F.col("_rank") <= room)
+    whole = equal.filter(F.col("_prefix") < last)
+    found = counted.filter(F.col("n") > cut).unionByName(whole.drop("_prefix")).unionByName(ranked.drop("_prefix", "_rank"))
+    return found.orderBy(F.desc("n"), "term")
 
 
 def with_grams(rows: DataFrame, column: str = "quotation") -> DataFrame:
