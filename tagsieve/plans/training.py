@@ -187,6 +187,39 @@ def coefficient_table(model: scoring.LinearModel) -> DataFrame:
     )
 
 
+def optimality(train: DataFrame, vocab: DataFrame, model: scoring.LinearModel, tolerance: float) -> DataFrame:
+    """(idx, tag, n_train, n_pos, optimal) for every tag of ``vocab``: whether no component of the gradient
+    of the training objective, at these coefficients, exceeds the tolerance.
+
+    The objective is the mean of the losses, each weighing n / (2 * rows of its class), plus
+    |w|^2 / (2 * n), with a free intercept. Tags without rows of both classes have none, and
+    are not optimal."""
+    n = train.count()
+    counts = labels.label_counts(train, vocab)
+    grams = with_grams(train).select("row_id", "tags", F.explode("grams").alias("term"))
+    tf = grams.groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    weighted = tf.join(model.terms, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    norms = weighted.groupBy("row_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    features = stored(weighted.join(norms, "row_id").select("row_id", "term", (F.col("w") / F.col("norm")).alias("x")))
+    rows = score_rows(train, model).select("row_id", "idx", "tag", "prob", F.array_contains("tags", F.col("tag")).alias("truth"))
+    sides = counts.select("idx", "pos", "n")
+    weight = F.when(F.col("truth"), 0.5 / F.col("pos")).otherwise(0.5 / (F.col("n") - F.col("pos")))
+    usable = rows.join(sides.filter((F.col("pos") > 0) & (F.col("pos") < F.col("n"))), "idx")
+    error = stored(usable.select("row_id", "idx", (weight * (F.col("prob") - F.col("truth").cast("int"))).alias("e")))
+    slopes = features.join(error, "row_id").groupBy("term", "idx").agg(F.sum(F.col("x") * F.col("e")).alias("g"))
+    coefficients = model.terms.select("term", F.posexplode("coefs").alias("idx", "coef"))
+    both = coefficients.join(slopes, ["term", "idx"], "left")
+    gradient = F.abs(F.coalesce("g", F.lit(0.0)) + F.col("coef") / n)
+    steepest = both.groupBy("idx").agg(F.max(gradient).alias("slope"))
+    free = error.groupBy("idx").agg(F.abs(F.sum("e")).alias("free"))
+    small = (F.greatest("slope", "free") <= tolerance * 1.01) & F.col("free").isNotNull()
+    return (
+        counts.join(steepest, "idx", "left")
+        .join(free, "idx", "left")
+        .select("idx", "tag", F.col("n").alias("n_train"), F.col("pos").alias("n_pos"), F.coalesce(small, F.lit(False)).alias("optimal"))
+    )
+
+
 def save_model(model: scoring.LinearModel, folder: str, features: PipelineModel | None = None) -> dict[str, str]:
     """Coefficients and, where given, the fitted vectorizer side by side."""
     paths = {"classificador": f"{folder}/classificador"}
@@ -197,6 +230,11 @@ def save_model(model: scoring.LinearModel, folder: str, features: PipelineModel
     return paths
 
 
+def load_features(folder: str) -> PipelineModel:
+    """The fitted vectorizer stored next to a model."""
+    return PipelineModel.load(f"{folder}/vectorizer")
+
+
 def load_model(spark: SparkSession, folder: str) -> scoring.LinearModel:
     """Linear model from a stored coefficient table."""
     table = spark.read.parquet(f"{folder}/classificador")

@@ -437,18 +437,24 @@ EDITED_TAGS = "list_filter(tags, lambda t: t NOT IN ('quality 0', 'quality 1'))"
 EXTENSION = "CASE lang WHEN 'en' THEN 'TXT' WHEN 'fr' THEN 'txt' WHEN 'de' THEN 'doc' ELSE 'pdf' END"
 
 LINEAR_SCORES = with_(
-    [("items", "SELECT item_id AS doc_id, 1 AS trecho_id, text AS trecho FROM benchmark")] + scoring("items"),
+    [("items", "SELECT doc_id, 1 AS trecho_id, text AS trecho FROM documents")] + scoring("items"),
     f"SELECT doc_id, trecho_id, idx, tag, {round6('prob')} AS prob FROM probs",
 )
 
 ORACLES = {
     "analyze": with_(RESULTS, "SELECT * FROM results ORDER BY confianca DESC, arquivo, trecho_id"),
     "read_quotations": with_(ANNOTATED, "SELECT ref_pos, quotation, codes FROM annotated"),
-    "read_reports": """SELECT source, sum(length(text) + 1)::BIGINT AS n_chars,
-        sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines FROM documents GROUP BY source""",
+    "read_reports": """SELECT source, sum(length(line) + 1)::BIGINT AS n_chars, count(*) AS n_lines,
+        sum(('0x' || substr(md5(line), 1, 8))::BIGINT)::BIGINT AS digest
+        FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY source""",
     "read_docx": f"""SELECT doc_id::VARCHAR AS nome, array_to_string(list_filter(list_transform(
         string_split(text, chr(10)), lambda l: {strip('l')}), lambda l: l <> ''), chr(10) || chr(10)) AS texto
         FROM documents WHERE {strip('text')} <> ''""",
+    "docx_intake": f"""SELECT path, CASE WHEN NOT rejected THEN texto END AS texto, rejected FROM (
+        SELECT 'in/' || doc_id || '.docx' AS path, doc_id % 7 = 0 OR doc_id % 5 = 0 AS rejected, text,
+               array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: {strip('l')}), lambda l: l <> ''),
+                 chr(10) || chr(10)) AS texto
+        FROM documents) WHERE rejected OR {strip('text')} <> ''""",
     "report_intake": f"""SELECT path, CASE WHEN ok THEN 'report.v' || doc_id END AS nome, CASE WHEN ok THEN text END AS texto,
         CASE WHEN ok THEN NULL WHEN ext = 'doc' THEN 'old .doc files are not supported: save as .docx'
              ELSE 'format ''.' || ext || ''' is not supported: send .txt or .docx' END AS reason
@@ -471,7 +477,8 @@ ORACLES = {
            FROM blocks LEFT JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) USING (doc_id)""",
     ),
     "tokens": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tokens('text')}) AS term FROM documents) GROUP BY ALL",
-    "ngrams": with_(MODEL[:1], "SELECT item_id AS ref_pos, term, c AS tf FROM item_terms"),
+    "ngrams": f"""SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({grams('w')}) AS term
+        FROM (SELECT doc_id, {tokens('text')} AS w FROM documents)) GROUP BY ALL""",
     "tag_lists": with_(ANNOTATED, f"SELECT ref_pos, array_to_string({tag_list('codes')}, ' | ') AS tags FROM annotated"),
     "term_idf": with_(IDF, f"SELECT doc_id, trecho_id, term, tf, df_doc, df_ref, {round6('idf')} AS idf FROM weighted"),
     "chunk_norms": with_(IDF, f"SELECT doc_id, trecho_id, {round6('norm')} AS norm FROM norms"),
@@ -606,7 +613,9 @@ ORACLES = {
     "untrained_tags": with_(
         BASE,
         """SELECT idx, tag FROM (SELECT row_number() OVER (ORDER BY tag) - 1 AS idx, tag FROM freq)
-           ANTI JOIN (SELECT unnest(tags) AS tag FROM tagged WHERE NOT list_contains(tags, 'low quality')) USING (tag)""",
+           ANTI JOIN (SELECT unnest(tags) AS tag FROM tagged WHERE row_id NOT IN (
+             SELECT row_id FROM (SELECT row_id, row_number() OVER (ORDER BY md5('42:' || row_id), row_id) AS pos FROM tagged)
+             WHERE pos <= (SELECT round_even(count(*) * 0.2, 0) FROM tagged))) USING (tag)""",
     ),
     "pos_weight": with_walk(
         f"""SELECT idx, tag, pos, n - pos AS neg,
@@ -628,6 +637,16 @@ ORACLES = {
         ],
         f"SELECT row_id, term, {round6('w / sqrt(sum(w * w) OVER (PARTITION BY row_id))')} AS weight FROM w",
     ),
+    "vectorizer_files": with_(
+        BASE_TERMS
+        + [
+            ("tf", "SELECT row_id, term, count(*) AS tf FROM base_terms SEMI JOIN top USING (term) GROUP BY ALL"),
+            ("df", "SELECT term, ln((1.0 + (SELECT count(*) FROM base)) / (1.0 + count(*))) + 1 AS idf FROM tf GROUP BY term"),
+            ("w", "SELECT row_id, term, tf * idf AS w FROM tf JOIN df USING (term)"),
+        ],
+        f"SELECT row_id, term, {round6('w / sqrt(sum(w * w) OVER (PARTITION BY row_id))')} AS weight FROM w",
+    ),
+    "train_lr": with_walk("SELECT idx, tag, n AS n_train, pos AS n_pos, pos > 0 AND pos < n AS optimal FROM counts", COUNTS),
     "run_stats": with_walk(
         """SELECT count(*) AS n_rows, count(*) FILTER (WHERE NOT is_test) AS n_train, count(*) FILTER (WHERE is_test) AS n_test,
              (SELECT count(*) FROM kept) AS n_tags, (SELECT sum(len(paras))::BIGINT FROM blocks) AS n_paragrafos,
@@ -646,7 +665,13 @@ ORACLES = {
     "batch_scores": batch_scores(),
     "f1_metrics": f1({"vectors": 1.0}, 0.5),
     "model_comparison": f1({"plain": 1.0, "sharp": 3.0}, 0.9),
-    "result_files": with_(VECTORS, "SELECT * FROM vec_decoded"),
-    "result_csv": "SELECT item_id AS ref_pos, text AS quotation FROM benchmark",
+    "result_files": with_(
+        VECTORS + [("known", f"SELECT unnest({sql_list(LABELS)}) AS tag")],
+        f"""SELECT 'resultado_2_relatorios_20240506_0708' AS nome, 'resultados' AS parte, doc_id::VARCHAR AS chave, tags_preditas,
+              confianca, numero_tags::BIGINT AS numero, revisar, soma
+            FROM vec_decoded JOIN (SELECT doc_id, {round6('sum(prob)')} AS soma FROM vec_probs GROUP BY doc_id) USING (doc_id)
+            UNION ALL SELECT 'resultado_2_relatorios_20240506_0708', 'frequencia_tags', tag, NULL, NULL, NULL, NULL, NULL FROM known""",
+    ),
+    "result_csv": with_(RESULTS, "SELECT doc_id, trecho_id, trecho, confianca, revisar, tags_preditas AS tags FROM results"),
     "label_files": with_(BASE, "SELECT tag, f.n, coalesce(idx, -1) AS idx FROM freq f LEFT JOIN (SELECT tag, idx FROM kept) USING (tag)"),
 }

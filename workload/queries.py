@@ -60,8 +60,8 @@ def report_intake(spark, sf_dir):
     )
 
 
-def read_docx(spark, sf_dir):
-    """Documents packed as .docx files, one paragraph per line, and read back."""
+def _docx_files(spark, sf_dir) -> DataFrame:
+    """Documents packed as .docx files, one paragraph per line."""
 
     def pack(batches):
         import io
@@ -90,20 +90,45 @@ def read_docx(spark, sf_dir):
     documents = inputs.table(spark, sf_dir, "documents").select(
         F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), "text"
     )
-    files = documents.mapInPandas(pack, "path string, content binary")
-    return report_files.intake(files).reports.select("nome", "texto")
+    return documents.mapInPandas(pack, "path string, content binary")
+
+
+def read_docx(spark, sf_dir):
+    """Documents packed as .docx files and read back."""
+    return report_files.intake(_docx_files(spark, sf_dir)).reports.select("nome", "texto")
+
+
+def docx_intake(spark, sf_dir):
+    """The same files, every fifth cut in half and every seventh without content: the sound ones are
+    read, the others listed with a reason."""
+    number = F.regexp_extract("path", "([0-9]+)", 1).cast("bigint")
+    half = F.expr("substring(content, 1, cast(octet_length(content) / 2 as int))")
+    content = F.when(number % 7 == 0, F.lit(b"")).when(number % 5 == 0, half).otherwise(F.col("content"))
+    result = report_files.intake(_docx_files(spark, sf_dir).select("path", content.alias("content")))
+    nothing = F.lit(None).cast("string")
+    return result.reports.select(F.col("doc_id").alias("path"), "texto", F.lit(False).alias("rejected")).unionByName(
+        result.rejected.select("path", nothing.alias("texto"), F.col("reason").isNotNull().alias("rejected"))
+    )
 
 
 def read_reports(spark, sf_dir):
-    """Documents written as text files, one folder per source, and read back as whole
-    reports; every document ends with a line break there."""
+    """Documents written as text files, one folder per source, and read back as whole reports; every
+    document ends with a line break there. The sum of line digests compares the texts."""
     folder = f"{fresh_folder(spark)}/reports"
     lines = inputs.table(spark, sf_dir, "documents").select("source", F.col("text").alias("value"))
     lines.write.partitionBy("source").option("compression", "none").text(folder)
     found = report_files.read_folder(spark, folder).reports
-    return found.groupBy(F.regexp_extract("doc_id", "source=([^/]*)/", 1).alias("source")).agg(
-        F.sum(F.length("texto").cast("bigint")).alias("n_chars"),
-        F.sum((F.size(F.split("texto", "\n")) - 1).cast("bigint")).alias("n_lines"),
+    read = F.slice(F.split("texto", "\n"), F.lit(1), F.size(F.split("texto", "\n")) - 1)
+    digest = F.conv(F.substring(F.md5(F.col("line").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    source = F.regexp_extract("doc_id", "source=([^/]*)/", 1).alias("source")
+    return (
+        found.select(source, F.explode(read).alias("line"))
+        .groupBy("source")
+        .agg(
+            F.sum(F.length("line").cast("bigint") + 1).alias("n_chars"),
+            F.count(F.lit(1)).alias("n_lines"),
+            F.sum(digest).alias("digest"),
+        )
     )
 
 
@@ -140,7 +165,7 @@ def tokens(spark, sf_dir):
 
 
 def ngrams(spark, sf_dir):
-    return chunks.term_counts(inputs.quotations(spark, sf_dir), ["ref_pos"], "quotation", bigrams=True)
+    return chunks.term_counts(chunks.dealt(inputs.reports(spark, sf_dir)), ["doc_id"], "texto", bigrams=True)
 
 
 def tag_lists(spark, sf_dir):
@@ -431,10 +456,11 @@ def training_set(spark, sf_dir):
 
 
 def untrained_tags(spark, sf_dir):
-    """Tags that only low-quality rows carry, as seen from the other rows."""
-    tagged = _tagged(spark, sf_dir)
+    """Tags that no row of the training part of a random split carries."""
+    tagged = stored(_tagged(spark, sf_dir))
     vocab = labels.label_vocab(labels.tag_frequency(tagged).select("tag"))
-    return labels.untrained_tags(tagged.filter(~F.array_contains("tags", "low quality")), vocab)
+    train = split.random_split(tagged).filter(~F.col("is_test"))
+    return labels.untrained_tags(train, vocab)
 
 
 def _counts(spark, sf_dir) -> DataFrame:
@@ -462,7 +488,28 @@ def tfidf_features(spark, sf_dir):
     return features.withColumn("weight", round6(F.col("weight")))
 
 
+def vectorizer_files(spark, sf_dir):
+    """The features of ``tfidf_features`` from a vectorizer that was stored and loaded again."""
+    rows = _base(spark, sf_dir)
+    folder = fresh_folder(spark)
+    training.save_model(inputs.fixed_model(spark, sf_dir), folder, training.fit_features(rows))
+    features = training.feature_rows(training.load_features(folder), rows)
+    return features.withColumn("weight", round6(F.col("weight")))
+
+
 def train_lr(spark, sf_dir):
+    """Train on the training part: for each tag, the rows, and whether the stored coefficients are where
+    the gradient of the objective is as small as the tolerance asks."""
+    data = _set(spark, sf_dir)
+    rows = stored(data.rows)
+    train = rows.filter(~F.col("is_test"))
+    features = training.fit_features(train)
+    folder = fresh_folder(spark)
+    training.save_model(training.fit_linear(train, data.vocab, features), folder, features)
+    return training.optimality(train, data.vocab, training.load_model(spark, folder), config.LR_TOLERANCE)
+
+
+def train_f1(spark, sf_dir):
     """Train on the training part, score the test part, report F1."""
     data = _set(spark, sf_dir)
     rows = stored(data.rows)
@@ -494,7 +541,7 @@ def run_stats(spark, sf_dir):
 
 
 def linear_scores(spark, sf_dir):
-    """Every quotation scored with the fixed model, one row per tag."""
+    """Every document scored with the fixed model, one row per tag."""
     return _quotation_scores(spark, sf_dir, inputs.fixed_model(spark, sf_dir))
 
 
@@ -506,8 +553,8 @@ def model_files(spark, sf_dir):
 
 
 def _quotation_scores(spark, sf_dir, model: scoring.LinearModel) -> DataFrame:
-    rows = inputs.quotations(spark, sf_dir).select(
-        F.col("ref_pos").alias("doc_id"), F.lit(1).alias("trecho_id"), F.col("quotation").alias("trecho")
+    rows = chunks.dealt(inputs.reports(spark, sf_dir)).select(
+        "doc_id", F.lit(1).alias("trecho_id"), F.col("texto").alias("trecho")
     )
     scored = scoring.classify(scoring.score_linear(rows, model), model.tags)
     return scoring.long_scores(scored, model.tags).select(
@@ -580,20 +627,39 @@ def model_comparison(spark, sf_dir):
 
 
 def result_files(spark, sf_dir):
-    """Results and frequencies written as two datasets, results read back."""
+    """Results and frequencies written as two datasets, both read back, with the name they are under."""
     from datetime import datetime
 
     name = sinks.output_name(["a", "b"], datetime.fromisoformat(REVIEWED_AT))
     scored = _classified(spark, sf_dir).drop("label")
     paths = sinks.write_results(scored, inputs.label_frequencies(spark, sf_dir), fresh_folder(spark), name)
-    return spark.read.parquet(paths["resultados"]).select("doc_id", "tags_preditas", "confianca", "numero_tags", "revisar")
+    names = {part: path.split("/")[-2:] for part, path in paths.items()}
+    results = spark.read.parquet(paths["resultados"])
+    whole, part = names["resultados"]
+    rows = results.select(
+        F.lit(whole).alias("nome"), F.lit(part).alias("parte"), F.col("doc_id").cast("string").alias("chave"),
+        "tags_preditas", "confianca", F.col("numero_tags").cast("bigint").alias("numero"), "revisar",
+        round6(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)).alias("soma"),
+    )
+    whole, part = names["frequencia_tags"]
+    frequencies = spark.read.parquet(paths["frequencia_tags"]).select(
+        F.lit(whole).alias("nome"), F.lit(part).alias("parte"), F.col("tag").alias("chave"),
+        F.lit(None).cast("string").alias("tags_preditas"), F.lit(None).cast("double").alias("confianca"),
+        F.col("n").alias("numero"), F.lit(None).cast("boolean").alias("revisar"), F.lit(None).cast("double").alias("soma"),
+    )
+    return rows.unionByName(frequencies)
 
 
 def result_csv(spark, sf_dir):
-    """Candidate texts written as CSV and read back, line breaks and quotes included."""
-    path = sinks.write_csv(inputs.quotations(spark, sf_dir), fresh_folder(spark), "resultado")
+    """Results with a list column and the texts written as CSV and read back, line breaks and quotes included."""
+    results = inputs.results(spark, sf_dir).select(
+        "doc_id", "trecho_id", "trecho", "confianca", "revisar",
+        F.split("tags_preditas", r" \| ").alias("tags"),
+    )
+    path = sinks.write_csv(results, fresh_folder(spark), "resultado")
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    return reader.schema("ref_pos bigint, quotation string").csv(path)
+    kinds = "doc_id bigint, trecho_id int, trecho string, confianca double, revisar boolean, tags string"
+    return reader.schema(kinds).csv(path)
 
 
 def label_files(spark, sf_dir):
@@ -612,6 +678,7 @@ QUERIES = {
     "read_quotations": read_quotations,
     "read_reports": read_reports,
     "read_docx": read_docx,
+    "docx_intake": docx_intake,
     "report_intake": report_intake,
     "label_vocab": label_vocab,
     "clean_quotations": clean_quotations,
@@ -662,6 +729,8 @@ QUERIES = {
     "top_terms": top_terms,
     "tfidf_features": tfidf_features,
     "train_lr": train_lr,
+    "train_f1": train_f1,
+    "vectorizer_files": vectorizer_files,
     "run_stats": run_stats,
     "linear_scores": linear_scores,
     "model_files": model_files,
