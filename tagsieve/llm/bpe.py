@@ -49,9 +49,11 @@ NEWER = (
 #: The same for texts of ASCII characters alone.
 ASCII_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
 #: Pieces and pairs remembered per worker; longer pieces are encoded anew each time.
-CACHED_PIECES = 300_000
-CACHED_PAIRS = 1_000_000
+CACHED_PIECES = 200_000
+CACHED_PAIRS = 400_000
 CACHED_CHARS = 48
+#: Texts whose results are handed back together.
+SLICE = 256
 
 
 def byte_symbols() -> dict[str, int]:
@@ -221,7 +223,8 @@ def encoded(text: Column, path: str) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         code = codec(path)
         for batch in batches:
-            yield pa.array([code.encode(t.as_py() or "") for t in batch], pa.binary())
+            for at in range(0, len(batch), SLICE):
+                yield pa.array([code.encode(t.as_py() or "") for t in batch[at : at + SLICE]], pa.binary())
 
     return ids(text)
 
@@ -231,7 +234,8 @@ def decoded(ids: Column, path: str) -> Column:
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         code = codec(path)
         for batch in batches:
-            yield pa.array([code.decode(i.as_py() or b"") for i in batch], pa.string())
+            for at in range(0, len(batch), SLICE):
+                yield pa.array([code.decode(i.as_py() or b"") for i in batch[at : at + SLICE]], pa.string())
 
     return texts(ids)
 
