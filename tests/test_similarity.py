@@ -176,3 +176,15 @@ def test_a_word_in_every_chunk(spark):
     assert len(got) == 20 * 60
     for (_, chunk), (sim, pos) in got.items():
         assert (pytest.approx(expected[chunk - 1][0], abs=1e-9), expected[chunk - 1][1]) == (sim, pos)
+
+
+def test_the_session_keeps_its_settings(spark, case):
+    frame, refs, _ = case
+    spark.conf.set("spark.sql.session.timeZone", "America/Lima")
+    before = dict(spark.sparkContext.getConf().getAll()), {r["key"]: r["value"] for r in spark.sql("set").collect()}
+    try:
+        analyze.find_candidates(frame, refs).collect()
+        after = dict(spark.sparkContext.getConf().getAll()), {r["key"]: r["value"] for r in spark.sql("set").collect()}
+        assert after == before
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
