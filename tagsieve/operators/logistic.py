@@ -18,8 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Up to this many partial gradients are fetched directly; more are first summed in groups.
-_DIRECT = 16
+#: Partial gradients are added up in a tree with this many branches at each node; its root is the driver.
+_FAN = 32
 
 
 def _partial_gradients(model, n_rows: int, pos: np.ndarray, slice_rows: int = 256):
@@ -69,7 +69,7 @@ def _partial_gradients(model, n_rows: int, pos: np.ndarray, slice_rows: int = 25
 
 def _add_up(group: pd.DataFrame) -> pd.DataFrame:
     total = sum(np.frombuffer(sums) for sums in group["sums"])
-    return pd.DataFrame({"sums": [total.tobytes()]})
+    return pd.DataFrame({"slot": [int(group["slot"].iloc[0])], "sums": [total.tobytes()]})
 
 
 def _evaluate(rows: DataFrame, n_rows: int, pos: np.ndarray, penalty: float):
@@ -80,10 +80,10 @@ def _evaluate(rows: DataFrame, n_rows: int, pos: np.ndarray, penalty: float):
     def at(point: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         model = context.broadcast((point[1:], point[0], live))
         partial = rows.mapInPandas(_partial_gradients(model, n_rows, pos), "sums binary")
-        if tasks > _DIRECT:
-            groups = int(np.ceil(np.sqrt(tasks)))
-            numbered = partial.withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(groups)))
-            partial = numbered.groupBy("slot").applyInPandas(_add_up, "sums binary")
+        partial, parts = partial.withColumn("slot", F.spark_partition_id()), tasks
+        while parts > _FAN:
+            nodes = partial.withColumn("slot", F.expr(f"slot div {_FAN}").cast("int")).groupBy("slot")
+            partial, parts = nodes.applyInPandas(_add_up, "slot int, sums binary"), -(-parts // _FAN)
         total = sum(np.frombuffer(row["sums"]) for row in partial.collect()).reshape(-1, point.shape[1])
         model.destroy()
         loss, grad = total[0].copy(), total[1:].copy()
