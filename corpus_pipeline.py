@@ -49,9 +49,12 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = queries.vocabulary_path()
-    coded = docs.withColumn("ids", bpe.encoded(F.col("text"), path))
-    return coded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long")).withColumn(
-        "round_trip", bpe.decoded(F.col("ids"), path) == F.coalesce("text", F.lit(""))
+    coded = bpe.encode_and_decode(docs, "text", path, "ids", "__llm_decoded")
+    same = F.col("__llm_decoded") == F.coalesce("text", F.lit(""))
+    return (
+        coded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+        .withColumn("round_trip", same)
+        .drop("__llm_decoded")
     )
 
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -33,6 +33,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagsieve.llm.common import released
+
 #: Fixed value: how the byte-level pre-tokenizer cuts text.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 #: Letters and numbers newer than Unicode 16, which the library does not count as such.
@@ -49,8 +51,8 @@ NEWER = (
 #: The same for texts of ASCII characters alone.
 ASCII_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
 #: Pieces and pairs remembered per worker; longer pieces are encoded anew each time.
-CACHED_PIECES = 200_000
-CACHED_PAIRS = 400_000
+CACHED_PIECES = 150_000
+CACHED_PAIRS = 300_000
 CACHED_CHARS = 48
 #: Texts whose results are handed back together.
 SLICE = 256
@@ -216,15 +218,19 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _sliced(batches: Iterator[pa.Array], convert: Callable[[pa.Array], pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield convert(batch[at : at + SLICE])
+
+
 def encoded(text: Column, path: str) -> Column:
     """The packed ids of a text; path: a vocabulary file that every executor can open."""
 
     @F.arrow_udf("binary")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         code = codec(path)
-        for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                yield pa.array([code.encode(t.as_py() or "") for t in batch[at : at + SLICE]], pa.binary())
+        return released(_sliced(batches, lambda b: pa.array([code.encode(t.as_py() or "") for t in b], pa.binary())))
 
     return ids(text)
 
@@ -233,16 +239,37 @@ def decoded(ids: Column, path: str) -> Column:
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         code = codec(path)
-        for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                yield pa.array([code.decode(i.as_py() or b"") for i in batch[at : at + SLICE]], pa.string())
+        return released(_sliced(batches, lambda b: pa.array([code.decode(i.as_py() or b"") for i in b], pa.string())))
 
     return texts(ids)
 
 
+def round_trip(text: Column, path: str) -> Column:
+    """struct(ids, decoded): the packed ids of a text and the text decoded from them, in one pass."""
+
+    @F.arrow_udf("struct<ids:binary,decoded:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        code = codec(path)
+
+        def convert(part: pa.Array) -> pa.Array:
+            ids = [code.encode(t.as_py() or "") for t in part]
+            texts = pa.array([code.decode(i) for i in ids], pa.string())
+            return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), texts], ["ids", "decoded"])
+
+        return released(_sliced(batches, convert))
+
+    return both(text)
+
+
 def encode(df: DataFrame, text: str, path: str, ids: str = "ids") -> DataFrame:
     return df.withColumn(ids, encoded(F.col(text), path))
 
 
 def decode(df: DataFrame, ids: str, path: str, text: str = "decoded") -> DataFrame:
     return df.withColumn(text, decoded(F.col(ids), path))
+
+
+def encode_and_decode(df: DataFrame, text: str, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """df with the packed ids and the text decoded from them."""
+    pair = df.withColumn("__llm_pair", round_trip(F.col(text), path))
+    return pair.withColumn(ids, F.col("__llm_pair.ids")).withColumn(out, F.col("__llm_pair.decoded")).drop("__llm_pair")

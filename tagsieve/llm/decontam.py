@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagsieve.llm.common import released
+
 WINDOW = 10
 #: Windows that one pass searches, about; it bounds the broadcast.
 SHARD_WINDOWS = 200_000
@@ -169,8 +171,7 @@ def _unite(spans):
 
 
 def _search(shared):
-    @F.arrow_udf(RESULT)
-    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def searched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tables = _tables(shared.value)
         for batch in batches:
             out = []
@@ -187,4 +188,8 @@ def _search(shared):
                 )
             yield pa.array(out, _ARROW)
 
+    @F.arrow_udf(RESULT)
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return released(searched(batches))
+
     return search

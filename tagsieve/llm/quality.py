@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagsieve.llm.common import released
+
 MAX_ROWS = 20_000
 BINS = 32
 PAIR_BINS = 8
@@ -243,12 +245,15 @@ def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str, max
 def score(text: Column, model: Model) -> Column:
     """The score of a text, 0 to 1. The model's tables, some 20 KB, travel with the function."""
 
-    @F.arrow_udf("double")
-    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = np.array([describe(t.as_py()) for t in batch], float).reshape(-1, len(FEATURES))
             yield pa.array(model.scores(rows), pa.float64())
 
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return released(judged(batches))
+
     return scored(text)
 
 

@@ -121,7 +121,7 @@ def op7_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    read = bpe.decode(bpe.encode(docs, "text", path), "ids", path)
+    read = bpe.encode_and_decode(docs, "text", path)
     return read.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

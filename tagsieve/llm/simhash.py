@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagsieve.llm.common import stored
+from tagsieve.llm.common import released, stored
 
 BITS = 64
 SHINGLE = 3
@@ -73,12 +73,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
     """The fingerprint as a signed 64-bit number."""
 
-    @F.arrow_udf("bigint")
-    def simhash(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def printed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch), np.uint64, len(batch))
             yield pa.array(found.view(np.int64), pa.int64())
 
+    @F.arrow_udf("bigint")
+    def simhash(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return released(printed(batches))
+
     return simhash(text)
 
 

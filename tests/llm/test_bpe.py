@@ -64,4 +64,6 @@ def test_odd_tables(spark, library):
         assert ids(row.ids) == library.encode(row.text or "", add_special_tokens=False).ids
         assert row.decoded == (row.text or "")
     assert len(rows) == len(ODD_TEXTS)
+    both = bpe.encode_and_decode(docs, "text", PATH).collect()
+    assert sorted((r.doc_id, bytes(r.ids), r.decoded) for r in both) == sorted((r.doc_id, bytes(r.ids), r.decoded) for r in rows)
     assert bpe.encode(docs.limit(0), "text", PATH).count() == 0
