@@ -16,11 +16,12 @@ from tagsieve.functions import text
 
 
 def dealt(reports: DataFrame) -> DataFrame:
-    """(doc_id, nome, texto), dealt over the cluster in parts of measured size.
+    """(doc_id, nome, texto), dealt over the cluster by report.
 
     Cutting texts costs far more than moving them, and files may come in too few or too large
-    splits. All that reads the same reports shares this one exchange."""
-    return reports.select("doc_id", "nome", "texto").hint("rebalance")
+    splits. All that reads the same reports shares this one exchange, whose parts adaptive
+    execution merges by their measured size, but not below the number of cores."""
+    return reports.select("doc_id", "nome", "texto").repartition("doc_id")
 
 
 def report_paragraphs(reports: DataFrame) -> DataFrame:
@@ -52,39 +53,6 @@ def report_chunks(
     )
 
 
-def report_terms(reports: DataFrame) -> DataFrame:
-    """(doc_id, n_trechos, term, df_doc, found): every term of a report with the number of chunks that
-    have it, and these chunks as (trecho_id, tf).
-
-    All is counted inside the report's row: the words of all chunks are sorted by word and chunk,
-    runs of equal ones give ``tf``, and runs of the same word give ``df_doc``. Nothing is shuffled.
-    """
-    cut = reports.select("doc_id", text.chunks(F.col("texto")).alias("_pieces"))
-    word = lambda i: lambda w: F.struct(w.alias("term"), (i + 1).alias("trecho_id"))
-    words = F.flatten(F.transform("_pieces", lambda piece, i: F.transform(text.tokens(piece), word(i))))
-    listed = cut.select("doc_id", F.size("_pieces").alias("n_trechos"), F.sort_array(words).alias("_words"))
-    runs = listed.select("doc_id", "n_trechos", "_words", text.run_starts(F.col("_words")).alias("_starts"))
-    counted = runs.select("doc_id", "n_trechos", text.run_counts(F.col("_words"), F.col("_starts")).alias("_runs"))
-    begins = F.transform(
-        "_runs", lambda run, i: F.when((i == 0) | (run.term.term != F.get("_runs", i - 1).term.term), i)
-    )
-    terms = counted.select("*", F.filter(begins, lambda i: i.isNotNull()).alias("_terms"))
-    entry = F.transform(
-        "_terms",
-        lambda at, i: F.struct(
-            F.get("_runs", at).term.term.alias("term"),
-            F.transform(
-                F.slice("_runs", at + 1, F.coalesce(F.get("_terms", i + 1), F.size("_runs")) - at),
-                lambda run: F.struct(run.term.trecho_id.alias("trecho_id"), run.tf.cast("bigint").alias("tf")),
-            ).alias("found"),
-        ),
-    )
-    exploded = terms.select("doc_id", "n_trechos", F.explode_outer(entry).alias("_t")).filter("_t is not null")
-    return exploded.select(
-        "doc_id", "n_trechos", "_t.term", F.size("_t.found").cast("bigint").alias("df_doc"), "_t.found"
-    )
-
-
 def chunk_counts(reports: DataFrame) -> DataFrame:
     """(doc_id, arquivo, n_paragrafos, n_trechos), also for reports without any chunk."""
     return reports.select(

@@ -5,29 +5,28 @@ quotations plus that report's own chunks: with ``n`` texts and document
 frequency ``df`` the weight is ``tf * (1 + ln((1 + n) / (1 + df)))``. A chunk's
 score is the largest cosine with any quotation.
 
-One plan serves every size. Texts are dealt over the cluster by their bytes, once. A
-report's terms are counted inside its row: how often each chunk has a term, and in how
-many chunks it occurs. These rows, one per report and term, are exchanged by (report, term)
-and serve both the chunk vectors and the lengths of the quotations, which every report
-weighs in its own way. Joins are left to the optimizer, which broadcasts by size and
-splits a term or a quotation that most rows share.
-
-With a threshold, few pairs have to be built. A chunk's commonest terms are set aside as
-long as their squared weights sum to less than threshold^2 times the squared length of the
-chunk: a quotation that shares only such terms cannot reach the threshold. Pairs are found by the
-other terms; their sums are then completed with the terms set aside.
+Expanding reports x quotation terms is avoided: writing ``idf = A - l`` with ``A = 1 + ln(1 + n)``
+and ``l = ln(1 + df)``, the squared length of a quotation under reference-only frequencies is
+``A^2*m0 - 2*A*m1 + m2`` with three per-quotation sums, and a report only corrects the
+terms it shares with the quotation. The same joined rows give the dot products, so the
+corpus is walked once.
+
+One plan serves every size. Texts are dealt over the cluster by report, once. Every later
+grouping is by report and something finer, so it stays in place. Joins with the quotations are
+left to the optimizer: it broadcasts them by size, and where they are too large it splits a
+term or a quotation that most rows share.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagsieve import config
 from tagsieve.functions import text
-from tagsieve.operators.chunks import dealt, report_chunks, report_terms, term_counts
+from tagsieve.operators.chunks import dealt, report_chunks, term_counts
 
 KEYS = ["doc_id", "trecho_id"]
 
@@ -39,6 +38,7 @@ class References:
     table: DataFrame  # ref_pos, quotation
     postings: DataFrame  # term, ref_pos, ref_tf
     frequencies: DataFrame  # term, df_ref
+    moments: DataFrame  # ref_pos, m0, m1, m2
     count: int
     first: int | None  # position of the first quotation
 
@@ -49,33 +49,40 @@ def prepare_references(quotations: DataFrame) -> References:
     size = table.agg(F.count(F.lit(1)).alias("n"), F.min("ref_pos").alias("first")).first()
     postings = term_counts(table, ["ref_pos"], "quotation").withColumnRenamed("tf", "ref_tf")
     frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df_ref"))
-    return References(table, postings, frequencies, size["n"], size["first"])
+    log_df = F.log(1.0 + F.col("df_ref"))
+    square = F.col("ref_tf") * F.col("ref_tf")
+    moments = (
+        postings.join(frequencies, "term")
+        .groupBy("ref_pos")
+        .agg(
+            F.sum(square.cast("double")).alias("m0"),
+            F.sum(square * log_df).alias("m1"),
+            F.sum(square * log_df * log_df).alias("m2"),
+        )
+    )
+    return References(table, postings, frequencies, moments, size["n"], size["first"])
 
 
-def weighted_terms(reports: DataFrame, refs: References) -> DataFrame:
-    """(doc_id, term, df_doc, df_ref, scale, idf, found): a report's terms with their smoothed weight
-    and the chunks that have them; ``scale`` is ``1 + ln(1 + n)``."""
-    terms = report_terms(dealt(reports)).repartition("doc_id", "term")
-    joined = terms.join(refs.frequencies, "term", "left")
+def term_idf(reports: DataFrame, refs: References) -> DataFrame:
+    """(doc_id, trecho_id, term, tf, df_doc, df_ref, scale, idf): every chunk
+    posting with its report's smoothed weight; ``scale`` is ``1 + ln(1 + n)``."""
+    chunks = report_chunks(dealt(reports))
+    postings = term_counts(chunks, ["doc_id", "arquivo", "n_trechos", "trecho_id"], "trecho")
+    # The report's name adds nothing to the key. It makes this branch read the same
+    # columns as the one that returns the texts, so both share one exchange of them.
+    in_report = Window.partitionBy("doc_id", "term", "arquivo")
+    counted = postings.withColumn("df_doc", F.count(F.lit(1)).over(in_report))
+    joined = counted.join(refs.frequencies, "term", "left")
     df_ref = F.coalesce("df_ref", F.lit(0))
     scale = 1.0 + F.log(1.0 + refs.count + F.col("n_trechos"))
     return joined.select(
-        "doc_id",
+        *KEYS,
         "term",
+        "tf",
         "df_doc",
         df_ref.alias("df_ref"),
         scale.alias("scale"),
         (scale - F.log(1.0 + F.col("df_doc") + df_ref)).alias("idf"),
-        "found",
-    )
-
-
-def term_idf(reports: DataFrame, refs: References) -> DataFrame:
-    """(doc_id, trecho_id, term, tf, df_doc, df_ref, scale, idf): every chunk posting."""
-    others = ("term", "df_doc", "df_ref", "scale", "idf")
-    exploded = weighted_terms(reports, refs).select("doc_id", *others, F.explode("found").alias("_hit"))
-    return exploded.select(
-        "doc_id", F.col("_hit.trecho_id").alias("trecho_id"), "term", F.col("_hit.tf").alias("tf"), *others[1:]
     )
 
 
@@ -85,82 +92,43 @@ def chunk_norms(weighted: DataFrame) -> DataFrame:
     return weighted.groupBy(*KEYS).agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
 
 
-def chunk_vectors(postings: DataFrame, min_similarity: float) -> DataFrame:
-    """(doc_id, trecho_id, scale, norm, terms, aside): a chunk's terms that quotations use, commonest
-    first, of which the first ``aside`` cannot make a pair of ``min_similarity`` by themselves.
-
-    A chunk is a short text, and so is the list of its terms."""
+def similarity_pairs(reports: DataFrame, refs: References, min_similarity: float = 0.0) -> DataFrame:
+    """(doc_id, trecho_id, ref_pos, sim) for pairs that share a term and whose
+    cosine, rounded to 12 decimals, reaches ``min_similarity``."""
     weight = F.col("tf") * F.col("idf")
-    entry = F.struct((-F.col("df_ref")).alias("rank"), "term", (weight * F.col("idf")).alias("w"), (weight * weight).alias("square"))
-    vectors = postings.groupBy(*KEYS, "scale").agg(
-        F.sqrt(F.sum(weight * weight)).alias("norm"),
-        F.sort_array(F.collect_list(F.when(F.col("df_ref") > 0, entry))).alias("terms"),
+    in_chunk = Window.partitionBy(*KEYS)
+    weighted = (
+        term_idf(reports, refs)
+        .withColumn("chunk_norm", F.sqrt(F.sum(weight * weight).over(in_chunk)))
+        .filter("df_ref > 0")
     )
-    limit = min_similarity * min_similarity * (1.0 - 1e-9) * F.col("norm") * F.col("norm")
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(True).alias("open"))
-    passed = F.aggregate(
-        "terms",
-        start,
-        lambda state, t: F.when(
-            state.open & (state["sum"] + t.square <= limit),
-            F.struct((state["sum"] + t.square).alias("sum"), (state.n + 1).alias("n"), F.lit(True).alias("open")),
-        ).otherwise(F.struct(state["sum"].alias("sum"), state.n.alias("n"), F.lit(False).alias("open"))),
+    ref_only_idf = F.col("scale") - F.log(1.0 + F.col("df_ref"))
+    ref_tf = F.col("ref_tf")
+    idf = F.col("idf")
+    pairs = (
+        weighted.join(refs.postings, "term")
+        .groupBy(*KEYS, "ref_pos", "scale", "chunk_norm")
+        .agg(
+            F.sum(weight * ref_tf * idf).alias("dot"),
+            # A term's correction is shared out over the chunks that contain it.
+            F.sum(ref_tf * ref_tf * (idf * idf - ref_only_idf * ref_only_idf) / F.col("df_doc")).alias("part"),
+        )
     )
-    aside = passed["n"] if min_similarity > 0 else F.lit(0)
-    return vectors.withColumn("aside", aside)
-
-
-def candidate_pairs(vectors: DataFrame, refs: References) -> DataFrame:
-    """(doc_id, trecho_id, ref_pos, scale, norm, dot): pairs that share a term not set aside, with the
-    part of the dot product that those terms make."""
-    kept = F.slice("terms", F.col("aside") + 1, F.size("terms"))
-    listed = vectors.select(*KEYS, "scale", "norm", F.explode(kept).alias("_t"))
-    postings = listed.select(*KEYS, "scale", "norm", F.col("_t.term").alias("term"), F.col("_t.w").alias("w"))
-    return (
-        postings.join(refs.postings, "term")
-        .groupBy(*KEYS, "ref_pos", "scale", "norm")
-        .agg(F.sum(F.col("w") * F.col("ref_tf")).alias("dot"))
+    in_report = Window.partitionBy("doc_id", "ref_pos")
+    corrected = pairs.withColumn("correction", F.sum("part").over(in_report)).join(
+        refs.moments, "ref_pos"
     )
-
-
-def _completed(pairs: DataFrame, vectors: DataFrame, refs: References) -> DataFrame:
-    """The pairs with the dot products of all shared terms."""
-    aside = vectors.filter("aside > 0").select(*KEYS, F.explode(F.slice("terms", F.lit(1), F.col("aside"))).alias("_t"))
-    terms = aside.select(*KEYS, F.col("_t.term").alias("term"), F.col("_t.w").alias("w"))
-    found = pairs.select(*KEYS, "ref_pos", "scale", "norm").join(terms, KEYS).join(refs.postings, ["term", "ref_pos"])
-    rest = found.select(*KEYS, "ref_pos", "scale", "norm", (F.col("w") * F.col("ref_tf")).alias("dot"))
-    both = pairs.select(*rest.columns).unionByName(rest)
-    return both.groupBy(*KEYS, "ref_pos", "scale", "norm").agg(F.sum("dot").alias("dot"))
-
-
-def reference_norms(pairs: DataFrame, weighted: DataFrame, refs: References) -> DataFrame:
-    """(doc_id, ref_pos, ref_norm): the length of a quotation under the weights of a report, for the
-    reports and quotations of the pairs."""
-    asked = pairs.select("doc_id", "ref_pos", "scale").distinct()
-    terms = asked.join(refs.postings.join(refs.frequencies, "term"), "ref_pos")
-    in_report = weighted.filter("df_ref > 0").select("doc_id", "term", "df_doc")
-    idf = F.col("scale") - F.log(1.0 + F.col("df_ref") + F.coalesce("df_doc", F.lit(0)))
-    weight = F.col("ref_tf") * idf
-    joined = terms.join(in_report, ["doc_id", "term"], "left")
-    return joined.groupBy("doc_id", "ref_pos").agg(F.sqrt(F.sum(weight * weight)).alias("ref_norm"))
-
-
-def similarity_pairs(reports: DataFrame, refs: References, min_similarity: float = 0.0) -> DataFrame:
-    """(doc_id, trecho_id, ref_pos, sim) for pairs that share a term and whose
-    cosine, rounded to 12 decimals, reaches ``min_similarity``."""
-    weighted = weighted_terms(reports, refs)
-    vectors = chunk_vectors(term_idf(reports, refs), min_similarity)
-    pairs = candidate_pairs(vectors, refs)
-    if min_similarity > 0:
-        pairs = _completed(pairs, vectors, refs)
-    normed = pairs.join(reference_norms(pairs, weighted, refs), ["doc_id", "ref_pos"])
-    sim = F.rint(F.col("dot") / (F.col("norm") * F.col("ref_norm")) * 1e12) / 1e12
-    scored = normed.select(*KEYS, "ref_pos", sim.alias("sim"))
+    scale = F.col("scale")
+    ref_norm = F.sqrt(
+        scale * scale * F.col("m0") - 2.0 * scale * F.col("m1") + F.col("m2") + F.col("correction")
+    )
+    sim = F.rint(F.col("dot") / (F.col("chunk_norm") * ref_norm) * 1e12) / 1e12
+    scored = corrected.select(*KEYS, "ref_pos", sim.alias("sim"))
     return scored.filter(F.col("sim") >= min_similarity) if min_similarity > 0 else scored
 
 
-#: Similarities are whole numbers of 10^-12; positions fit below 10^20.
-_SIM_UNITS, _POSITIONS, _OFFSET = "1000000000000", "100000000000000000000", "9223372036854775808"
+#: Positions, moved above zero by the offset, fit below 10^20.
+_POSITIONS, _OFFSET = "100000000000000000000", "9223372036854775808"
 
 
 def _best(pairs: DataFrame) -> DataFrame:

@@ -153,18 +153,6 @@ def test_no_sort_comes_from_the_choice_of_the_nearest(case):
     assert "SortAggregate" not in similarity._best(pairs)._jdf.queryExecution().executedPlan().toString()
 
 
-def test_threshold_saves_pairs_without_losing_any(case):
-    frame, refs, _ = case
-    everything = similarity.chunk_vectors(similarity.term_idf(frame, refs), 0.0)
-    some = similarity.chunk_vectors(similarity.term_idf(frame, refs), 0.3)
-    built = [similarity.candidate_pairs(x, refs).count() for x in (everything, some)]
-    assert built[1] < built[0]
-    key = lambda r: (r["doc_id"], r["trecho_id"], r["ref_pos"])
-    all_pairs = {key(r): r["sim"] for r in similarity.similarity_pairs(frame, refs).collect() if r["sim"] >= 0.3}
-    found = {key(r): r["sim"] for r in similarity.similarity_pairs(frame, refs, 0.3).collect()}
-    assert found == {k: pytest.approx(v, abs=1e-9) for k, v in all_pairs.items()}
-
-
 def test_a_word_in_every_chunk(spark):
     blocks = "\n\n".join(f"common text number{i} which fills a chunk of words" for i in range(60))
     frame = spark.createDataFrame([(i, f"r{i}", blocks) for i in range(20)], "doc_id bigint, nome string, texto string")
