@@ -128,8 +128,8 @@ def parse(formatted: Column) -> Column:
         other = let(
             F.substr(piece, F.lit(11), F.length(piece) - 18),
             lambda inner: F.struct(
-                unescaped(F.regexp_extract(inner, r"(?s)^((?:[^\n\\]++|\\.)*+)\n", 1)).alias("role"),
-                unescaped(F.regexp_extract(inner, r"(?s)^(?:[^\n\\]++|\\.)*+\n(.*)$", 1)).alias("text"),
+                unescaped(F.regexp_extract(inner, r"(?s)^(.*?(?<!\\)(?:\\\\)*+)\n", 1)).alias("role"),
+                unescaped(F.regexp_extract(inner, r"(?s)^.*?(?<!\\)(?:\\\\)*+\n(.*)$", 1)).alias("text"),
             ),
         )
         answer = F.struct(

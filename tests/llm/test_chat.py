@@ -71,3 +71,9 @@ def test_odd_tables(spark):
     assert twice[0] == [("user", "a")] * 3
     many = read(spark, [(1, i, 0, "delta", "assistant", "x") for i in range(5000)])[1]
     assert hashlib.sha256(many[1][0].encode()).digest() == hashlib.sha256(b"x" * 5000).digest()
+
+
+def test_long_roles_and_escapes(spark):
+    events = [(1, 0, 0, "message", "\\\n" * 30_000 + "r\\", "</s>" * 30_000), (1, 1, 1, "message", "assistant", "\\" * 60_000)]
+    turns, loss, _ = read(spark, events)[1]
+    assert turns == [(events[0][4], events[0][5]), ("assistant", events[1][5])] and loss == [events[1][5]]

@@ -101,3 +101,11 @@ def test_odd_tables(spark):
     assert pii.pseudonymise(docs.limit(0), "text", "k", "kinds").count() == 0
     long = "mail a@b.org. " * 5000
     assert rewrite(spark, [long])[0][0].count("@b.org. ") == 5000
+
+
+def test_long_runs_do_not_overflow(spark):
+    runs = ["x@" + "a." * 100_000, "a." * 100_000 + "@b", "1 " * 100_000, "1-" * 50_000 + "a@", "@" * 50_000, "+1" * 50_000,
+            "AB12 " * 40_000, "1.1.1." * 30_000, "token=" * 30_000 + "1"]
+    out = rewrite(spark, runs)
+    assert len(out) == len(runs)
+    assert all(len(out[i][0]) == len(t) for i, t in enumerate(runs) if i not in (7,))
