@@ -19,7 +19,10 @@ Kinds, and what makes a match valid:
 * date: yyyy-MM-dd, dd.MM.yyyy or dd/MM/yyyy, a real day of the years 1800 to 2199;
 * secret: 16 to 64 hex digits assigned to a name like token, key, secret or password.
 
-Matches that fail validation stay as they are. A value is read as a string of symbols with a
+What fails validation stays as it is. Every place where a value may begin is tried, kind by kind in
+the order email and secret, iban, ip, date and ssn, phone with +, card, phone; of the readings that begin there the first
+valid one counts: the length of the country's accounts or phones, usual groups of a card, then the longest.
+Numbers beside a value, such as an expiry date or a currency, neither hide it nor join it. A value is read as a string of symbols with a
 radix each; its halves are two integers below a and b, and ten rounds add a keyed SHA-256 of
 one half to the other modulo a or b in turn, which is a permutation of the a * b values. Days
 are permuted within a 400-year cycle of 146097 = 189 * 773 days. Long values are cut into
@@ -34,6 +37,8 @@ columns stay.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,20 +49,66 @@ ROUNDS = 10
 #: Symbols in a block: halves of at most 15 hex digits, 12 letters or digits of radix 26.
 BLOCK = 24
 
-#: The patterns of the kinds, in order of preference.
+#: Where a value of a kind may begin, with all that it may take and what follows.
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9][A-Za-z0-9\-]{0,62}\.){1,8}[A-Za-z]{2,24}+"
-IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 IP = r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])"
 DATE = r"(?<![\w.\-/])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w\-/])"
 SSN = r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])"
-CARD = r"(?<![\w\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\w\-])"
-PHONE = (
-    r"(?<![\w+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}"
-    r"|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![\w\-])"
-)
 SECRET = r"""(?i:token|secret|password|passwd|api[_\-]?key|key)\s{0,3}+[=:]\s{0,3}+["']?+[0-9a-fA-F]{16,64}+(?![0-9A-Za-z])"""
+IBAN = r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}.{0,45}"
+CARD = r"(?:(?<![\w\-])|(?<=[0-9]-))[0-9](?:[ \-]?[0-9]){12}.{0,26}"
+PLUS_PHONE = r"(?<![\w+])\+[0-9](?:[ .()\-]{0,3}[0-9]){5}.{0,40}"
+PHONE = r"(?<![\w+])\(?[0-9]{3}[) .\-].{8,14}"
 #: No value begins inside a word.
-ANY = "(?<![A-Za-z0-9])(?:" + "|".join((EMAIL, SECRET, IBAN, IP, DATE, SSN, CARD, PHONE)) + ")"
+OUTSIDE = "(?<![A-Za-z0-9])"
+#: A number may be followed by another one after a hyphen, but by no word.
+END = r"(?!\w|-(?![0-9]))"
+
+#: Cards in their usual groups, longest first, then in any groups.
+CARD_GROUPS = (
+    *(rf"[0-9]{{4}}([ \-])[0-9]{{4}}\2[0-9]{{4}}\2[0-9]{{4}}\2[0-9]{{{n}}}" for n in (3, 2, 1)),
+    *(rf"[0-9]{{{n}}}" for n in (19, 18, 17, 16)),
+    *(rf"[0-9]{{4}}([ \-])[0-9]{{4}}\2[0-9]{{4}}\2[0-9]{{{n}}}" for n in (4, 3, 2, 1)),
+    *(rf"[0-9]{{4}}([ \-])[0-9]{{6}}\2[0-9]{{{n}}}" for n in (5, 4)),
+    *(rf"[0-9]{{{n}}}" for n in (15, 14, 13)),
+)
+CARD_ANY = tuple(rf"[0-9](?:[ \-]?[0-9]){{{n - 1}}}" for n in range(19, 12, -1))
+
+#: Characters of an account number by country.
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+
+
+def _iban_pattern(size: int, countries: str = "[A-Z]{2}") -> str:
+    fours, rest = divmod(size - 4, 4)
+    return rf"{countries}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+#: The country's own length, then any other, longest first.
+IBANS = (
+    "(?:" + "|".join(_iban_pattern(n, f"(?:{c.replace(' ', '|')})") + r"\b" for n, c in IBAN_SIZES.items()) + ")",
+    *(_iban_pattern(n) for n in range(34, 14, -1)),
+)
+
+#: Digits after the country code where a country has one length only.
+PLANS = {1: 10, 7: 10, 33: 9, 34: 9, 41: 9, 45: 8, 47: 8, 48: 9, 52: 10, 91: 10, 351: 9}
+PLUS_PHONES = (
+    "(?:"
+    + "|".join(rf"\+{c}[ .\-]?\(?[0-9](?:\)?[ .\-]?\(?[0-9]){{{n - 1}}}{END}" for c, n in PLANS.items())
+    + ")",
+    *(
+        rf"\+[0-9]{{1,3}}[ .\-]?(?:\([0-9]{{1,4}}\)[ .\-]?)?[0-9]{{2,4}}(?:[ .\-]?[0-9]{{2,4}}){{{n}}}"
+        for n in (4, 3, 2, 1)
+    ),
+)
+PHONES = (
+    r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}",
+    r"[0-9]{3}-[0-9]{3}-[0-9]{4}",
+)
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 CYCLE = (189, 773)
@@ -226,6 +277,13 @@ def _mod97(text: Column) -> Column:
     )
 
 
+def _iban_valid(m: Column) -> Column:
+    return let(
+        F.replace(m, F.lit(" "), F.lit("")),
+        lambda p: _mod97(F.concat(F.substr(p, F.lit(5), F.length(p)), F.substr(p, F.lit(1), F.lit(4)))) == 1,
+    )
+
+
 def _iban(key: str, m: Column) -> Column:
     def renewed(plain: Column) -> Column:
         country = F.substr(plain, F.lit(1), F.lit(2))
@@ -273,13 +331,16 @@ def _ssn(key: str, m: Column) -> Column:
     return F.when(valid, let(pair, written)).otherwise(m)
 
 
+def _phone_valid(m: Column) -> Column:
+    digits = F.length(_digits(m))
+    return F.when(m.startswith("+"), (digits >= 8) & (digits <= 15)).otherwise(digits == 10)
+
+
 def _phone(key: str, m: Column) -> Column:
     head = F.regexp_extract(m, r"^(\+[0-9]{1,3}(?![0-9])|\+|)", 1)
-    digits = F.length(_digits(m))
-    valid = F.when(m.startswith("+"), (digits >= 8) & (digits <= 15)).otherwise(digits == 10)
     rest = F.substr(m, F.length(head) + 1, F.length(m))
     new = let(_digits(rest), lambda d: _refilled(rest, permuted(key, F.lit("phone"), d)))
-    return F.when(valid, F.concat(head, new)).otherwise(m)
+    return F.when(_phone_valid(m), F.concat(head, new)).otherwise(m)
 
 
 def _ip(key: str, m: Column) -> Column:
@@ -333,58 +394,127 @@ def _secret(key: str, m: Column) -> Column:
     return F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(value)), F.when(upper, F.upper(new)).otherwise(new))
 
 
-def pseudonym(key: str, m: Column) -> Column:
-    """struct(kind, text) of one match; kind is null where validation fails."""
+SEGMENTS = "array<struct<kind:string,old:string,text:string>>"
+
+
+def _value(kind: str, old: Column, text: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), old.alias("old"), text.alias("text"))
+
+
+def _free(text: Column) -> Column:
+    return F.struct(F.lit(None).cast("string").alias("kind"), text.alias("old"), text.alias("text"))
+
+
+def _first(m: Column, patterns: tuple[str, ...], valid: Callable[[Column], Column]) -> Column:
+    """The first of the patterns' readings of the beginning of m that is valid; null where none is."""
+    readings = F.array(*[F.regexp_extract(m, f"^({p}){END}", 1) for p in patterns])
+    return F.get(F.filter(readings, lambda o: (o != "") & valid(o)), F.lit(0))
+
 
-    def whole(pattern: str) -> Column:
-        return m.rlike(f"^(?:{pattern})$")
+def _read(kind: str, m: Column, patterns: tuple[str, ...], valid: Callable, renew: Callable) -> Column:
+    return let(_first(m, patterns, valid), lambda o: F.when(o.isNotNull(), _value(kind, o, renew(o))))
 
+
+def _named(key: str, m: Column) -> Column:
+    return F.when(m.contains("@"), _value("email", m, _email(key, m))).otherwise(_value("secret", m, _secret(key, m)))
+
+
+def _dated(key: str, m: Column) -> Column:
+    """An address, a day or a number of three groups; null where validation fails."""
     renewed = (
-        F.when(m.contains("@"), F.struct(F.lit("email").alias("kind"), _email(key, m).alias("text")))
-        .when(m.rlike("[=:]"), F.struct(F.lit("secret").alias("kind"), _secret(key, m).alias("text")))
-        .when(m.rlike("^[A-Z]"), F.struct(F.lit("iban").alias("kind"), _iban(key, m).alias("text")))
-        .when(whole(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"), F.struct(F.lit("ip").alias("kind"), _ip(key, m).alias("text")))
-        .when(
-            whole(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}"),
-            F.struct(F.lit("date").alias("kind"), _date(key, m).alias("text")),
+        F.when(m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), _value("ip", m, _ip(key, m)))
+        .when(m.rlike("^[0-9]{3}-"), _value("ssn", m, _ssn(key, m)))
+        .otherwise(_value("date", m, _date(key, m)))
+    )
+    return let(renewed, lambda v: F.when(v["text"] != m, v))
+
+
+def _card_valid(o: Column) -> Column:
+    return _luhn_sum(_digits(o)) % 10 == 0
+
+
+def _passes(key: str) -> list[tuple[str, Callable[[Column], Column]]]:
+    """Where values may begin, and the value that begins there, kind by kind."""
+    return [
+        (f"{OUTSIDE}(?:{EMAIL}|{SECRET})", lambda m: _named(key, m)),
+        (f"{OUTSIDE}{IBAN}", lambda m: _read("iban", m, IBANS[:1], _iban_valid, lambda o: _iban(key, o))),
+        (f"{OUTSIDE}{IBAN}", lambda m: _read("iban", m, IBANS[1:], _iban_valid, lambda o: _iban(key, o))),
+        (f"{OUTSIDE}(?:{IP}|{DATE}|{SSN})", lambda m: _dated(key, m)),
+        (f"{OUTSIDE}{PLUS_PHONE}", lambda m: _read("phone", m, PLUS_PHONES, _phone_valid, lambda o: _phone(key, o))),
+        (f"{OUTSIDE}{CARD}", lambda m: _read("card", m, CARD_GROUPS, _card_valid, lambda o: _card(key, o))),
+        (f"{OUTSIDE}{CARD}", lambda m: _read("card", m, CARD_ANY, _card_valid, lambda o: _card(key, o))),
+        (f"{OUTSIDE}{PHONE}", lambda m: _read("phone", m, PHONES, _phone_valid, lambda o: _phone(key, o))),
+    ]
+
+
+def _searched(x: Column, pattern: str, value: Callable[[Column], Column]) -> Column:
+    """x in segments: values and the free text around them. Every place where the pattern fits is
+    tried, so what fails hides nothing; of overlapping values the first stays."""
+
+    def cut(c: Column) -> Column:
+        tried = F.transform(
+            c["found"], lambda m, i: F.struct(value(m).alias("v"), F.length(F.get(c["pieces"], i + 1)).alias("n"))
+        )
+
+        def step(s: Column, t: Column) -> Column:
+            take = t["v"]["kind"].isNotNull() & (s["at"] >= s["free"])
+            one = F.struct(s["at"].alias("at"), t["v"].alias("v"))
+            return F.struct(
+                F.when(take, F.concat(s["out"], F.array(one))).otherwise(s["out"]).alias("out"),
+                (s["at"] + t["n"]).alias("at"),
+                F.when(take, s["at"] + F.length(t["v"]["old"])).otherwise(s["free"]).alias("free"),
+            )
+
+        start = F.struct(
+            F.expr(f"cast(array() as array<struct<at:int,v:{SEGMENTS[6:-1]}>>)").alias("out"),
+            # the line break before x is not counted
+            (F.length(F.get(c["pieces"], F.lit(0))) - 1).alias("at"),
+            F.lit(0).alias("free"),
         )
-        .when(whole("[0-9]{3}-[0-9]{2}-[0-9]{4}"), F.struct(F.lit("ssn").alias("kind"), _ssn(key, m).alias("text")))
-        .when(
-            whole(r"[0-9](?:[ \-]?[0-9]){12,18}"), F.struct(F.lit("card").alias("kind"), _card(key, m).alias("text"))
+        return let(F.aggregate(tried, start, step)["out"], segments)
+
+    def segments(out: Column) -> Column:
+        def end(i: Column) -> Column:
+            return F.when(i < 0, F.lit(0)).otherwise(
+                let(F.get(out, F.greatest(i, F.lit(0))), lambda o: o["at"] + F.length(o["v"]["old"]))
+            )
+
+        pairs = F.transform(
+            out,
+            lambda o, i: let(
+                end(i - 1), lambda e: F.array(_free(F.substr(x, e + 1, o["at"] - e)), o["v"])
+            ),
         )
-        .otherwise(F.struct(F.lit("phone").alias("kind"), _phone(key, m).alias("text")))
+        rest = let(end(F.size(out) - 1), lambda e: F.array(_free(F.substr(x, e + 1, F.length(x)))))
+        return F.when(F.size(out) == 0, F.array(_free(x))).otherwise(F.concat(F.flatten(pairs), rest))
+
+    # a match at the very beginning would leave no piece before it
+    y = F.concat(F.lit("\n"), x)
+    return let(
+        F.regexp_extract_all(y, F.lit(f"(?=({pattern}))"), 1),
+        lambda found: F.when(F.size(found) == 0, F.array(_free(x))).otherwise(
+            let(F.struct(found.alias("found"), F.split(y, f"(?={pattern})", -1).alias("pieces")), cut)
+        ),
     )
-    return renewed
+
+
+def _cutter(pattern: str, value: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """What cuts the free ones among segments."""
+    return lambda s: F.when(
+        s["kind"].isNull() & s["old"].rlike("[0-9@]"), _searched(s["old"], pattern, value)
+    ).otherwise(F.array(s))
 
 
 def pseudonymise(df: DataFrame, text: str, key: str, kinds: str | None = None) -> DataFrame:
     """df with personal values in the text column replaced. kinds names a new column with the
     kinds of the replaced values, in order of place."""
     marked = f"__llm_{text}"
-
-    def rewritten(x: Column) -> Column:
-        return let(
-            F.regexp_extract_all(x, F.lit(ANY), 0),
-            lambda found: F.struct(
-                F.transform(found, lambda m: pseudonym(key, m)).alias("new"),
-                found.alias("old"),
-                F.when(F.size(found) == 0, F.array(x)).otherwise(F.split(x, ANY, -1)).alias("pieces"),
-            ),
-        )
-
-    plain = F.struct(
-        F.expr("cast(array() as array<struct<kind:string,text:string>>)").alias("new"),
-        F.expr("cast(array() as array<string>)").alias("old"),
-        F.array(F.col(text)).alias("pieces"),
-    )
-    searched = F.when(F.col(text).rlike("[0-9@]"), rewritten(F.col(text))).otherwise(plain)
-    new, old, pieces = (F.col(marked)[c] for c in ("new", "old", "pieces"))
-    joined = F.concat(
-        F.get(pieces, F.lit(0)),
-        F.array_join(F.transform(new, lambda m, i: F.concat(m["text"], F.get(pieces, i + 1))), ""),
-    )
-    out = df.withColumn(marked, searched).withColumn(text, joined)
+    out = df.withColumn(marked, F.array(_free(F.col(text))).cast(SEGMENTS))
+    for pattern, value in _passes(key):
+        out = out.withColumn(marked, F.flatten(F.transform(F.col(marked), _cutter(pattern, value))))
+    joined = F.when(F.col(text).isNotNull(), F.array_join(F.transform(F.col(marked), lambda s: s["text"]), ""))
+    out = out.withColumn(text, joined)
     if kinds:
-        changed = F.filter(F.arrays_zip(new.alias("new"), old.alias("old")), lambda p: p["new"]["text"] != p["old"])
-        out = out.withColumn(kinds, F.transform(changed, lambda p: p["new"]["kind"]))
+        changed = F.filter(F.col(marked), lambda s: s["kind"].isNotNull() & (s["text"] != s["old"]))
+        out = out.withColumn(kinds, F.transform(changed, lambda s: s["kind"]))
     return out.drop(marked).select(*df.columns, *([kinds] if kinds else []))

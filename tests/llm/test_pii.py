@@ -93,6 +93,18 @@ def test_what_is_not_valid_stays(spark):
     assert [out[i][0] for i in range(len(texts))] == texts
 
 
+def test_neighbours_do_not_hide_a_value(spark):
+    card, iban, phone = "4111 1111 1111 1111", "BE68539007547034", "+1 555 123 4567"
+    alone = {v: rewrite(spark, [v])[0][0] for v in (card, iban, "AT611904300234573201", phone)}
+    assert all(new != old for old, new in alone.items())
+    shapes = [
+        (card, "{} 12/25"), (card, "{} 123"), (card, "12 {}"), (card, "2024 12 {} 123"), (card, "{} {}"),
+        (card, "BE12 {}"), (iban, "{} USD"), (iban, "AB12 {} EUR"), ("AT611904300234573201", "{} EUR"), (phone, "{} 2024"),
+    ]
+    out = rewrite(spark, [form.replace("{}", v) for v, form in shapes])
+    assert [out[i][0] for i in range(len(shapes))] == [form.replace("{}", alone[v]) for v, form in shapes]
+
+
 def test_odd_tables(spark):
     out = rewrite(spark, ODD_TEXTS)
     assert [out[i][0] for i in range(len(ODD_TEXTS))] == ODD_TEXTS
