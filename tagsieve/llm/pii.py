@@ -13,10 +13,12 @@ Kinds, and what makes a match valid:
 * card: 13 to 19 digits, plain or grouped by single spaces or hyphens, Luhn sum right; all
   digits but the last are permuted, the last is set anew;
 * ssn: ddd-dd-dddd, area 001 to 899 but not 666, group and serial not zero;
-* phone: + and 8 to 15 digits, or ten digits as (ddd) ddd-dddd or ddd-ddd-dddd; the country
-  code stays where separated;
+* phone: + and 8 to 15 digits, or ten digits as (ddd) ddd-dddd or ddd-ddd-dddd, with dots or spaces
+  too, or in one where a word like phone or call precedes; the country code stays where separated;
 * ip: four octets of 0 to 255, written without leading zeros;
-* date: yyyy-MM-dd, dd.MM.yyyy or dd/MM/yyyy, a real day of the years 1800 to 2199;
+* date: yyyy-MM-dd, also before a time or in a range, dd.MM.yyyy, yyyy/MM/dd or dd/MM/yyyy, a real day of
+  the years 1800 to 2199; MM/dd/yyyy where the day is over 12, and such days are permuted among themselves
+  (so they are not linked with the same day in other layouts);
 * secret: 16 to 64 hex digits assigned to a name like token, key, secret or password.
 
 What fails validation stays as it is. Every place where a value may begin is tried, kind by kind in
@@ -52,13 +54,19 @@ BLOCK = 24
 #: Where a value of a kind may begin, with all that it may take and what follows.
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9][A-Za-z0-9\-]{0,62}\.){1,8}[A-Za-z]{2,24}+"
 IP = r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])"
-DATE = r"(?<![\w.\-/])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w\-/])"
+#: A day may be followed by a time, or by the other end of a range.
+ISO = r"(?:(?<![\w.\-/])|(?<=[0-9Z]/))[0-9]{4}-[0-9]{2}-[0-9]{2}(?=T[0-9]|(?!\w|-))"
+DATE = (
+    ISO + r"|(?<![\w.\-/])(?:[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{4}/[0-9]{2}/[0-9]{2})(?![\w\-/])"
+)
 SSN = r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])"
 SECRET = r"""(?i:token|secret|password|passwd|api[_\-]?key|key)\s{0,3}+[=:]\s{0,3}+["']?+[0-9a-fA-F]{16,64}+(?![0-9A-Za-z])"""
 IBAN = r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}.{0,45}"
 CARD = r"(?:(?<![\w\-])|(?<=[0-9]-))[0-9](?:[ \-]?[0-9]){12}.{0,26}"
 PLUS_PHONE = r"(?<![\w+])\+[0-9](?:[ .()\-]{0,3}[0-9]){5}.{0,40}"
-PHONE = r"(?<![\w+])\(?[0-9]{3}[) .\-].{8,14}"
+#: Ten digits in one are a phone only where they are called one; ids and times look alike.
+CALLED = r"(?<=(?i:phone|mobile|cell|call|tel|fax)[a-z]{0,4}[^0-9A-Za-z]{0,4}(?:is |me at |at |no[.:]? |number:? |us at )?)"
+PHONE = rf"(?<![\w+])(?:\(?[0-9]{{3}}[) .\-].{{8,14}}|(?=[0-9]{{10}}(?![0-9])){CALLED}[0-9]{{10}}.{{0,2}})"
 #: No value begins inside a word.
 OUTSIDE = "(?<![A-Za-z0-9])"
 #: A number may be followed by another one after a hyphen, but by no word.
@@ -106,8 +114,10 @@ PLUS_PHONES = (
     ),
 )
 PHONES = (
-    r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}",
-    r"[0-9]{3}-[0-9]{3}-[0-9]{4}",
+    r"\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-][0-9]{4}",
+    r"[0-9]{3}([ .\-])[0-9]{3}\2[0-9]{4}",
+    r"[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4}",
+    r"[0-9]{10}",
 )
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -360,25 +370,48 @@ def _ip(key: str, m: Column) -> Column:
 
 def _date(key: str, m: Column) -> Column:
     a, b = CYCLE
-    day = F.coalesce(*[F.try_to_timestamp(m, F.lit(f)).cast("date") for f in DATE_FORMATS])
-    form = F.when(m.contains("-"), DATE_FORMATS[0]).when(m.contains("."), DATE_FORMATS[1]).otherwise(DATE_FORMATS[2])
+    size = F.lit(a).cast("long"), F.lit(b).cast("long")
+
+    def days(form: str) -> Column:
+        day = F.try_to_timestamp(m, F.lit(form)).cast("date")
+        return F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
 
-    def renewed(n: Column) -> Column:
-        size = F.lit(a).cast("long"), F.lit(b).cast("long")
+    def moved(n: Column) -> Column:
         pair = feistel(key, F.lit("date"), F.call_function("div", n, size[1]), n % b, *size)
-        new = F.date_add(F.lit(FIRST_DAY).cast("date"), let(pair, lambda x: x["l"] * b + x["r"]).cast("int"))
-        return (
-            F.when(form == DATE_FORMATS[0], F.date_format(new, DATE_FORMATS[0]))
-            .when(form == DATE_FORMATS[1], F.date_format(new, DATE_FORMATS[1]))
-            .otherwise(F.date_format(new, DATE_FORMATS[2]))
+        return let(pair, lambda x: x["l"] * b + x["r"])
+
+    def day(n: Column) -> Column:
+        return F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
+
+    def walked(n: Column) -> Column:
+        """n moved until its day is over 12 again, so that the result has one reading, too."""
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(WALK)),
+            F.struct(n.alias("n"), F.lit(False).alias("done")),
+            lambda s, i: F.when(s["done"], s).otherwise(
+                let(moved(s["n"]), lambda k: F.struct(k.alias("n"), (F.dayofmonth(day(k)) > 12).alias("done")))
+            ),
+        )["n"]
+
+    def written(form: str, change: Callable[[Column], Column]) -> Column:
+        return let(
+            days(form),
+            lambda n: F.when((n >= 0) & (n < a * b), F.date_format(day(change(n)), form)),
         )
 
-    days = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
-    return let(days, lambda n: F.when((n >= 0) & (n < a * b), renewed(n)).otherwise(m))
+    def slashed() -> Column:
+        return F.coalesce(written("dd/MM/yyyy", moved), written("MM/dd/yyyy", walked), m)
+
+    return (
+        F.when(m.contains("-"), F.coalesce(written("yyyy-MM-dd", moved), m))
+        .when(m.contains("."), F.coalesce(written("dd.MM.yyyy", moved), m))
+        .when(m.rlike("^[0-9]{4}/"), F.coalesce(written("yyyy/MM/dd", moved), m))
+        .otherwise(slashed())
+    )
 
 
-#: How days are written.
-DATE_FORMATS = ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy")
+#: Moves in search of a day over 12; three of five moves find one, so all have failed with a chance below 1e-25.
+WALK = 64
 
 
 def _email(key: str, m: Column) -> Column:

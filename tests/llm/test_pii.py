@@ -105,6 +105,26 @@ def test_neighbours_do_not_hide_a_value(spark):
     assert [out[i][0] for i in range(len(shapes))] == [form.replace("{}", alone[v]) for v, form in shapes]
 
 
+def test_common_layouts_of_days_and_phones(spark):
+    texts = [
+        "2024-01-05", "2024-01-05T10:00:00Z", "2024-01-05/2024-01-06", "2024/01/05", "2024-01-06",
+        "12/25/1990", "12/26/1990", "13/25/1990", "555.123.4567", "555 123 4567", "555-123-4567", "phone: 5551234567",
+        "order 5551234567", "2024-01-05T10:00:00Z/2024-01-06T10:00:00Z",
+    ]
+    out = [rows[0] for rows in rewrite(spark, texts).values()]
+    day, next_day = out[0], out[4]
+    assert day != texts[0]
+    assert out[1] == f"{day}T10:00:00Z" and out[2] == f"{day}/{next_day}" and out[3] == day.replace("-", "/")
+    assert out[13] == f"{day}T10:00:00Z/{next_day}T10:00:00Z"
+    for i in (5, 6):
+        month, over, year = map(int, out[i].split("/"))
+        assert out[i] != texts[i] and 1 <= month <= 12 < over <= 31 and 1800 <= year < 2200
+    assert out[5] != out[6] and out[7] == texts[7] and out[12] == texts[12]
+    digits = [re.sub("[^0-9]", "", t) for t in out[8:12]]
+    assert out[8] != texts[8] and len(set(digits)) == 1
+    assert re.fullmatch(r"\d{3}\.\d{3}\.\d{4}", out[8]) and re.fullmatch(r"\d{3} \d{3} \d{4}", out[9])
+
+
 def test_odd_tables(spark):
     out = rewrite(spark, ODD_TEXTS)
     assert [out[i][0] for i in range(len(ODD_TEXTS))] == ODD_TEXTS
