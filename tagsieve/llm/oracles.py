@@ -54,8 +54,27 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP13 = r"""
+WITH lines AS (
+  SELECT doc_id, line, pos,
+         translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
+repeated AS (
+  SELECT key, max(doc_id) AS last FROM lines WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (
+  SELECT l.*, r.key IS NOT NULL AND r.last <> l.doc_id AS gone
+  FROM lines l LEFT JOIN repeated r ON l.key = r.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op3_url_filter": OP3,
     "op4_mtree_search": OP4,
     "op9_chat_formatting": OP9,
+    "op13_line_dedup": OP13,
 }
