@@ -54,6 +54,43 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+worded AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM placed, (VALUES (1), (2), (3)) AS lengths(k) WHERE i + k - 1 <= len(w)),
+counts AS (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY lang, k, phrase),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 10),
+covers AS (
+  SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, f
+  FROM candidates WHERE k = 3),
+covering AS (SELECT lang, phrase, max(f) AS most FROM covers GROUP BY lang, phrase),
+kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN covering v ON v.lang = c.lang AND v.phrase = c.phrase
+  WHERE c.k = 3 OR v.most IS NULL OR 100 * v.most < 50 * c.f),
+cuts AS (
+  SELECT lang, phrase, f AS a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail
+  FROM kept, (VALUES (1), (2)) AS places(cut) WHERE cut < k),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, (1000000 * c.a * c.a) // (x.f * y.f) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.head JOIN counts y ON y.lang = c.lang AND y.phrase = c.tail),
+best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT z.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+       CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM ranked z JOIN totals t ON t.lang = z.lang WHERE rank <= 2000
+"""
+
 OP13 = r"""
 WITH lines AS (
   SELECT doc_id, line, pos,
@@ -76,5 +113,6 @@ ORACLES: dict[str, str] = {
     "op3_url_filter": OP3,
     "op4_mtree_search": OP4,
     "op9_chat_formatting": OP9,
+    "op11_phrase_graph": OP11,
     "op13_line_dedup": OP13,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagsieve.llm import bpe, chat, decontam, linededup, maxent, mtree, pii, quality, shards, simhash, urls
+from tagsieve.llm import bpe, chat, decontam, linededup, maxent, mtree, phrases, pii, quality, shards, simhash, urls
 from tagsieve.llm.common import held_out, table
 
 #: For tests and examples; a production run passes its own secret.
@@ -137,6 +137,11 @@ def op10_weighted_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return phrases.collocations(docs, "text", "lang")
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.drop_repeated(docs, "doc_id", "text").select(
@@ -155,5 +160,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_bpe": op8_prefix_bpe,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_weighted_tree_shards": op10_weighted_tree_shards,
+    "op11_phrase_graph": op11_phrase_graph,
     "op13_line_dedup": op13_line_dedup,
 }
