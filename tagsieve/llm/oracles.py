@@ -91,6 +91,29 @@ SELECT z.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAS
 FROM ranked z JOIN totals t ON t.lang = z.lang WHERE rank <= 2000
 """
 
+OP12 = """
+WITH usable AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT *, row_number() OVER () AS place FROM usable),
+pairs AS (
+  SELECT a.place AS anchor, a.vec_id AS anchor_id, c.place, c.vec_id, a.label = c.label AS alike,
+         CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON c.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT * FROM pairs WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, place) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY n.score DESC, n.vec_id, n.place) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor = p.anchor
+WHERE NOT n.alike AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY n.score DESC, n.vec_id, n.place) <= 10
+"""
+
 OP13 = r"""
 WITH lines AS (
   SELECT doc_id, line, pos,
@@ -114,5 +137,6 @@ ORACLES: dict[str, str] = {
     "op4_mtree_search": OP4,
     "op9_chat_formatting": OP9,
     "op11_phrase_graph": OP11,
+    "op12_hard_negatives": OP12,
     "op13_line_dedup": OP13,
 }

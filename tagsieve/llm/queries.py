@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagsieve.llm import bpe, chat, decontam, linededup, maxent, mtree, phrases, pii, quality, shards, simhash, urls
+from tagsieve.llm import bpe, chat, decontam, linededup, maxent, mtree, negatives, phrases, pii, quality, shards, simhash, urls
 from tagsieve.llm.common import held_out, table
 
 #: For tests and examples; a production run passes its own secret.
@@ -142,6 +142,12 @@ def op11_phrase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(docs, "text", "lang")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.rows_of(table(spark, sf_dir, "embeddings").withColumn("label", moved), "vec_id", "label", "embedding")
+    return negatives.mine(rows, rows.filter(F.col("id") % 100 == 0))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.drop_repeated(docs, "doc_id", "text").select(
@@ -161,5 +167,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_weighted_tree_shards": op10_weighted_tree_shards,
     "op11_phrase_graph": op11_phrase_graph,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_line_dedup": op13_line_dedup,
 }
