@@ -1,14 +1,22 @@
 """Phrase collocations from a weighted de Bruijn graph.
 
 Texts fall into pieces, pieces into words. Every word position gives one gram: the longest run of at most
-``n`` words from there, shorter only where the piece ends. Counted once, the grams of n words are
+``n`` words from there, shorter where the piece ends. Counted once, the grams of n words are
 the edges of a de Bruijn graph: an edge leads from the node of its first n - 1 words to the
 node of its last n - 1 words, so edges overlap in a node. Shorter grams are the corrections for piece ends.
 
-Counts of shorter phrases need no second walk over the texts: the flow out of a node, its edges and its
+Counts of shorter phrases are not counted in the texts: the flow out of a node, its edges and its
 corrections added up, is the count of its n - 1 words, and so on down to single words. Sums
 are combined before each shuffle, so a frequent word is a few rows a task.
 
+Most edges of a large corpus occur once or twice. They matter only as flow out of their node, so they are
+folded into it before the shuffle: a gram is cut to its longest beginning that may occur ``min_count`` times.
+Which may is told by 44-bit codes of all runs of up to n words, counted beforehand. Codes travel
+sorted, as compressed differences, a few bytes each, and every part of the code space is counted in a task of
+its own; the number of parts follows the size of the texts. Frequent codes set a bit in a map of at most
+``MAP_BITS``. Codes that meet in a place only make counts look larger, so no frequent phrase is ever
+cut, whatever the size of the corpus; a full map only folds less.
+
 Edges of at least ``min_count`` occurrences are compacted: a node with one such edge in and one out joins
 them, and pointer doubling over edge numbers finds the head of each path and each edge's place in it,
 in as many rounds as the longest path has binary digits. A path is one row of words and weights (cut
@@ -26,12 +34,17 @@ exact. Extra columns are not used.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagsieve.llm.common import lower_ascii, stored
+from tagsieve.llm.common import lower_ascii, released, stored
 
 MAX_WORDS = 3
 MIN_COUNT = 10
@@ -41,6 +54,14 @@ TOP = 2_000
 #: Edges in one row of a path.
 PATH_EDGES = 1_024
 
+CODE_BITS = 44
+#: The map has 32 bits for each frequent code, as long as that is at most this many, 32 MB.
+MAP_BITS = 28
+#: Codes that a task holds before it hands them on.
+HELD = 4_000_000
+#: Bytes of text for each part of the code space.
+PART_BYTES = 16 << 20
+
 PIECE_ENDS = r"[.,;:!?\x0A-\x0D]"
 _GAPS = r"[\x20\x09]+"
 
@@ -52,13 +73,158 @@ def pieces(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return rows.select("lang", F.filter(F.split("piece", _GAPS, -1), lambda w: w != "").alias("words"))
 
 
-def grams(rows: DataFrame, n: int = MAX_WORDS) -> DataFrame:
-    """(lang, phrase, f) of the longest grams: edges, and shorter ones at piece ends."""
-    runs = F.transform("words", lambda w, i: F.array_join(F.slice("words", i + 1, F.lit(n)), " "))
-    each = rows.select("lang", F.explode(runs).alias("phrase"))
+def _word_hashes() -> Column:
+    return F.transform("words", lambda w: F.xxhash64("lang", w))
+
+
+def _levels(lists: pa.Array, n: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Of lists of word hashes: the lengths, and for runs of 1 to n words the flat positions where one begins
+    and their codes."""
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))
+    at, state, out = np.arange(len(words)), np.zeros(len(words), np.uint64), []
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            long = left[at] > k
+            at, state = at[long], state[long]
+            state = (state ^ words[at + k]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * k + 1)
+            state = (state ^ (state >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            state ^= state >> np.uint64(32)
+            out.append((at, state >> np.uint64(64 - CODE_BITS)))
+    return sizes, out
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers, bytes of equal rank together, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, "zstd"), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+
+
+def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def frequent_codes(rows: DataFrame, parts_log: int, n: int, min_count: int) -> DataFrame:
+    """(part, n, codes): codes of the runs of up to n words that occur at least min_count times, packed as
+    differences; 2^parts_log parts share the code space."""
+    shift = np.uint64(CODE_BITS - parts_log)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            codes, counts = np.unique(np.concatenate(held), return_counts=True)
+            part = (codes >> shift).astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            ends = np.append(first[1:], len(codes))
+            steps = np.diff(codes, prepend=np.uint64(0))
+            steps[first] = codes[first]
+            columns = [part[first], ends - first]
+            columns += [[_packed(x[i:j]) for i, j in zip(first, ends)] for x in (steps, counts)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2]), pa.array(columns[3])],
+                ["part", "n", "steps", "counts"],
+            )
+
+        for batch in batches:
+            for _, codes in _levels(batch.column(0), n)[1]:
+                held.append(codes)
+                size += len(codes)
+            if size >= HELD:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        codes = [np.cumsum(_unpacked(s, k), dtype=np.uint64) for s, k in zip(group["steps"], group["n"])]
+        counts = [_unpacked(c, k) for c, k in zip(group["counts"], group["n"])]
+        codes, counts = _summed(np.concatenate(codes), np.concatenate(counts))
+        codes = codes[counts >= min_count]
+        packed = _packed(np.diff(codes, prepend=np.uint64(0)))
+        return pd.DataFrame({"part": [int(group["part"].iloc[0])], "n": [len(codes)], "codes": [packed]})
+
+    sent = rows.select(_word_hashes().alias("h")).mapInArrow(
+        lambda batches: released(send(batches)), "part int, n int, steps binary, counts binary"
+    )
+    return sent.groupBy("part").applyInPandas(count, "part int, n int, codes binary")
+
+
+def _map_of(frequent: DataFrame, parts_log: int) -> tuple[bytes, int]:
+    """A bit for every place that a frequent code has; at most 2^MAP_BITS of them."""
+    frequent = stored(frequent)
+    size = frequent.agg(F.sum("n")).first()[0] or 0
+    bits = max(min(MAP_BITS, int(32 * size).bit_length()), parts_log + 3)
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        inside = bits - parts_log
+        for batch in batches:
+            out = []
+            for data, n in zip(batch["codes"], batch["n"]):
+                marks = np.zeros(1 << inside, bool)
+                codes = np.cumsum(_unpacked(data, n), dtype=np.uint64) >> np.uint64(CODE_BITS - bits)
+                marks[(codes & np.uint64((1 << inside) - 1)).astype(np.int64)] = True
+                out.append(np.packbits(marks, bitorder="little").tobytes())
+            yield pd.DataFrame({"part": batch["part"], "marks": out})
+
+    step = 1 << (bits - parts_log - 3)
+    whole = bytearray(1 << (bits - 3))
+    for row in frequent.mapInPandas(mark, "part int, marks binary").toLocalIterator():
+        whole[row["part"] * step : (row["part"] + 1) * step] = row["marks"]
+    return bytes(whole), bits
+
+
+def _kept_words(marks, bits: int, n: int):
+    """How many words from each position on may be frequent together."""
+
+    @F.arrow_udf("array<int>")
+    def kept(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held = np.frombuffer(marks.value, np.uint8)
+        for lists in batches:
+            sizes, levels = _levels(lists, n)
+            out = np.zeros(int(sizes.sum()), np.int32)
+            for k, (at, codes) in enumerate(levels):
+                place = (codes >> np.uint64(CODE_BITS - bits)).astype(np.int64)
+                hit = (held[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+                going = at[hit & (out[at] == k)]
+                out[going] = k + 1
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(out))
+
+    return kept(_word_hashes())
+
+
+def grams(rows: DataFrame, n: int, lengths: Column | None = None) -> DataFrame:
+    """(lang, phrase, f) of the grams: edges, and shorter ones at piece ends or where ``lengths``, a number of
+    words for each position, cuts them; an empty one counts words that no frequent phrase begins with."""
+    sized = rows.select("lang", "words", (F.lit(None) if lengths is None else lengths).alias("lengths"))
+    size = F.lit(n) if lengths is None else None
+    runs = F.transform(
+        "words", lambda w, i: F.array_join(F.slice("words", i + 1, F.get("lengths", i) if size is None else size), " ")
+    )
+    each = sized.select("lang", F.explode(runs).alias("phrase"))
     return each.groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("f"))
 
 
+def folded_grams(docs: DataFrame, text: str, lang: str, n: int, min_count: int) -> DataFrame:
+    """``grams`` with everything that is surely rarer than min_count folded into shorter ones."""
+    rows = pieces(docs, text, lang)
+    size = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
+    parts_log = max(4, (size // PART_BYTES).bit_length())
+    marks, bits = _map_of(frequent_codes(rows, parts_log, n, min_count), parts_log)
+    sent = docs.sparkSession.sparkContext.broadcast(marks)
+    return grams(rows, n, _kept_words(sent, bits, n))
+
+
 def node_flow(level: DataFrame, words: int) -> DataFrame:
     """(lang, phrase, f): of grams of up to words + 1 words, the counts of their first words."""
     first = F.substring_index("phrase", " ", words)
@@ -66,7 +232,8 @@ def node_flow(level: DataFrame, words: int) -> DataFrame:
 
 
 def n_words(phrase: Column) -> Column:
-    return F.length(phrase) - F.length(F.replace(phrase, F.lit(" "))) + 1
+    """0 for an empty phrase."""
+    return F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.replace(phrase, F.lit(" "))) + 1)
 
 
 def _first(phrase: Column | str, k) -> Column:
@@ -80,7 +247,7 @@ def _rest(phrase: str, first: Column) -> Column:
 def phrase_counts(docs: DataFrame, text: str, lang: str, n: int = MAX_WORDS, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
     """(lang, words, phrase, f) of all phrases of 1 to n words with at least min_count occurrences, and
     (lang, n) with all word occurrences."""
-    level = stored(grams(pieces(docs, text, lang), n))
+    level = stored(folded_grams(docs, text, lang, n, min_count))
     often = []
     for words in range(n, 0, -1):
         if words < n:

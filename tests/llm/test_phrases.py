@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,8 @@ def texts(seed=2, n=150):
 @pytest.mark.parametrize("n", [2, 3, 4])
 def test_equals_brute_force(spark, monkeypatch, n):
     monkeypatch.setattr(phrases, "PATH_EDGES", 2)
+    monkeypatch.setattr(phrases, "HELD", 500)
+    monkeypatch.setattr(phrases, "PART_BYTES", 1000)
     rows = texts() + [("en", t) for t in ODD_TEXTS]
     expected = brute(rows, n, min_count=4)
     assert len(expected) > 40
@@ -74,6 +77,27 @@ def test_limits_and_covering(spark):
     assert found(spark, rows, cover=90) == brute(rows, cover=90) != brute(rows)
 
 
+@pytest.mark.parametrize("bits", [0, 12])
+def test_a_full_map_changes_nothing(spark, monkeypatch, bits):
+    monkeypatch.setattr(phrases, "MAP_BITS", bits)
+    rows = texts(6)
+    assert found(spark, rows) == brute(rows)
+
+
+def test_rare_edges_are_folded(spark):
+    rows = spark.createDataFrame(texts(7, 300), "lang string, text string")
+    whole = phrases.grams(phrases.pieces(rows, "text", "lang"), 3)
+    folded = phrases.folded_grams(rows, "text", "lang", 3, 10)
+    assert 3 * folded.count() < whole.count()
+    assert folded.agg(F.sum("f")).first() == whole.agg(F.sum("f")).first()
+
+
+def test_packed_numbers():
+    numbers = np.array([0, 5, 2**44 - 1, 7], np.uint64)
+    assert (phrases._unpacked(phrases._packed(numbers), 4) == numbers).all()
+    assert len(phrases._unpacked(phrases._packed(numbers[:0]), 0)) == 0
+
+
 def test_empty_tables(spark):
     assert found(spark, []) == set()
     assert found(spark, [(None, None), ("en", "")]) == set()
