@@ -6,11 +6,12 @@ joins, which the optimizer makes broadcasts where the tables are small.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagsieve import config
 from tagsieve.functions import text
+from tagsieve.operators.ranks import numbered
 
 
 #: What orders reviews, the strongest first: when they were made, when they were written, their
@@ -118,22 +119,11 @@ def keep_tags(rows: DataFrame, kept: DataFrame) -> DataFrame:
     return joined.select(*[tags.alias(name) if name == "tags" else name for name in rows.columns])
 
 
-#: Tags are numbered within groups of this many leading characters.
-_PREFIX = 3
-
-
-def label_vocab(tags: DataFrame) -> DataFrame:
+def label_vocab(tags: DataFrame, parts: int | None = None) -> DataFrame:
     """(idx, tag) in code-point order, from 0. ``tags`` holds each tag once.
 
-    Tags are ranked among those that begin alike; what comes before follows from the sizes of
-    these groups, so no task sees all tags."""
-    grouped = tags.select("tag", F.substring("tag", 1, _PREFIX).alias("_prefix"))
-    inner = F.row_number().over(Window.partitionBy("_prefix").orderBy("tag")) - 1
-    sizes = grouped.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("_prefix", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
-    ranked = grouped.withColumn("_inner", inner).join(before, "_prefix")
-    return ranked.select((F.col("_before") + F.col("_inner")).cast("int").alias("idx"), "tag")
+    Tags are numbered by ranges, so no task sees all tags, however alike they begin."""
+    return numbered(tags.select("tag"), ["tag"], "idx", parts).select(F.col("idx").cast("int").alias("idx"), "tag")
 
 
 def label_matrix(rows: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -3,12 +3,19 @@
 Rows are ordered by a keyed hash of their id, so membership does not depend on
 partitioning and can be recomputed after a lost executor.
 
-The tag-preserving split walks the rows in that order and moves a row to the
+The tag-preserving split is a walk over the rows in that order, which moves a row to the
 test set while every tag it carries keeps ``min_train`` training rows. Only the
 last ``min_train`` rows of a tag can be refused: at any earlier row, enough rows
-of the tag are still to come. So the walk needs to be made over those few rows
-alone (at most ``min_train`` per tag of the label list); all others are accepted
-at once, and the test set is the first part of what was accepted.
+of the tag are still to come. All others are accepted at once, and the test set is the
+first part of what was accepted.
+
+Nobody walks, though. A row that may be refused demands, for each of its tags, that enough
+rows before it were refused. With some decided, the refused ones before a row are the least
+that number can be, and those with the undecided ones the most. A row whose demands the least
+meets is accepted, one with a demand that the most misses is refused, and every
+round decides all such rows of all tags at once, by sums per demand. The first undecided row is always among
+them, so the rounds end with the walk's own result; they are as many as the longest chain of rows
+that wait for each other, few unless tags are nested on purpose.
 """
 
 from __future__ import annotations
@@ -66,37 +73,52 @@ def random_split(rows: DataFrame, test_size: float = config.TEST_SIZE, seed: int
     return hashed.withColumn("is_test", _upto(cutoff)).drop("_hash")
 
 
-def _refused(hashed: DataFrame, min_train: int) -> DataFrame:
-    """Rows the walk leaves in the training set to protect one of their tags."""
-    tagged = hashed.select("row_id", "_hash", "tags", F.explode_outer("tags").alias("tag")).filter("tag is not null")
+_OPEN, _REFUSED, _ACCEPTED = 0, 1, 2
+
+
+def _demands(hashed: DataFrame, min_train: int) -> DataFrame:
+    """(row_id, place, tag, needed): a row that may be refused, its place in the order, and how many
+    rows with the tag must have been refused before it."""
+    tagged = hashed.select("row_id", "_hash", F.explode_outer("tags").alias("tag")).filter("tag is not null")
     # The limit on the rank is applied before the shuffle too, so a tag that
     # nearly every row carries sends only a few rows per task.
     from_end = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("_hash"), F.desc("row_id")))
     last = tagged.withColumn("_from_end", from_end).filter(F.col("_from_end") <= min_train)
-    demands = last.groupBy("_hash", "row_id", "tags").agg(
-        F.collect_list(F.struct("tag", (min_train + 1 - F.col("_from_end")).alias("needed"))).alias("demands")
+    place = F.struct("_hash", "row_id").alias("place")
+    return last.select("row_id", place, "tag", (min_train + 1 - F.col("_from_end")).alias("needed"))
+
+
+def _round(demands: DataFrame, carried: DataFrame, states: DataFrame) -> DataFrame:
+    """(row_id, state) after one more round."""
+    before = carried.join(states, "row_id").select(
+        F.col("tag").alias("_tag"), F.col("place").alias("_place"), F.col("state").alias("_state")
     )
-    walk = demands.agg(
-        F.array_sort(F.collect_list(F.struct("_hash", "row_id", "tags", "demands"))).alias("steps")
+    waiting = demands.join(states.filter(F.col("state") == _OPEN), "row_id")
+    # at most min_train demands meet the rows of a tag, and sums are combined before the shuffle
+    earlier = waiting.join(before, (F.col("tag") == F.col("_tag")) & (F.col("_place") < F.col("place")), "left")
+    counted = earlier.groupBy("row_id", "tag", "needed").agg(
+        F.count_if(F.col("_state") == _REFUSED).alias("least"),
+        F.count_if(F.col("_state") <= _REFUSED).alias("most"),
     )
-    start = F.struct(
-        F.array().cast("array<string>").alias("kept_tags"), F.array().cast("array<string>").alias("row_ids")
+    decided = counted.groupBy("row_id").agg(
+        F.when(F.bool_or(F.col("most") < F.col("needed")), _REFUSED)
+        .when(F.bool_and(F.col("least") >= F.col("needed")), _ACCEPTED)
+        .otherwise(_OPEN)
+        .alias("state")
     )
+    return states.filter(F.col("state") != _OPEN).unionByName(decided)
 
-    def step(state: Column, row: Column) -> Column:
-        # Each refused row leaves one more training row to the tags it carries.
-        movable = F.forall(
-            row.demands,
-            lambda demand: F.size(F.filter(state.kept_tags, lambda tag: tag == demand.tag)) >= demand.needed,
-        )
-        refused = F.struct(
-            F.concat(state.kept_tags, row.tags).alias("kept_tags"),
-            F.concat(state.row_ids, F.array(row.row_id)).alias("row_ids"),
-        )
-        return F.when(movable, state).otherwise(refused)
 
-    row_ids = F.aggregate("steps", start, step, lambda state: state.row_ids)
-    return walk.select(F.explode_outer(row_ids).alias("row_id")).filter("row_id is not null")
+def _refused(hashed: DataFrame, min_train: int) -> DataFrame:
+    """Rows the walk leaves in the training set to protect one of their tags."""
+    demands = stored(_demands(hashed, min_train))
+    states = stored(demands.select("row_id").distinct().withColumn("state", F.lit(_OPEN)))
+    # every tag that a refused row carries keeps one more training row
+    rows = hashed.join(states.select("row_id"), "row_id", "left_semi")
+    carried = stored(rows.select("row_id", F.struct("_hash", "row_id").alias("place"), F.explode("tags").alias("tag")))
+    while not states.filter(F.col("state") == _OPEN).isEmpty():
+        states = stored(_round(demands, carried, states))
+    return states.filter(F.col("state") == _REFUSED).select("row_id")
 
 
 def tag_preserving_split(
@@ -108,9 +130,9 @@ def tag_preserving_split(
     """``rows`` (with string ``row_id`` and ``tags``) plus ``is_test``. Rows without tags may always move."""
     hashed = rows.withColumn("_hash", order_hash(F.col("row_id"), seed))
     slim = hashed.select("row_id", "_hash", "tags")
-    refused = stored(_refused(slim, min_train))
-    accepted = slim.join(F.broadcast(refused), "row_id", "left_anti")
+    refused = _refused(slim, min_train)
+    accepted = slim.join(refused, "row_id", "left_anti")
     cutoff = _cutoff(accepted, _test_size(rows, test_size))
-    flagged = hashed.join(F.broadcast(refused.withColumn("_refused", F.lit(True))), "row_id", "left")
+    flagged = hashed.join(refused.withColumn("_refused", F.lit(True)), "row_id", "left")
     is_test = F.col("_refused").isNull() & _upto(cutoff)
     return flagged.withColumn("is_test", is_test).select(*rows.columns, "is_test")

@@ -151,11 +151,57 @@ def test_one_tag_on_nearly_all_rows_is_not_gathered(spark):
         F.when(F.col("id") % 100 == 0, F.array(F.lit("rare"))).otherwise(F.array(F.lit("hot"))).alias("tags"),
     )
     assert split.tag_preserving_split(rows).filter("is_test").count() == 4000
-    plan = split._refused(rows.withColumn("_hash", split.order_hash(F.col("row_id"))), 2)
+    plan = split._demands(rows.withColumn("_hash", split.order_hash(F.col("row_id"))), 2)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.index("WindowGroupLimit", text.index("Exchange hashpartitioning(tag")) > 0
 
 
+def test_split_of_five_thousand_tags(spark):
+    rng = random.Random(11)
+    tags = [f"t{i}" for i in range(5000)]
+    rows = [(f"o{i}", ["hot", *rng.sample(tags, rng.randint(0, 4))]) for i in range(8000)]
+    for size in (0.2, 1.0):
+        flagged = split.tag_preserving_split(tagged_rows(spark, rows), size, 3).collect()
+        got = {r["row_id"] for r in flagged if r["is_test"]}
+        assert got == plain.walk(in_hash_order(rows, 3), round(len(rows) * size), 2)
+
+
+def test_split_of_rows_that_wait_for_each_other(spark):
+    """Neighbours in the order share a tag, so every decision hangs on the one before."""
+    ordered = in_hash_order([(f"o{i}", None) for i in range(24)], 5)
+    rows = [(row_id, [f"t{i}", f"t{i + 1}"]) for i, (row_id, _) in enumerate(ordered)]
+    flagged = split.tag_preserving_split(tagged_rows(spark, rows), 1.0, 5, 1).collect()
+    assert {r["row_id"] for r in flagged if r["is_test"]} == plain.walk(rows, 24, 1)
+
+
+def plans_of(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_step_of_the_split_sees_all_rows(spark):
+    rows = tagged_rows(spark, [(f"o{i}", [f"t{i % 7}"]) for i in range(50)])
+    hashed = rows.withColumn("_hash", split.order_hash(F.col("row_id")))
+    demands = split._demands(hashed, 2)
+    states = demands.select("row_id").distinct().withColumn("state", F.lit(0))
+    carried = demands.select("row_id", "place", "tag")
+    for frame in (demands, split._round(demands, carried, states)):
+        assert "SinglePartition" not in plans_of(frame) and "Cartesian" not in plans_of(frame)
+
+
+def test_ten_thousand_tags_that_begin_alike(spark):
+    tags = [f"Categorias de impacto: {i}" for i in range(10_000)]
+    shuffled = random.Random(1).sample(tags, len(tags))
+    frame = spark.createDataFrame([(t,) for t in shuffled], "tag string")
+    found = labels.label_vocab(frame, parts=6)
+    assert [r["tag"] for r in sorted(found.collect())] == sorted(tags)
+    ranged = frame.repartitionByRange(6, "tag").groupBy(F.spark_partition_id()).count().collect()
+    assert len(ranged) == 6 and max(r["count"] for r in ranged) < 3000
+
+
+def test_numbers_of_an_empty_table(spark):
+    assert labels.label_vocab(spark.createDataFrame([], "tag string")).count() == 0
+
+
 def test_random_split_has_the_exact_size(spark):
     rows = spark.range(1003).select(F.col("id").cast("string").alias("row_id"))
     first = {r["row_id"] for r in split.random_split(rows).filter("is_test").collect()}
