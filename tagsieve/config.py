@@ -18,6 +18,8 @@ LR_MAX_ITER = 2000
 LR_TOLERANCE = 1e-4
 SCORING_BATCH = 8
 SCREEN_ROWS = 20
+#: What the text part of one .docx file may unpack to; a larger one is rejected.
+MAX_DOCX_BYTES = 64 << 20
 TAG_SEPARATOR = " | "
 
 # Execution parameters: results do not depend on them.

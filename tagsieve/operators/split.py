@@ -76,26 +76,28 @@ def random_split(rows: DataFrame, test_size: float = config.TEST_SIZE, seed: int
 _OPEN, _REFUSED, _ACCEPTED = 0, 1, 2
 
 
-def _demands(hashed: DataFrame, min_train: int) -> DataFrame:
-    """(row_id, place, tag, needed): a row that may be refused, its place in the order, and how many
-    rows with the tag must have been refused before it."""
-    tagged = hashed.select("row_id", "_hash", F.explode_outer("tags").alias("tag")).filter("tag is not null")
+def _waiting_rows(hashed: DataFrame, min_train: int) -> DataFrame:
+    """(row_id, place, tags, demands): the rows that may be refused, their place in the order, and for each tag
+    with a demand how many rows with it must have been refused before."""
+    tagged = hashed.select("row_id", "_hash", "tags", F.explode_outer("tags").alias("tag")).filter("tag is not null")
     # The limit on the rank is applied before the shuffle too, so a tag that
     # nearly every row carries sends only a few rows per task.
     from_end = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("_hash"), F.desc("row_id")))
     last = tagged.withColumn("_from_end", from_end).filter(F.col("_from_end") <= min_train)
-    place = F.struct("_hash", "row_id").alias("place")
-    return last.select("row_id", place, "tag", (min_train + 1 - F.col("_from_end")).alias("needed"))
+    demand = F.struct("tag", (min_train + 1 - F.col("_from_end")).alias("needed"))
+    rows = last.groupBy("_hash", "row_id", "tags").agg(F.collect_list(demand).alias("demands"))
+    return rows.select("row_id", F.struct("_hash", "row_id").alias("place"), "tags", "demands")
 
 
-def _round(demands: DataFrame, carried: DataFrame, states: DataFrame) -> DataFrame:
-    """(row_id, state) after one more round."""
-    before = carried.join(states, "row_id").select(
-        F.col("tag").alias("_tag"), F.col("place").alias("_place"), F.col("state").alias("_state")
+def _round(rows: DataFrame, states: DataFrame) -> DataFrame:
+    """(row_id, state) of the waiting rows after one more round."""
+    before = rows.join(states, "row_id").select(
+        F.explode("tags").alias("_tag"), F.col("place").alias("_place"), F.col("state").alias("_state")
     )
-    waiting = demands.join(states.filter(F.col("state") == _OPEN), "row_id")
+    open_rows = rows.join(states.filter(F.col("state") == _OPEN), "row_id")
+    demands = open_rows.select("row_id", "place", F.inline("demands"))
     # at most min_train demands meet the rows of a tag, and sums are combined before the shuffle
-    earlier = waiting.join(before, (F.col("tag") == F.col("_tag")) & (F.col("_place") < F.col("place")), "left")
+    earlier = demands.join(before, (F.col("tag") == F.col("_tag")) & (F.col("_place") < F.col("place")), "left")
     counted = earlier.groupBy("row_id", "tag", "needed").agg(
         F.count_if(F.col("_state") == _REFUSED).alias("least"),
         F.count_if(F.col("_state") <= _REFUSED).alias("most"),
@@ -110,14 +112,12 @@ def _round(demands: DataFrame, carried: DataFrame, states: DataFrame) -> DataFra
 
 
 def _refused(hashed: DataFrame, min_train: int) -> DataFrame:
-    """Rows the walk leaves in the training set to protect one of their tags."""
-    demands = stored(_demands(hashed, min_train))
-    states = stored(demands.select("row_id").distinct().withColumn("state", F.lit(_OPEN)))
-    # every tag that a refused row carries keeps one more training row
-    rows = hashed.join(states.select("row_id"), "row_id", "left_semi")
-    carried = stored(rows.select("row_id", F.struct("_hash", "row_id").alias("place"), F.explode("tags").alias("tag")))
+    """Rows the walk leaves in the training set to protect one of their tags. A refused row leaves one
+    more training row to every tag it carries."""
+    rows = stored(_waiting_rows(hashed, min_train))
+    states = stored(_round(rows, rows.select("row_id", F.lit(_OPEN).alias("state"))))
     while not states.filter(F.col("state") == _OPEN).isEmpty():
-        states = stored(_round(demands, carried, states))
+        states = stored(_round(rows, states))
     return states.filter(F.col("state") == _REFUSED).select("row_id")
 
 
@@ -129,10 +129,11 @@ def tag_preserving_split(
 ) -> DataFrame:
     """``rows`` (with string ``row_id`` and ``tags``) plus ``is_test``. Rows without tags may always move."""
     hashed = rows.withColumn("_hash", order_hash(F.col("row_id"), seed))
-    slim = hashed.select("row_id", "_hash", "tags")
+    # every step below reads these, the texts only the last one
+    slim = stored(hashed.select("row_id", "_hash", "tags"))
     refused = _refused(slim, min_train)
     accepted = slim.join(refused, "row_id", "left_anti")
-    cutoff = _cutoff(accepted, _test_size(rows, test_size))
+    cutoff = _cutoff(accepted, _test_size(slim, test_size))
     flagged = hashed.join(refused.withColumn("_refused", F.lit(True)), "row_id", "left")
     is_test = F.col("_refused").isNull() & _upto(cutoff)
     return flagged.withColumn("is_test", is_test).select(*rows.columns, "is_test")

@@ -26,23 +26,24 @@ def get_session(app_name: str = "tagsieve", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
-_local_scratch: list[str] = []
+#: Removed when the process ends.
+_local_scratch: list[tempfile.TemporaryDirectory] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    and Spark runs in local mode is a temporary folder made.
+    The cluster names it in ``spark.checkpoint.dir`` and clears it. Only where that is unset
+    and Spark runs in local mode is a temporary folder made, which goes with the process.
     """
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local_scratch:
-        _local_scratch.append(tempfile.mkdtemp(prefix="tagsieve-"))
-    return _local_scratch[0]
+        _local_scratch.append(tempfile.TemporaryDirectory(prefix="tagsieve-"))
+    return _local_scratch[0].name
 
 
 def fresh_folder(spark: SparkSession) -> str:
@@ -58,4 +59,5 @@ def stored(rows: DataFrame) -> DataFrame:
     """
     path = fresh_folder(rows.sparkSession)
     rows.write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
+    # with the schema given, no job looks for it in the files
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagsieve import config
 from tagsieve.functions import text
 from tagsieve.session import stored
 
@@ -48,10 +49,12 @@ def _with_kind(files: DataFrame) -> DataFrame:
     return files.select("path", "content", name.alias("name"), extension.alias("extension"))
 
 
-def _unpacker():
+def _unpacker(max_bytes: int):
     """Function over batches of .docx files; unreadable ones give a reason, not a failure.
 
-    Nested, so that it travels to the workers without this package.
+    The text part is unpacked and parsed piece by piece, and finished paragraphs are let go, so a worker
+    holds one paragraph and the text so far. A file that unpacks to more than ``max_bytes`` is
+    given up there. Nested, so that it travels to the workers without this package.
     """
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,12 +88,51 @@ def _unpacker():
                     runs.extend(run_text(run) for run in node.findall(space + "r"))
             return "".join(runs).strip()
 
+        class TooLarge(Exception):
+            pass
+
+        class Bounded:
+            """A stream that ends with an error after max_bytes."""
+
+            def __init__(self, stream):
+                self.stream, self.left = stream, max_bytes
+
+            def read(self, size=-1):
+                data = self.stream.read(min(size, 65536) if size >= 0 else 65536)
+                self.left -= len(data)
+                if self.left < 0:
+                    raise TooLarge
+                return data
+
+        def body_lines(stream):
+            """The stripped texts of the paragraphs directly in the first body."""
+            open_tags, bodies, keep = [], 0, False
+            for event, node in ElementTree.iterparse(Bounded(stream), events=("start", "end")):
+                if event == "start":
+                    open_tags.append(node)
+                    in_body = len(open_tags) > 1 and open_tags[1].tag == space + "body" and bodies == 0
+                    if len(open_tags) == 3:
+                        keep = in_body and node.tag == space + "p"
+                    continue
+                open_tags.pop()
+                if len(open_tags) == 2 and keep:
+                    yield paragraph_text(node)
+                if len(open_tags) == 1 and node.tag == space + "body":
+                    bodies += 1
+                if len(open_tags) <= 2 or not keep:
+                    # what is done or of no use takes no memory
+                    node.clear()
+                    if open_tags:
+                        open_tags[-1].remove(node)
+            if not bodies:
+                raise ValueError("no body")
+
         def read(content):
             try:
-                with zipfile.ZipFile(io.BytesIO(content)) as package:
-                    body = ElementTree.fromstring(package.read("word/document.xml")).find(space + "body")
-                lines = [paragraph_text(p) for p in body.findall(space + "p")]
-                return "\n\n".join(line for line in lines if line), None
+                with zipfile.ZipFile(io.BytesIO(content)) as package, package.open("word/document.xml") as stream:
+                    return "\n\n".join(line for line in body_lines(stream) if line), None
+            except TooLarge:
+                return None, f".docx file that unpacks to more than {max_bytes} bytes"
             except Exception as error:  # whatever is wrong with one file must not stop the others
                 return None, f"unreadable .docx file ({type(error).__name__})"
 
@@ -108,11 +150,11 @@ def _unpacker():
     return unpack
 
 
-def read_docx(files: DataFrame) -> DataFrame:
+def read_docx(files: DataFrame, max_bytes: int = config.MAX_DOCX_BYTES) -> DataFrame:
     """(path, name, texto, reason) of (path, name, content) .docx files: the body's
     paragraphs, stripped, blanks dropped, joined by a blank line."""
     slim = files.select("path", "name", "content")
-    return slim.mapInPandas(_unpacker(), "path string, name string, texto string, reason string")
+    return slim.mapInPandas(_unpacker(max_bytes), "path string, name string, texto string, reason string")
 
 
 def intake(files: DataFrame, strict: bool = False) -> Intake:

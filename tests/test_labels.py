@@ -151,7 +151,7 @@ def test_one_tag_on_nearly_all_rows_is_not_gathered(spark):
         F.when(F.col("id") % 100 == 0, F.array(F.lit("rare"))).otherwise(F.array(F.lit("hot"))).alias("tags"),
     )
     assert split.tag_preserving_split(rows).filter("is_test").count() == 4000
-    plan = split._demands(rows.withColumn("_hash", split.order_hash(F.col("row_id"))), 2)
+    plan = split._waiting_rows(rows.withColumn("_hash", split.order_hash(F.col("row_id"))), 2)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.index("WindowGroupLimit", text.index("Exchange hashpartitioning(tag")) > 0
 
@@ -181,10 +181,8 @@ def plans_of(frame) -> str:
 def test_no_step_of_the_split_sees_all_rows(spark):
     rows = tagged_rows(spark, [(f"o{i}", [f"t{i % 7}"]) for i in range(50)])
     hashed = rows.withColumn("_hash", split.order_hash(F.col("row_id")))
-    demands = split._demands(hashed, 2)
-    states = demands.select("row_id").distinct().withColumn("state", F.lit(0))
-    carried = demands.select("row_id", "place", "tag")
-    for frame in (demands, split._round(demands, carried, states)):
+    waiting = split._waiting_rows(hashed, 2)
+    for frame in (waiting, split._round(waiting, waiting.select("row_id", F.lit(0).alias("state")))):
         assert "SinglePartition" not in plans_of(frame) and "Cartesian" not in plans_of(frame)
 
 

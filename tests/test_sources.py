@@ -12,6 +12,9 @@ from tagsieve.sources import reports, sinks, tables
 SPACE = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
 
+PARAGRAPH = "<w:p><w:r><w:t>{}</w:t></w:r></w:p>"
+
+
 def docx(body: str) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as package:
@@ -74,6 +77,24 @@ def test_files_from_a_folder(spark, tmp_path):
     assert {r["nome"]: r["texto"] for r in alike.collect()} == texts
 
 
+def test_a_docx_that_unpacks_to_gigabytes_is_a_reason(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as package:
+        with package.open("word/document.xml", "w", force_zip64=True) as part:
+            part.write(b"<w:document>")
+            for _ in range(2048):
+                part.write(b" " * (1 << 20))
+    nested = docx("<w:tbl><w:p><w:r><w:t>in a table</w:t></w:r></w:p></w:tbl>" + PARAGRAPH.format("after"))
+    rows = [("in/bomb.docx", out.getvalue()), ("in/wide.docx", docx(PARAGRAPH.format("x" * 90_000))), ("in/a.docx", nested)]
+    files = spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")
+    found = reports.read_docx(reports._with_kind(files), max_bytes=100_000).collect()
+    by_name = {r["path"]: (r["texto"], r["reason"]) for r in found}
+    assert by_name["in/a.docx"] == ("after", None) and by_name["in/wide.docx"] == ("x" * 90_000, None)
+    assert len(out.getvalue()) < 20_000_000 and by_name["in/bomb.docx"][0] is None
+    small = reports.read_docx(reports._with_kind(files), max_bytes=10_000).filter("path = 'in/wide.docx'").first()
+    assert small["texto"] is None and "10000 bytes" in small["reason"]
+
+
 def test_pasted(spark):
     rows = spark.createDataFrame([(1, "text"), (2, " \n")], "doc_id int, texto string")
     assert [tuple(r) for r in reports.pasted(rows).collect()] == [(1, "texto_colado", "text")]

@@ -454,7 +454,8 @@ ORACLES = {
         SELECT 'in/' || doc_id || '.docx' AS path, doc_id % 7 = 0 OR doc_id % 5 = 0 AS rejected, text,
                array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: {strip('l')}), lambda l: l <> ''),
                  chr(10) || chr(10)) AS texto
-        FROM documents) WHERE rejected OR {strip('text')} <> ''""",
+        FROM documents) WHERE rejected OR {strip('text')} <> ''
+        UNION ALL SELECT 'in/bomb.docx', NULL, TRUE""",
     "report_intake": f"""SELECT path, CASE WHEN ok THEN 'report.v' || doc_id END AS nome, CASE WHEN ok THEN text END AS texto,
         CASE WHEN ok THEN NULL WHEN ext = 'doc' THEN 'old .doc files are not supported: save as .docx'
              ELSE 'format ''.' || ext || ''' is not supported: send .txt or .docx' END AS reason

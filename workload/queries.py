@@ -98,13 +98,27 @@ def read_docx(spark, sf_dir):
     return report_files.intake(_docx_files(spark, sf_dir)).reports.select("nome", "texto")
 
 
+def _docx_bomb(spark) -> DataFrame:
+    """A small .docx file that unpacks to more than the intake allows."""
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as package, package.open("word/document.xml", "w") as part:
+        part.write(b"<w:document>")
+        for _ in range(config.MAX_DOCX_BYTES >> 20):
+            part.write(b"<w:p/> " * (1 << 18))
+    return spark.createDataFrame([("in/bomb.docx", bytearray(out.getvalue()))], "path string, content binary")
+
+
 def docx_intake(spark, sf_dir):
-    """The same files, every fifth cut in half and every seventh without content: the sound ones are
-    read, the others listed with a reason."""
+    """The same files, every fifth cut in half and every seventh without content, and one that unpacks to
+    far more than its size: the sound ones are read, the others listed with a reason."""
     number = F.regexp_extract("path", "([0-9]+)", 1).cast("bigint")
     half = F.expr("substring(content, 1, cast(octet_length(content) / 2 as int))")
     content = F.when(number % 7 == 0, F.lit(b"")).when(number % 5 == 0, half).otherwise(F.col("content"))
-    result = report_files.intake(_docx_files(spark, sf_dir).select("path", content.alias("content")))
+    damaged = _docx_files(spark, sf_dir).select("path", content.alias("content"))
+    result = report_files.intake(damaged.unionByName(_docx_bomb(spark)))
     nothing = F.lit(None).cast("string")
     return result.reports.select(F.col("doc_id").alias("path"), "texto", F.lit(False).alias("rejected")).unionByName(
         result.rejected.select("path", nothing.alias("texto"), F.col("reason").isNotNull().alias("rejected"))
