@@ -7,14 +7,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagsieve import config
 from tagsieve.functions import scores, text
 from tagsieve.operators import labels, logistic, metrics, scoring, split
+from tagsieve.operators.ranks import numbered
 from tagsieve.session import stored
 
 
@@ -51,41 +52,75 @@ def training_set(
     return TrainingSet(rows, labels.label_vocab(kept.select("tag")), kept, labels.rare_tags(frequency, min_count))
 
 
-#: Terms of equal count are ranked among those with the same leading characters.
-_PREFIX = 3
+def _sketch(terms: DataFrame, slots: int) -> DataFrame:
+    """(slot, n): terms counted by a hash of theirs. A slot's count is at least that of each of its terms."""
+    return stored(terms.groupBy(_slot(slots).alias("slot")).agg(F.count(F.lit(1)).alias("n")))
 
 
-def top_terms(rows: DataFrame, limit: int = config.TFIDF_MAX_TERMS, column: str = "quotation") -> DataFrame:
+def _slot(slots: int):
+    return F.pmod(F.xxhash64("term"), F.lit(slots)).cast("int")
+
+
+def _least_count(sketch: DataFrame, limit: int) -> int:
+    """The count that a few more than ``limit`` slots reach: about what the last of the top terms has."""
+    room = limit + limit // 4
+    # there are about as many different counts as the square root of the number of words
+    for row in sketch.groupBy("n").agg(F.count(F.lit(1)).alias("slots")).orderBy(F.desc("n")).toLocalIterator():
+        room -= row["slots"]
+        if room <= 0:
+            return row["n"]
+    return 1
+
+
+def _counted_heavy(terms: DataFrame, limit: int, slots: int) -> DataFrame | None:
+    """Counts of the terms in slots that reach some count, or None where they do not hold all top terms."""
+    sketch = _sketch(terms, slots)
+    least = _least_count(sketch, limit)
+    heavy = F.broadcast(sketch.filter(F.col("n") >= least).select("slot"))
+    kept = terms.withColumn("slot", _slot(slots)).join(heavy, "slot", "left_semi")
+    counted = stored(kept.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least))
+    return counted if counted.count() >= limit else None
+
+
+#: So many times the limit may be sorted at once; more equal terms are ranked by ranges.
+_SORTED_AT_ONCE = 10
+
+
+def top_terms(
+    rows: DataFrame, limit: int = config.TFIDF_MAX_TERMS, column: str = "quotation", slots: int | None = None
+) -> DataFrame:
     """(term, n): the most frequent words and word pairs; equal counts in term order.
 
-    Counts of counts tell down to which count all terms are in. Of the terms with the count
-    that does not fit whole, counts by leading characters tell which are in, and only those
-    that begin like the last one are ranked. No task sees more than these.
+    Counts of counts, of which ``limit`` are enough, tell the count of the last top term and how many terms
+    reach it. Only these are sorted: at once where they are few, else by ranges.
+
+    With ``slots``, terms that cannot be among the top are not counted one by one: a count-min sketch
+    with one row of so many counters never falls short, so a term in a slot below some count is below
+    it too, and only terms of the other slots, a broadcast of at most ``slots`` numbers, enter
+    the second shuffle. If fewer than ``limit`` of them reach the count, everything is counted. That walks
+    twice over the words and moves far less, which pays where most terms are rare and moving
+    them costs more than cutting texts.
     """
     words = rows.select(text.tokens(F.col(column)).alias("words"))
+    counted = None
+    if slots:
+        words = stored(words)
     terms = words.select(F.explode_outer(text.with_bigrams(F.col("words"))).alias("term")).filter("term is not null")
-    counted = stored(terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
-    room, cut = limit, None
-    # there are about as many different counts as the square root of the number of words
-    for row in counted.groupBy("n").agg(F.count(F.lit(1)).alias("terms")).orderBy(F.desc("n")).toLocalIterator():
-        if row["terms"] > room:
-            cut = row["n"]
-            break
-        room -= row["terms"]
-    if cut is None:
-        return counted.orderBy(F.desc("n"), "term")
-    equal = counted.filter(F.col("n") == cut).withColumn("_prefix", F.substring("term", 1, _PREFIX))
-    last = ""
-    for row in equal.groupBy("_prefix").agg(F.count(F.lit(1)).alias("terms")).orderBy("_prefix").toLocalIterator():
-        last = row["_prefix"]
-        if row["terms"] > room:
+    if slots:
+        counted = _counted_heavy(terms, limit, slots)
+    if counted is None:
+        counted = stored(terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    levels = counted.groupBy("n").agg(F.count(F.lit(1)).alias("terms"))
+    least, reached = 0, 0
+    for row in levels.orderBy(F.desc("n")).limit(limit).collect():
+        least, reached = row["n"], reached + row["terms"]
+        if reached >= limit:
             break
-        room -= row["terms"]
-    rank = F.row_number().over(Window.partitionBy("_prefix").orderBy("term"))
-    ranked = equal.filter(F.col("_prefix") == last).withColumn("_rank", rank).filter(F.col("_rank") <= room)
-    whole = equal.filter(F.col("_prefix") < last)
-    found = counted.filter(F.col("n") > cut).unionByName(whole.drop("_prefix")).unionByName(ranked.drop("_prefix", "_rank"))
-    return found.orderBy(F.desc("n"), "term")
+    found = counted.filter(F.col("n") >= least)
+    if reached > _SORTED_AT_ONCE * limit:
+        found = numbered(found.withColumn("_minus", -F.col("n")), ["_minus", "term"], "_rank")
+        found = found.filter(F.col("_rank") < limit).select("term", "n")
+    return found.orderBy(F.desc("n"), "term").limit(limit)
 
 
 def with_grams(rows: DataFrame, column: str = "quotation") -> DataFrame:
@@ -100,9 +135,13 @@ def fit_features(train: DataFrame, limit: int = config.TFIDF_MAX_TERMS, column:
     """
     vocabulary = sorted(row["term"] for row in top_terms(train, limit, column).collect())
     counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="counts")
-    counted = counter.transform(with_grams(train, column))
-    idf = IDF(inputCol="counts", outputCol="idf").fit(counted).idf.toArray()
-    weigh = ElementwiseProduct(scalingVec=Vectors.dense(idf + 1.0), inputCol="counts", outputCol="weighted")
+    found = counter.transform(with_grams(train, column)).select(F.unwrap_udt("counts")["indices"].alias("found"))
+    # rows with each term, and all rows under -1: as many numbers as terms, added up in place
+    each = found.select(F.explode_outer(F.concat(F.array(F.lit(-1)), "found")).alias("pos"))
+    rows_with = {r["pos"]: r["n"] for r in each.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).collect()}
+    df = np.array([rows_with.get(i, 0) for i in range(len(vocabulary))], dtype=float)
+    idf = np.log((rows_with.get(-1, 0) + 1.0) / (df + 1.0)) + 1.0
+    weigh = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="weighted")
     return PipelineModel([counter, weigh, Normalizer(p=2.0, inputCol="weighted", outputCol="features")])
 
 

@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import random
 
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +60,39 @@ def test_features_are_unit_length_and_from_the_training_rows(data):
     assert sorted(top) == list(model.stages[0].vocabulary)
 
 
+def many_terms(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"word{int(i)}" for i in rng.zipf(1.4, 60) % 3000) for _ in range(200)]
+    texts += ["equal pairs here", "nothing", "a b", ""]
+    counts = Counter()
+    for t in texts:
+        words = re.findall(r"\w{3,}", t)
+        counts.update(words)
+        counts.update(" ".join(p) for p in zip(words, words[1:]))
+    frame = spark.createDataFrame([(t,) for t in texts], "quotation string")
+    return frame, sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+
+
+@pytest.mark.parametrize("slots", [None, 1 << 16, 64])
+@pytest.mark.parametrize("at_once", [10, 0])
+def test_top_terms_whatever_the_way(spark, monkeypatch, slots, at_once):
+    """Counted all or by a sketch, also one too small to tell anything; ranked at once or by ranges."""
+    monkeypatch.setattr(training, "_SORTED_AT_ONCE", at_once)
+    frame, expected = many_terms(spark)
+    for limit in (1, 50, 700, 10**6):
+        found = training.top_terms(frame, limit, slots=slots).collect()
+        assert [tuple(r) for r in found] == expected[:limit]
+
+
+def test_the_sketch_lets_few_terms_through(spark):
+    frame, expected = many_terms(spark)
+    words = frame.select(training.text.tokens(F.col("quotation")).alias("words"))
+    terms = words.select(F.explode(training.text.with_bigrams(F.col("words"))).alias("term"))
+    counted = training._counted_heavy(terms, 50, 1 << 16)
+    assert 50 <= counted.count() < 100 < len(expected) / 20
+    assert training._counted_heavy(terms, 50, 64) is None
+
+
 def test_fit_equals_newton(data):
     model = training.fit_features(data.train, limit=60)
     fitted = training.fit_linear(data.train, data.vocab, model, tolerance=1e-9)
