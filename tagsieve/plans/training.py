@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from tagsieve import config
 from tagsieve.functions import scores, text
 from tagsieve.operators import labels, logistic, metrics, scoring, split
+from tagsieve.operators.chunks import term_counts
 from tagsieve.operators.ranks import numbered
 from tagsieve.session import stored
+from tagsieve.sources import sinks
 
 
 @dataclass(frozen=True)
@@ -235,28 +237,85 @@ def optimality(train: DataFrame, vocab: DataFrame, model: scoring.LinearModel, t
     are not optimal."""
     n = train.count()
     counts = labels.label_counts(train, vocab)
-    grams = with_grams(train).select("row_id", "tags", F.explode("grams").alias("term"))
-    tf = grams.groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighted = tf.join(model.terms, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    sides = {row["tag"]: row["pos"] for row in counts.collect()}
+    known = F.array(*[F.lit(tag) for tag in model.tags])
+    # what a row of each class weighs in the loss of each tag; 0 where there is no objective
+    usable = [0 < sides.get(tag, 0) < n for tag in model.tags]
+    weigh_pos = F.array(*[F.lit(0.5 / sides[tag] if use else 0.0) for tag, use in zip(model.tags, usable)])
+    weigh_neg = F.array(*[F.lit(0.5 / (n - sides[tag]) if use else 0.0) for tag, use in zip(model.tags, usable)])
+    texts = train.select(F.col("row_id").alias("doc_id"), F.lit(1).alias("trecho_id"), F.col("quotation").alias("trecho"), "tags")
+    scored = scoring.score_linear(texts, model)
+
+    def error(logit, i):
+        truth = F.array_contains("tags", F.get(known, i))
+        weight = F.when(truth, F.get(weigh_pos, i)).otherwise(F.get(weigh_neg, i))
+        return F.when(weight > 0, weight * (scores.sigmoid(logit) - truth.cast("int"))).otherwise(0.0)
+
+    errors = stored(scored.select(F.col("doc_id").alias("row_id"), F.transform("logits", error).alias("e")))
+    # one array of errors a row: a term meets its rows once, not once for every tag
+    tf = term_counts(train, ["row_id"], "quotation", bigrams=True)
+    weighted = tf.join(model.terms.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighted.groupBy("row_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    features = stored(weighted.join(norms, "row_id").select("row_id", "term", (F.col("w") / F.col("norm")).alias("x")))
-    rows = score_rows(train, model).select("row_id", "idx", "tag", "prob", F.array_contains("tags", F.col("tag")).alias("truth"))
-    sides = counts.select("idx", "pos", "n")
-    weight = F.when(F.col("truth"), 0.5 / F.col("pos")).otherwise(0.5 / (F.col("n") - F.col("pos")))
-    usable = rows.join(sides.filter((F.col("pos") > 0) & (F.col("pos") < F.col("n"))), "idx")
-    error = stored(usable.select("row_id", "idx", (weight * (F.col("prob") - F.col("truth").cast("int"))).alias("e")))
-    slopes = features.join(error, "row_id").groupBy("term", "idx").agg(F.sum(F.col("x") * F.col("e")).alias("g"))
-    coefficients = model.terms.select("term", F.posexplode("coefs").alias("idx", "coef"))
-    both = coefficients.join(slopes, ["term", "idx"], "left")
-    gradient = F.abs(F.coalesce("g", F.lit(0.0)) + F.col("coef") / n)
-    steepest = both.groupBy("idx").agg(F.max(gradient).alias("slope"))
-    free = error.groupBy("idx").agg(F.abs(F.sum("e")).alias("free"))
-    small = (F.greatest("slope", "free") <= tolerance * 1.01) & F.col("free").isNotNull()
-    return (
-        counts.join(steepest, "idx", "left")
-        .join(free, "idx", "left")
-        .select("idx", "tag", F.col("n").alias("n_train"), F.col("pos").alias("n_pos"), F.coalesce(small, F.lit(False)).alias("optimal"))
+    per_row = errors.join(norms, "row_id")
+    slopes = (
+        weighted.join(per_row, "row_id")
+        .groupBy("term")
+        .agg(*[F.sum(F.col("w") / F.col("norm") * F.get("e", F.lit(i))).alias(f"_g{i}") for i in range(len(model.tags))])
+    )
+    both = model.terms.select("term", "coefs").join(slopes, "term", "left")
+    gradient = [F.abs(F.coalesce(f"_g{i}", F.lit(0.0)) + F.get("coefs", F.lit(i)) / n) for i in range(len(model.tags))]
+    steepest = both.agg(*[F.max(g).alias(f"_s{i}") for i, g in enumerate(gradient)]).first()
+    free = errors.agg(*[F.abs(F.sum(F.get("e", F.lit(i)))).alias(f"_f{i}") for i in range(len(model.tags))]).first()
+    small = [
+        (i, use and max(steepest[i] or 0.0, free[i] or 0.0) <= tolerance * 1.01) for i, use in enumerate(usable)
+    ]
+    verdicts = train.sparkSession.createDataFrame(
+        [(model.tags[i], bool(ok)) for i, ok in small], "tag string, optimal boolean"
+    )
+    return counts.join(verdicts, "tag", "left").select(
+        "idx", "tag", F.col("n").alias("n_train"), F.col("pos").alias("n_pos"), F.coalesce("optimal", F.lit(False)).alias("optimal")
+    )
+
+
+@dataclass(frozen=True)
+class Trained:
+    data: TrainingSet
+    features: PipelineModel
+    model: scoring.LinearModel
+    paths: dict[str, str]  # classificador, vectorizer, labels, frequencia_tags, avaliacao, metricas, ...
+    metrics: DataFrame  # model, f1_macro, f1_micro, f1_weighted, as stored
+
+
+def train_and_report(
+    quotations: DataFrame,
+    reviews: DataFrame | None,
+    folder: str,
+    name: str = "tfidf_lr",
+    max_terms: int = config.TFIDF_MAX_TERMS,
+    min_count: int = config.MIN_TAG_COUNT,
+    test_size: float = config.TEST_SIZE,
+    seed: int = config.SEED,
+) -> Trained:
+    """The whole training run: prepare and split, fit on the training part, store model, vectorizer and
+    label tables, score the test part once, store the scores and the F1 computed from them.
+
+    ``folder`` must not hold an earlier run. Scores are (model, row_id, idx, tag, truth, prob), one row for
+    each test row and tag, so that other metrics need no model.
+    """
+    prepared = training_set(quotations, reviews, min_count, test_size, seed)
+    data = TrainingSet(stored(prepared.rows), stored(prepared.vocab), prepared.frequencies, prepared.removed)
+    features = fit_features(data.train, max_terms)
+    model = fit_linear(data.train, data.vocab, features)
+    paths = save_model(model, folder, features)
+    paths |= sinks.write_label_tables(folder, data.vocab, data.frequencies, data.removed)
+    paths |= {"avaliacao": f"{folder}/avaliacao", "metricas": f"{folder}/metricas"}
+    scored = score_rows(data.test, model).select(
+        F.lit(name).alias("model"), "row_id", "idx", "tag", F.array_contains("tags", F.col("tag")).alias("truth"), "prob"
     )
+    scored.write.parquet(paths["avaliacao"])
+    spark = quotations.sparkSession
+    metrics.f1_metrics(spark.read.schema(scored.schema).parquet(paths["avaliacao"])).write.parquet(paths["metricas"])
+    return Trained(data, features, model, paths, spark.read.parquet(paths["metricas"]))
 
 
 def save_model(model: scoring.LinearModel, folder: str, features: PipelineModel | None = None) -> dict[str, str]:

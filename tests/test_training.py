@@ -144,3 +144,26 @@ def test_model_is_better_than_saying_nothing_and_survives_storage(spark, data, t
     assert again.tags == model.tags and again.intercepts == model.intercepts
     one = training.evaluate(data.test, again).first()
     assert one["f1_macro"] == pytest.approx(scores["f1_macro"])
+
+
+def test_one_run_trains_evaluates_and_stores(spark, tmp_path):
+    trained = training.train_and_report(quotations(spark), None, str(tmp_path), "m", max_terms=60)
+    expected = {"classificador", "vectorizer", "labels", "frequencia_tags", "tags_removidas", "avaliacao", "metricas"}
+    assert set(trained.paths) == expected and all((tmp_path / p.rsplit("/", 1)[1]).exists() for p in trained.paths.values())
+    scores = spark.read.parquet(trained.paths["avaliacao"])
+    assert scores.count() == trained.data.test.count() * len(trained.model.tags)
+    metrics = trained.metrics.first()
+    again = training.evaluate(trained.data.test, training.load_model(spark, str(tmp_path)), "m").first()
+    assert metrics["model"] == "m" and metrics["f1_macro"] > 0.6
+    assert [metrics[n] for n in ("f1_macro", "f1_micro", "f1_weighted")] == pytest.approx(list(again)[1:])
+
+
+def test_optimality_tells_good_coefficients_from_others(spark, data):
+    features = training.fit_features(data.train, limit=60)
+    model = training.fit_linear(data.train, data.vocab, features, tolerance=1e-6)
+    verdicts = {r["tag"]: r["optimal"] for r in training.optimality(data.train, data.vocab, model, 1e-5).collect()}
+    assert verdicts == {"none": True, "term1": True, "term2": True, "term3": True}
+    moved = model.terms.withColumn("coefs", F.transform("coefs", lambda c, i: F.when(i == 1, c + 0.5).otherwise(c)))
+    other = type(model)(model.tags, moved, model.intercepts)
+    verdicts = {r["tag"]: r["optimal"] for r in training.optimality(data.train, data.vocab, other, 1e-5).collect()}
+    assert verdicts == {"none": True, "term1": False, "term2": True, "term3": True}

@@ -614,7 +614,7 @@ ORACLES = {
     "untrained_tags": with_(
         BASE,
         """SELECT idx, tag FROM (SELECT row_number() OVER (ORDER BY tag) - 1 AS idx, tag FROM freq)
-           ANTI JOIN (SELECT unnest(tags) AS tag FROM tagged WHERE row_id NOT IN (
+           ANTI JOIN (SELECT unnest(tags) AS tag FROM tagged WHERE list_contains(tags, 'en') AND row_id NOT IN (
              SELECT row_id FROM (SELECT row_id, row_number() OVER (ORDER BY md5('42:' || row_id), row_id) AS pos FROM tagged)
              WHERE pos <= (SELECT round_even(count(*) * 0.2, 0) FROM tagged))) USING (tag)""",
     ),
@@ -648,6 +648,12 @@ ORACLES = {
         f"SELECT row_id, term, {round6('w / sqrt(sum(w * w) OVER (PARTITION BY row_id))')} AS weight FROM w",
     ),
     "train_lr": with_walk("SELECT idx, tag, n AS n_train, pos AS n_pos, pos > 0 AND pos < n AS optimal FROM counts", COUNTS),
+    "train_f1": with_walk(
+        """SELECT idx, tag, (SELECT count(*) FROM flagged WHERE is_test) AS n_test,
+             (SELECT count(*) FROM flagged f WHERE is_test AND list_contains(f.tags, c.tag)) AS n_true,
+             TRUE AS f1_stored, TRUE AS f1_better FROM counts c""",
+        COUNTS,
+    ),
     "run_stats": with_walk(
         """SELECT count(*) AS n_rows, count(*) FILTER (WHERE NOT is_test) AS n_train, count(*) FILTER (WHERE is_test) AS n_test,
              (SELECT count(*) FROM kept) AS n_tags, (SELECT sum(len(paras))::BIGINT FROM blocks) AS n_paragrafos,
