@@ -12,9 +12,10 @@ counts and add hashed features of the history: the token before (bigram), the on
 (skip), and both (trigram), each a row of weights. In the history a token is a hash of its bytes, so
 tokens have histories of their own at every size of the vocabulary.
 
-Training goes over the whole training part once, in ``ROUNDS`` slices by a hash. In a slice,
-every task makes gradient updates in small batches, from the common weights, with row-wise adaptive
-steps; it hands back the change of each row it touched. Changes are added up in a tree of groups
+Training goes over the whole training part once, in ``ROUNDS`` slices by a hash. A slice is dealt by a hash of id
+and text into parts of about ``PART_TOKENS`` tokens, sorted by that hash, so the result does not hang on how
+the table was split into tasks. Each part makes gradient updates in small batches, from the common weights, with
+row-wise adaptive steps; it hands back the change of each row it touched. Changes are added up in a tree of groups
 of at most ``FAN`` parts, and the mean change becomes the new common weights. The weights
 have a fixed size, so broadcasts and the driver's share do not grow with the corpus.
 
@@ -25,20 +26,22 @@ are rare by choice, so no key of that join is hot.
 Defined cases: null texts are empty and consist of the end token; a null id trains (it
 counts as empty text in the hash); without training texts all counts are zero and classes
 equally likely; repeated rows train each time and are scored each; an empty table gives no
-rows. Extra columns are not used.
+rows. Extra columns are not used; the key may have any name.
 """
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, groupby, repeat
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,13 +56,15 @@ CLASSES = TOP // CLASS_SIZE + TAILS
 ROWS = 1 << 14
 INNER_ROWS = 1 << 11
 ROUNDS = 3
+#: Training tokens of a slice that one task learns from, about.
+PART_TOKENS = 1_000_000
 RATE = 0.15
 BATCH = 8_192
 FAN = 32
 #: Bytes of weight rows that travel together.
 PIECE_BYTES = 1 << 17
-#: Texts that are scored and handed back together.
-SLICE = 128
+#: Characters of text, about, that are read at once; more only where one text is longer.
+SLICE_CHARS = 1 << 18
 #: Distinct tokens a task counts before it hands them on.
 COUNTED = 200_000
 END = b""
@@ -80,7 +85,7 @@ def tail_class(token: bytes) -> int:
 
 def history_number(token: bytes) -> int:
     """64 bits of the token's bytes, whether or not its count is broadcast."""
-    return int.from_bytes(hashlib.blake2b(token, digest_size=8).digest(), "little", signed=True)
+    return xxhash.xxh64_intdigest(token) - (1 << 63)
 
 
 def tail_column(token: Column) -> Column:
@@ -141,28 +146,44 @@ class Lexicon:
 
     def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """index (-1: not broadcast), class, number in the history."""
-        get = self.index.get
-        ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        ids = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         classes = self.classes[ids]
         history = self.histories[ids]
-        for i in np.nonzero(ids < 0)[0]:
-            classes[i] = TOP // CLASS_SIZE + tail_class(words[i])
-            history[i] = history_number(words[i])
+        other = np.flatnonzero(ids < 0)
+        if len(other):
+            unread = [words[i] for i in other.tolist()]
+            classes[other] = [TOP // CLASS_SIZE + tail_class(w) for w in unread]
+            history[other] = [history_number(w) for w in unread]
         return ids, classes, history
 
 
+#: Tokens of one count level are taken by hash, in so many parts.
+_PARTS_OF_LEVEL = 4_096
+
+
 def lexicon(counts: DataFrame) -> Lexicon:
     """counts: token, c."""
     level = F.floor(F.log2("c") * 16).cast("int")
     levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect()
     total, distinct = sum(r.c for r in levels), sum(r.n for r in levels)
-    room, cut = KNOWN, None
+    room, split = KNOWN, None
     for row in sorted(levels, key=lambda r: -r.level):
-        room -= row.n
-        if room < 0:
+        if row.n > room:
+            split = row.level
             break
-        cut = row.level
-    chosen = counts.filter(level >= cut).collect() if cut is not None else []
+        room -= row.n
+    if split is None:
+        chosen = counts.collect()
+    else:
+        # as many of the level that does not fit as there is room for, by parts of its tokens' hashes
+        part = F.pmod(F.xxhash64("token"), F.lit(_PARTS_OF_LEVEL))
+        sizes = counts.filter(level == split).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
+        below = 0
+        for row in sorted(sizes):
+            if row.n > room:
+                break
+            room, below = room - row.n, row.part + 1
+        chosen = counts.filter((level > split) | ((level == split) & (part < below))).collect()
     known = sorted(((r.token.encode(), r.c) for r in chosen), key=lambda x: (-x[1], x[0]))
     class_counts, sizes = np.zeros(CLASSES), np.zeros(TAILS)
     for row in counts.groupBy(tail_column(F.col("token")).alias("t")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
@@ -190,17 +211,21 @@ class Weights:
 
 
 def _hashed(x: np.ndarray, salt: int, size: int) -> np.ndarray:
-    """Row numbers from 1; row 0 is the bias."""
-    mixed = (x.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    """Row numbers from 1; row 0 is the bias. The numbers fit 16 bits, which sort fast."""
+    mixed = (x.view(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return (1 + (mixed >> np.uint64(33)) % np.uint64(size - 1)).astype(np.int64)
+    return (((mixed >> np.uint64(32)) * np.uint64(size - 1) >> np.uint64(32)) + np.uint64(1)).astype(np.uint16)
 
 
-def _history(history: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The active rows of each token: of classes (bigram, skip, trigram; the bias is row 0) and inside classes."""
-    one = np.concatenate(([START], history[:-1]))
-    two = np.concatenate(([START, START], history[:-2]))[: len(history)]
+def _history(history: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The active rows of each token of texts of these sizes: of classes (bigram, skip, trigram; the bias is
+    row 0) and inside classes."""
+    first = np.cumsum(sizes) - sizes
+    one, two = np.roll(history, 1), np.roll(history, 2)
+    one[first] = two[first] = START
+    second = first + 1
+    two[second[np.asarray(sizes) > 1]] = START
     outer = np.stack(
         [
             _hashed(one, 1, ROWS),
@@ -236,7 +261,7 @@ def _class_logits(words: Lexicon, table: np.ndarray, rows: np.ndarray) -> np.nda
 
 def _cells(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Where the weights of a class begin among all blocks of CLASS_SIZE weights."""
-    return rows * (TOP // CLASS_SIZE) + group
+    return rows * np.uint16(TOP // CLASS_SIZE) + group.astype(np.uint16)
 
 
 def _inner_logits(words: Lexicon, table: np.ndarray, rows: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -252,18 +277,16 @@ def _summed_rows(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.nd
     order = np.argsort(rows, kind="stable")
     at = rows[order]
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    sizes = np.diff(np.append(first, len(at)))
-    sums = grads.take(order[first], axis=0)
-    # the second, third and further gradients of a row are added together
-    left = np.flatnonzero(sizes > 1)
-    for extra in range(1, 4):
-        if not len(left):
-            break
-        sums[left] += grads.take(order[first[left] + extra], axis=0)
-        left = left[sizes[left] > extra + 1]
-    for i in left:
-        sums[i] += grads.take(order[first[i] + 4 : first[i] + sizes[i]], axis=0).sum(axis=0)
-    return at[first], sums
+    return at[first], np.add.reduceat(grads.take(order, axis=0), first, axis=0)
+
+
+def _read_slice(words: Lexicon, texts: list[str | None]) -> tuple[list[list[bytes]], list[int], tuple[np.ndarray, ...]]:
+    """Of some texts: their tokens, how many they are, and the flat index, class, place and history rows of each."""
+    found = [tokens(text) for text in texts]
+    sizes = [len(x) for x in found]
+    ids, classes, history = words.read(list(chain.from_iterable(found)))
+    places = np.where(ids >= 0, words.places[ids], -1)
+    return found, sizes, (ids, classes, places, *_history(history, sizes))
 
 
 class Trainer:
@@ -297,11 +320,17 @@ class Trainer:
                 self._step(blocks, self.seen_inner, *_summed_rows(_cells(rows[:, j], group), grads))
 
     def examples(self, texts: Iterator[str | None]) -> Iterator[tuple[np.ndarray, ...]]:
-        """What ``update`` takes, text by text."""
+        """What ``update`` takes, a few texts at a time."""
+        held: list[str | None] = []
+        chars = 0
         for text in texts:
-            ids, classes, history = self.words.read(tokens(text))
-            places = np.where(ids >= 0, self.words.places[ids], -1)
-            yield classes, places, *_history(history)
+            held.append(text)
+            chars += len(text or "")
+            if chars >= SLICE_CHARS:
+                yield _read_slice(self.words, held)[2][1:]
+                held, chars = [], 0
+        if held:
+            yield _read_slice(self.words, held)[2][1:]
 
 
 def _batched(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -324,16 +353,17 @@ CHANGES = "part long, piece int, change binary, touched binary"
 
 
 def _changes(docs: DataFrame, text: str, words, weights) -> DataFrame:
-    """What each task's updates change: (part, piece, change, touched)."""
+    """What the updates of each part change: (part, piece, change, touched). Rows lie by part."""
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        rows = ((part, text) for batch in batches for part, text in zip(*(c.to_pylist() for c in batch.columns)))
+        for part, own in groupby(rows, key=itemgetter(0)):
+            yield changed(part, (text for _, text in own))
 
+    def changed(part: int, texts: Iterator[str | None]) -> pa.RecordBatch:
         trainer = Trainer(words.value, weights.value)
-        texts = (value.as_py() for batch in batches for value in batch.column(0))
         for batch in _batched(trainer.examples(texts)):
             trainer.update(*batch)
-        part = TaskContext.get().partitionId()
         new = Weights(trainer.outer, trainer.inner).flat()
         rows = []
         for table, (before, after) in enumerate(zip(weights.value.flat(), new)):
@@ -345,11 +375,11 @@ def _changes(docs: DataFrame, text: str, words, weights) -> DataFrame:
                     rows.append((part, table * 1_000_000 + at, change.tobytes(), touched.tobytes()))
         columns = list(zip(*rows)) if rows else [[], [], [], []]
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["part", "piece", "change", "touched"]
         )
 
-    return docs.select(text).mapInArrow(learned, CHANGES)
+    return docs.select("part", text).mapInArrow(lambda batches: released(learned(batches)), CHANGES)
 
 
 def _added(group: pd.DataFrame) -> pd.DataFrame:
@@ -371,11 +401,15 @@ def train(docs: DataFrame, text: str, key: Column, words: Lexicon, rounds: int =
     spark = docs.sparkSession
     weights = Weights.zero()
     shared_words = spark.sparkContext.broadcast(words)
+    dealt = -(-words.total // (rounds * PART_TOKENS)) or 1
+    place = F.xxhash64(key, text)
     for number in range(rounds):
-        piece_of = docs.filter(F.pmod(F.xxhash64(key), F.lit(rounds)) == number)
+        own = docs.filter(F.pmod(F.xxhash64(key), F.lit(rounds)) == number)
+        own = own.select(F.pmod(place, F.lit(dealt)).cast("int").alias("part"), place.alias("place"), key.alias("key"), text)
         shared = spark.sparkContext.broadcast(weights)
-        parts = piece_of.rdd.getNumPartitions()
-        changes = _changes(piece_of, text, shared_words, shared)
+        parts = dealt
+        lying = own.repartitionById(dealt, F.col("part")).sortWithinPartitions("place", "key", text)
+        changes = _changes(lying, text, shared_words, shared)
         while True:
             changes = changes.withColumn("part", F.expr(f"part div {FAN}"))
             changes = changes.groupBy("part", "piece").applyInPandas(_added, CHANGES)
@@ -421,41 +455,52 @@ class Scorer:
         return out
 
     def texts(self, texts: list[str | None]) -> list[dict]:
-        words, out, parts, sizes = self.words, [], [], []
-        limit = len(words.known)
-        for text in texts:
-            found = tokens(text)
-            ids, classes, history = words.read(found)
-            places = np.where(ids >= 0, words.places[ids], -1)
-            tail = places < 0
-            known = ids >= 0
-            rare = Counter(found[i].decode("utf-8", "replace") for i in np.flatnonzero(~known))
-            logs = self.log_counts[ids[known]].sum()
-            fixed = self.log_counts[ids[known & tail]].sum() - words.tail_log[classes[tail] - TOP // CLASS_SIZE].sum()
-            parts.append((classes, places, *_history(history)))
-            sizes.append(len(found))
-            out.append(
-                {
-                    "n_tokens": len(found),
-                    "known": int(known.sum()) if limit else 0,
-                    "log_counts": float(logs),
-                    "model": float(fixed),
-                    "rare": [{"token": w, "n": n} for w, n in rare.items()],
-                }
-            )
-        logs = np.concatenate([self.logs(*batch) for batch in _batched(iter(parts))])
-        ends = np.cumsum(sizes)
-        for row, total in zip(out, np.add.reduceat(logs, np.concatenate(([0], ends[:-1])))):
-            row["model"] += float(total)
-        return out
+        words = self.words
+        found, sizes, (ids, classes, places, *rows) = _read_slice(words, texts)
+        known, tail = ids >= 0, places < 0
+        if not words.known:
+            known[:] = False
+        fixed = np.where(known & tail, self.log_counts[ids], 0.0)
+        fixed[tail] -= words.tail_log[classes[tail] - TOP // CLASS_SIZE]
+        logs = fixed + np.concatenate([self.logs(*batch) for batch in _batched(iter([(classes, places, *rows)]))])
+        first = np.cumsum(sizes) - sizes
+        sums = [np.add.reduceat(x, first) for x in (logs, known, np.where(known, self.log_counts[ids], 0.0))]
+        rare: list[Counter] = [Counter() for _ in texts]
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        for i in np.flatnonzero(~known).tolist():
+            at = int(owner[i])
+            rare[at][found[at][i - int(first[at])]] += 1
+        return [
+            {
+                "n_tokens": sizes[i],
+                "known": int(sums[1][i]),
+                "log_counts": float(sums[2][i]),
+                "model": float(sums[0][i]),
+                "rare": [{"token": w.decode("utf-8", "replace"), "n": n} for w, n in rare[i].items()],
+            }
+            for i in range(len(texts))
+        ]
+
+
+def _slices(batch: pa.Array) -> Iterator[list[str | None]]:
+    held: list[str | None] = []
+    chars = 0
+    for value in batch:
+        held.append(value.as_py())
+        chars += len(held[-1] or "")
+        if chars >= SLICE_CHARS:
+            yield held
+            held, chars = [], 0
+    if held:
+        yield held
 
 
 def _scored(text: Column, words, weights) -> Column:
     def sliced(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(words.value, weights.value)
         for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                yield pa.array(scorer.texts([t.as_py() for t in batch[at : at + SLICE]]), _SCORED)
+            for texts in _slices(batch):
+                yield pa.array(scorer.texts(texts), _SCORED)
 
     @F.arrow_udf(SCORED)
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -468,30 +513,30 @@ def score(docs: DataFrame, key: str, text: str, held: Column) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; the rows
     where ``held`` is not true train the model. Scores are log10 probabilities of whole texts."""
     spark: SparkSession = docs.sparkSession
-    rows = docs.select(F.col(key), F.col(text).alias("__llm_text"), held.alias("held_out"))
-    training = rows.filter(~F.col("held_out"))
+    rows = docs.select(F.col(key), F.col(text).alias("__llm_text"), held.alias("__llm_held"))
+    training = rows.filter(~F.col("__llm_held"))
     counts = stored(count_tokens(training, "__llm_text"))
     words = lexicon(counts)
     weights = train(training, "__llm_text", F.coalesce(F.col(key).cast("string"), F.lit("")), words)
     shared_words, shared = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(weights)
     first = stored(
         rows.select(
-            F.monotonically_increasing_id().alias("row"), key, "held_out",
+            F.monotonically_increasing_id().alias("__llm_row"), F.col(key).alias("__llm_key"), "__llm_held",
             _scored(F.col("__llm_text"), shared_words, shared).alias("s"),
         )
     )
-    rare = first.select("row", F.explode("s.rare").alias("r")).select("row", "r.token", "r.n")
+    rare = first.select("__llm_row", F.explode("s.rare").alias("r")).select("__llm_row", "r.token", "r.n")
     # counts that were broadcast are used already; a rare token is never among them
     joined = rare.join(counts, "token")
-    extra = joined.groupBy("row").agg(
+    extra = joined.groupBy("__llm_row").agg(
         F.sum(F.col("n") * F.log(F.col("c") + 1.0)).alias("logs"), F.sum("n").alias("known")
     )
     logs = F.coalesce(F.col("logs"), F.lit(0.0))
     ten = float(np.log(10))
     floor = float(np.log(words.total + words.distinct + 1))
-    return first.join(extra, "row", "left").select(
-        key,
-        "held_out",
+    return first.join(extra, "__llm_row", "left").select(
+        F.col("__llm_key").alias(key),
+        F.col("__llm_held").alias("held_out"),
         F.col("s.n_tokens").alias("n_tokens"),
         (F.col("s.known") + F.coalesce(F.col("known"), F.lit(0))).alias("n_known"),
         F.lit(words.total).cast("long").alias("train_tokens"),

@@ -100,6 +100,34 @@ def test_histories_do_not_depend_on_what_is_broadcast():
     assert all((other == read[0]).all() for other in read[1:])
 
 
+def test_scores_do_not_hang_on_tasks(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "PART_TOKENS", 6_000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    results = []
+    for tasks in (1, 8):
+        found = maxent.score(docs.repartition(tasks), "doc_id", "text", held_out(F.col("doc_id"), 7, 2))
+        results.append({r.doc_id: r.score for r in found.collect()})
+    assert results[0].keys() == results[1].keys()
+    assert all(abs(x - results[1][i]) <= 1e-4 * abs(x) for i, x in results[0].items())
+
+
+def test_tokens_of_one_count_are_cut_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "KNOWN", 10)
+    counts = spark.createDataFrame([(f"w{i}", 1) for i in range(30)], "token string, c long")
+    words = maxent.lexicon(counts)
+    assert len(words.known) == 10 and (words.total, words.distinct) == (30, 30)
+    more = counts.union(spark.createDataFrame([("often", 9), ("", 5)], counts.schema))
+    again = maxent.lexicon(more)
+    assert {w for w, _ in again.known[:2]} == {b"often", b""} and len(again.known) == 10
+    assert {w for w, _ in again.known[2:]} <= {w for w, _ in words.known}
+
+
+def test_the_key_may_have_any_name(spark):
+    for name in ("row", "s", "token", "part"):
+        docs = spark.createDataFrame([(1, "a b c"), (2, "d e"), (3, "a")], f"{name} long, text string")
+        assert {r[name] for r in maxent.score(docs, name, "text", F.col(name) == 2).collect()} == {1, 2, 3}
+
+
 def test_gradients_are_summed_by_row():
     rng = np.random.default_rng(13)
     rows, grads = rng.integers(0, 9, 200), rng.normal(size=(200, 3))
