@@ -17,6 +17,8 @@ TFIDF_MAX_TERMS = 20000
 LR_MAX_ITER = 2000
 LR_TOLERANCE = 1e-4
 SCORING_BATCH = 8
+#: Characters that a batch of texts may take when all are padded to the longest.
+SCORING_CHARS = 32_768
 SCREEN_ROWS = 20
 #: What the text part of one .docx file may unpack to; a larger one is rejected.
 MAX_DOCX_BYTES = 64 << 20
@@ -25,5 +27,7 @@ TAG_SEPARATOR = " | "
 # Execution parameters: results do not depend on them.
 #: Cached training rows per task; every task returns one model-sized gradient.
 TRAIN_ROWS_PER_TASK = 2_000
+#: Numbers in a linear model that is broadcast, 32 MB, a term counting as four; a larger one is joined.
+BROADCAST_CELLS = 4 << 20
 #: Ordered-prefix counts split the key space into this many ranges.
 RANK_BUCKETS = 65536

@@ -116,8 +116,17 @@ def chunks(
     min_chars: int = config.MIN_CHARS_CHUNK,
 ) -> Column:
     """Ordered pieces of a report that are long enough to analyse."""
-    pieces = F.flatten(F.transform(paragraphs(text), lambda block: pack_sentences(block, max_chars)))
-    return F.filter(pieces, lambda piece: F.length(piece) >= min_chars)
+    return pieces(paragraphs(text), max_chars, min_chars)
+
+
+def pieces(
+    blocks: Column,
+    max_chars: int = config.MAX_CHARS_CHUNK,
+    min_chars: int = config.MIN_CHARS_CHUNK,
+) -> Column:
+    """``chunks`` of a text whose paragraphs are known."""
+    packed = F.flatten(F.transform(blocks, lambda block: pack_sentences(block, max_chars)))
+    return F.filter(packed, lambda piece: F.length(piece) >= min_chars)
 
 
 def tokens(text: Column) -> Column:

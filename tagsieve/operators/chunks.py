@@ -24,6 +24,16 @@ def dealt(reports: DataFrame) -> DataFrame:
     return reports.select("doc_id", "nome", "texto").repartition("doc_id")
 
 
+def spread(reports: DataFrame) -> DataFrame:
+    """The same rows over at least as many tasks as the cluster has cores.
+
+    For steps that group nothing by report. A large table has more splits than cores and stays as it
+    is, without an exchange; only a table in a few splits, cut in fewer tasks than could work,
+    is dealt out."""
+    cores = reports.sparkSession.sparkContext.defaultParallelism
+    return reports if reports.rdd.getNumPartitions() >= cores else reports.repartition(cores)
+
+
 def report_paragraphs(reports: DataFrame) -> DataFrame:
     """(doc_id, para, paragraph), numbered from 1."""
     blocks = F.posexplode_outer(text.paragraphs(F.col("texto"))).alias("pos", "paragraph")
@@ -55,11 +65,13 @@ def report_chunks(
 
 def chunk_counts(reports: DataFrame) -> DataFrame:
     """(doc_id, arquivo, n_paragrafos, n_trechos), also for reports without any chunk."""
-    return reports.select(
+    # a projection of its own, so that texts are cut into paragraphs once
+    cut = reports.select("doc_id", F.col("nome").alias("arquivo"), text.paragraphs(F.col("texto")).alias("_blocks"))
+    return cut.select(
         "doc_id",
-        F.col("nome").alias("arquivo"),
-        F.coalesce(F.size(text.paragraphs(F.col("texto"))), F.lit(0)).alias("n_paragrafos"),
-        F.coalesce(F.size(text.chunks(F.col("texto"))), F.lit(0)).alias("n_trechos"),
+        "arquivo",
+        F.coalesce(F.size("_blocks"), F.lit(0)).alias("n_paragrafos"),
+        F.coalesce(F.size(text.pieces(F.col("_blocks"))), F.lit(0)).alias("n_trechos"),
     )
 
 

@@ -161,13 +161,9 @@ def nearest_reference(reports: DataFrame, refs: References) -> DataFrame:
     )
 
 
-def candidates(
-    reports: DataFrame, refs: References, threshold: float = config.SIMILARITY_THRESHOLD
-) -> DataFrame:
-    """Chunks whose best similarity, rounded to four decimals, reaches the threshold.
-
-    (doc_id, arquivo, trecho_id, trecho, similaridade, quotation_referencia)
-    """
+def chosen(reports: DataFrame, refs: References, threshold: float = config.SIMILARITY_THRESHOLD) -> DataFrame:
+    """(doc_id, trecho_id, ref_pos, similaridade): chunks whose best similarity, rounded to four
+    decimals, reaches the threshold, without their texts."""
     if refs.count == 0:
         raise ValueError("there is no reference quotation to compare with")
     similarity = text.round4(F.col("sim"))
@@ -177,12 +173,22 @@ def candidates(
         best = best.filter(similarity >= threshold)
     else:
         best = nearest_reference(reports, refs)
-    quoted = best.join(refs.table, "ref_pos")
+    return best.select(*KEYS, "ref_pos", similarity.alias("similaridade"))
+
+
+def candidates(
+    reports: DataFrame, refs: References, threshold: float = config.SIMILARITY_THRESHOLD
+) -> DataFrame:
+    """The ``chosen`` chunks with their texts.
+
+    (doc_id, arquivo, trecho_id, trecho, similaridade, quotation_referencia)
+    """
+    quoted = chosen(reports, refs, threshold).join(refs.table, "ref_pos")
     return report_chunks(dealt(reports)).join(quoted, KEYS).select(
         "doc_id",
         "arquivo",
         "trecho_id",
         "trecho",
-        similarity.alias("similaridade"),
+        "similaridade",
         F.col("quotation").alias("quotation_referencia"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagsieve import config
 from tagsieve.operators import scoring, similarity
+from tagsieve.session import stored
 
 #: Adds a ``logits`` column to a frame of chunks.
 Scorer = Callable[[DataFrame], DataFrame]
@@ -46,7 +47,7 @@ def linear_scorer(model: scoring.LinearModel) -> Scorer:
 def ordered(results: DataFrame) -> DataFrame:
     """Results by falling confidence; equal ones by report and chunk.
 
-    A total order first samples its input. Exchanging the results, which are few
-    next to the texts, keeps that from running the whole analysis a second time.
+    A total order first samples its input, and the results are dear to compute, so they are stored before. Of the
+    sample only the sort keys are read, and texts are exchanged once, into their range.
     """
-    return results.repartition("doc_id", "trecho_id").orderBy(F.desc("confianca"), "arquivo", "trecho_id")
+    return stored(results).orderBy(F.desc("confianca"), "arquivo", "trecho_id")

@@ -192,7 +192,7 @@ def fit_linear(
         {"term": vocabulary, "idf": features.stages[1].getScalingVec().toArray(), "coefs": coefs.tolist()}
     )
     table = train.sparkSession.createDataFrame(terms, "term string, idf double, coefs array<double>")
-    return scoring.LinearModel(tags, table, bias.tolist())
+    return scoring.LinearModel(tags, table, bias.tolist(), len(vocabulary))
 
 
 def score_rows(rows: DataFrame, model: scoring.LinearModel, column: str = "quotation") -> DataFrame:
@@ -342,4 +342,5 @@ def load_model(spark: SparkSession, folder: str) -> scoring.LinearModel:
         [row["tag"] for row in head],
         terms.select("term", "idf", F.col("c.weight").alias("coefs")),
         [row["intercept"] for row in head],
+        table.count() // max(1, len(head)),
     )

@@ -33,11 +33,13 @@ def test_wide_and_long(spark):
             scores.probability_names(tags)
 
 
-def test_linear_scores_equal_the_formula(spark):
+@pytest.mark.parametrize("n_terms", [None, 2])
+def test_linear_scores_equal_the_formula(spark, n_terms):
     terms = spark.createDataFrame(
         [("rede", 2.0, [1.0, -1.0]), ("rede social", 3.0, [0.5, 2.0])], "term string, idf double, coefs array<double>"
     )
-    model = scoring.LinearModel(["x", "y"], terms, [0.25, float("-inf")])
+    model = scoring.LinearModel(["x", "y"], terms, [0.25, float("-inf")], n_terms)
+    assert model.small == (n_terms is not None)
     rows = spark.createDataFrame(
         [(1, 1, "Rede social rede", "k"), (1, 2, "nada aqui", "l"), (2, 1, "...", None)],
         "doc_id int, trecho_id int, trecho string, other string",
@@ -51,6 +53,60 @@ def test_linear_scores_equal_the_formula(spark):
     assert probs == [pytest.approx(1 / (1 + np.exp(-0.25))), 0.0]
 
 
+def test_a_model_of_two_million_terms_is_joined(spark):
+    size = 2_000_000
+    coefs = F.array((F.col("id") % 7 - 3).cast("double"), (F.col("id") % 5).cast("double"))
+    terms = spark.range(size).select(
+        F.concat(F.lit("w"), F.col("id")).alias("term"), (1.0 + F.col("id") % 3).alias("idf"), coefs.alias("coefs")
+    )
+    model = scoring.LinearModel(["x", "y"], terms, [0.5, -0.5], size)
+    texts = [f"w{1000 + 17 * i} w{i} unknown{i} w{1999999 - i} w{i}" for i in range(300)]
+    rows = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "doc_id int, trecho_id int, trecho string")
+    # sizes at run time may still make it a broadcast; the plan does not ask for one
+    found = scoring.score_linear(rows, model)
+    assert not model.small and "ResolvedHint" not in found._jdf.queryExecution().analyzed().toString()
+    got = {r["doc_id"]: r["logits"] for r in found.collect()}
+    for i, t in enumerate(texts):
+        counts = {}
+        for w in t.split():
+            if w.startswith("w") and len(w) >= 3:
+                counts[int(w[1:])] = counts.get(int(w[1:]), 0) + 1
+        weights = {n: tf * (1.0 + n % 3) for n, tf in counts.items()}
+        norm = sum(w * w for w in weights.values()) ** 0.5
+        expected = [sum(w * (n % 7 - 3) for n, w in weights.items()) / norm + 0.5, sum(w * (n % 5) for n, w in weights.items()) / norm - 0.5]
+        assert got[i] == pytest.approx(expected)
+    bits = rows.select(F.explode(F.split("trecho", " ")).alias("term")).filter(scoring._term_filter(terms.select("term")))
+    kept = [r["term"] for r in bits.collect()]
+    assert sum(t.startswith("w") for t in kept) == 1200 and sum(t.startswith("unknown") for t in kept) < 60
+
+
+def test_batches_are_bounded_by_padded_characters():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(0, 900, 500)
+    sizes[7] = 40_000
+    batches = scoring.batches_of(sizes, 64, 10_000)
+    assert sorted(np.concatenate(batches)) == list(range(500))
+    for batch in batches:
+        assert len(batch) <= 64 and (len(batch) * sizes[batch].max() <= 10_000 or len(batch) == 1)
+    padded = sum(len(b) * sizes[b].max() for b in batches)
+    assert padded < 1.2 * sizes.sum()  # little is padding
+    assert scoring.batches_of(sizes[:0], 8, 10) == []
+
+
+def test_batch_model_sees_bounded_batches(spark):
+    def make_predict():
+        def predict(texts):
+            assert len(texts) * max(map(len, texts)) <= 200 or len(texts) == 1
+            return np.array([[float(len(t)), float(len(texts))] for t in texts])
+
+        return predict
+
+    rows = spark.createDataFrame([(i, 1, "x" * (i * 7 % 90)) for i in range(60)], "doc_id int, trecho_id int, trecho string")
+    got = {r["doc_id"]: r["logits"] for r in scoring.score_batches(rows.coalesce(1), make_predict, max_chars=200).collect()}
+    assert {i: x[0] for i, x in got.items()} == {i: float(i * 7 % 90) for i in range(60)}
+    assert max(x[1] for x in got.values()) == 8
+
+
 def test_batch_model(spark):
     def make_predict():
         def predict(texts):

@@ -38,7 +38,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spaced_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same reports with every line break widened to a blank line."""
-    return chunks.dealt(reports(spark, sf_dir)).withColumn("texto", F.replace("texto", F.lit("\n"), F.lit("\n \n")))
+    return chunks.spread(reports(spark, sf_dir)).withColumn("texto", F.replace("texto", F.lit("\n"), F.lit("\n \n")))
 
 
 def quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ def fixed_model(spark: SparkSession, sf_dir: str) -> scoring.LinearModel:
         (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"),
         F.array(*[coefficient(i) for i in range(len(LABELS))]).alias("coefs"),
     )
-    return scoring.LinearModel(LABELS, terms, [INTERCEPT] * len(LABELS))
+    return scoring.LinearModel(LABELS, terms, [INTERCEPT] * len(LABELS), config.TFIDF_MAX_TERMS)
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,7 +162,7 @@ def paragraphs(spark, sf_dir):
 
 
 def report_chunks(spark, sf_dir):
-    return chunks.report_chunks(chunks.dealt(inputs.reports(spark, sf_dir)))
+    return chunks.report_chunks(chunks.spread(inputs.reports(spark, sf_dir)))
 
 
 def paragraph_chunks(spark, sf_dir):
@@ -175,11 +175,11 @@ def chunk_counts(spark, sf_dir):
 
 
 def tokens(spark, sf_dir):
-    return chunks.term_counts(chunks.dealt(inputs.reports(spark, sf_dir)), ["doc_id"], "texto")
+    return chunks.term_counts(chunks.spread(inputs.reports(spark, sf_dir)), ["doc_id"], "texto")
 
 
 def ngrams(spark, sf_dir):
-    return chunks.term_counts(chunks.dealt(inputs.reports(spark, sf_dir)), ["doc_id"], "texto", bigrams=True)
+    return chunks.term_counts(chunks.spread(inputs.reports(spark, sf_dir)), ["doc_id"], "texto", bigrams=True)
 
 
 def tag_lists(spark, sf_dir):
@@ -277,7 +277,7 @@ def report_coverage(spark, sf_dir):
 
 def report_status(spark, sf_dir):
     reports = inputs.reports(spark, sf_dir)
-    found = analyze_plan.find_candidates(reports, inputs.references(spark, sf_dir))
+    found = similarity.chosen(reports, inputs.references(spark, sf_dir))
     return report_ops.report_status(chunks.chunk_counts(chunks.dealt(reports)), found)
 
 
@@ -562,12 +562,10 @@ def run_stats(spark, sf_dir):
         F.sum((~F.col("is_test")).cast("bigint")).alias("n_train"),
         F.sum(F.col("is_test").cast("bigint")).alias("n_test"),
     )
-    return sizes.select(
-        "*",
-        data.vocab.agg(F.count(F.lit(1))).scalar().alias("n_tags"),
-        reports.agg(F.sum("n_paragrafos")).scalar().alias("n_paragrafos"),
-        reports.agg(F.sum("n_trechos")).scalar().alias("n_trechos"),
-    )
+    # both sums in one value, so that texts are cut once
+    cut = reports.agg(F.struct(F.sum("n_paragrafos").alias("n_paragrafos"), F.sum("n_trechos").alias("n_trechos"))).scalar()
+    counted = sizes.select("*", data.vocab.agg(F.count(F.lit(1))).scalar().alias("n_tags"), cut.alias("cut"))
+    return counted.select("n_rows", "n_train", "n_test", "n_tags", "cut.n_paragrafos", "cut.n_trechos")
 
 
 # Scores
@@ -586,7 +584,7 @@ def model_files(spark, sf_dir):
 
 
 def _quotation_scores(spark, sf_dir, model: scoring.LinearModel) -> DataFrame:
-    rows = chunks.dealt(inputs.reports(spark, sf_dir)).select(
+    rows = chunks.spread(inputs.reports(spark, sf_dir)).select(
         "doc_id", F.lit(1).alias("trecho_id"), F.col("texto").alias("trecho")
     )
     scored = scoring.classify(scoring.score_linear(rows, model), model.tags)
@@ -625,7 +623,7 @@ def batch_scores(spark, sf_dir):
 
         return predict
 
-    reports = chunks.dealt(inputs.reports(spark, sf_dir))
+    reports = chunks.spread(inputs.reports(spark, sf_dir))
     found = chunks.report_chunks(reports).select("doc_id", "trecho_id", "trecho")
     scored = scoring.score_batches(found, make_predict, batch_size=256)
     return scoring.classify(scored, ["long", "many a", "many e", "many i"]).select(
