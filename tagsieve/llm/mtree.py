@@ -18,11 +18,13 @@ shows, by the triangle inequality, that it is out of reach is dropped before its
 is computed. Bounds have a margin for rounding, scores are exact integers, and the best of
 all trees are merged by a ranking that Spark limits before the shuffle.
 
-Of the copies of a vector only the k + 1 smallest ids are kept: no other copy can be among the
-k best of a query. Queries go in blocks of ``QUERY_BLOCK``.
+Of the copies of a vector only the k + 1 smallest ids are kept, and of equal rows k: no other copy can
+be among the k best of a query. Queries go in blocks of ``QUERY_BLOCK``, and a tree is copied for each
+block that wants it.
 
 Defined cases: null ids, null vectors and vectors with null or non-finite components take no
-part; rows of one id count once, with the smallest vector; vectors of unequal length are
+part; every other row counts, also equal ones and those of one id, whose queries are ranked together and
+are never candidates of each other; vectors of unequal length are
 compared over the components both have; ties go to the smaller id; a query without
 candidates returns no row; an empty table gives no rows. Components must keep inner products
 within 63 bits. Extra columns are not used.
@@ -47,7 +49,7 @@ SCALE = 256
 TREE_ROWS = 16_384
 LEAF = 512
 FANOUT = 16
-QUERY_BLOCK = 2_048
+QUERY_BLOCK = 32_768
 MAX_PIVOTS = 256
 #: Pivots are chosen among about so many rows for each pivot.
 PIVOT_SAMPLE = 8
@@ -68,10 +70,18 @@ def usable(vector: Column) -> Column:
 
 
 def points(df: DataFrame, key: str, vector: str, scale: int = SCALE) -> DataFrame:
-    """(id, v): one scaled vector for each id."""
+    """(id, v): the scaled vectors of all usable rows."""
     rows = df.filter(F.col(key).isNotNull() & usable(F.col(vector)))
-    rows = rows.select(F.col(key).cast("long").alias("id"), scaled(F.col(vector), scale).alias("v"))
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    return rows.select(F.col(key).cast("long").alias("id"), scaled(F.col(vector), scale).alias("v"))
+
+
+def _few_equal(rows: DataFrame, k: int) -> DataFrame:
+    """(id, v, n): n, at most k, equal rows as one."""
+    return rows.groupBy("id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
+
+
+def _unfolded(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("n", F.explode(F.sequence(F.lit(1), "n"))).drop("n")
 
 
 def _dot(a: str, b: str) -> Column:
@@ -194,16 +204,16 @@ class Tree:
                 scores = self.rows[low:high] @ query
                 ids = self.ids[low:high]
                 if len(best) == k:
-                    some = np.nonzero(scores >= best[-1][0])[0]
+                    some = np.nonzero((scores >= best[-1][0]) & (ids != own))[0]
                 else:
-                    some = np.arange(len(scores))
-                if len(some) > 4 * (k + 1):
-                    # the k + 1 best scores and their ties may matter
-                    cut = np.partition(scores[some], len(some) - k - 1)[len(some) - k - 1]
+                    some = np.nonzero(ids != own)[0]
+                if len(some) > 4 * k:
+                    # the k best scores and their ties may matter
+                    cut = np.partition(scores[some], len(some) - k)[len(some) - k]
                     some = some[scores[some] >= cut]
-                    if len(some) > 4 * (k + 1):
-                        some = some[np.lexsort((ids[some], -scores[some]))[: k + 1]]
-                found = [(int(scores[i]), int(ids[i])) for i in some if ids[i] != own]
+                    if len(some) > 4 * k:
+                        some = some[np.lexsort((ids[some], -scores[some]))[:k]]
+                found = [(int(scores[i]), int(ids[i])) for i in some]
                 best = sorted(best + found, key=lambda x: (-x[0], x[1]))[:k]
                 if len(best) == k:
                     limit = min(limit, reach(best[-1][0]))
@@ -293,11 +303,10 @@ def _to_visit(vector: Column, bound: Column, pivots: np.ndarray, radii: np.ndarr
     return visit(vector, bound)
 
 
-def _searched(pairs: DataFrame, trees: DataFrame, blocks: int, dim: int, k: int) -> DataFrame:
+def _searched(pairs: DataFrame, trees: DataFrame, dim: int, k: int) -> DataFrame:
     """(query_id, vec_id, score): the best of each (query, tree). pairs: tree, block, id, v, bound."""
-    paged = trees.select(
-        F.col("tree").alias("__tree"), "pages", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block")
-    )
+    wanted = pairs.select(F.col("tree").alias("__tree"), F.col("block").alias("__block")).distinct()
+    paged = wanted.join(trees.select("tree", "pages"), F.col("__tree") == F.col("tree")).select("__tree", "__block", "pages")
 
     def search(tree_rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
@@ -321,8 +330,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of each query. rows and queries as ``points``
     gives them; a query's own id is never its candidate."""
     spark = rows.sparkSession
-    rows, queries = stored(rows), stored(queries)
-    facts = rows.union(queries).agg(
+    rows, queries = stored(_few_equal(rows, k)), stored(_unfolded(_few_equal(queries, k)))
+    facts = rows.select("id", "v").union(queries).agg(
         F.max(F.size("v")).alias("dim"), F.max(_dot("v", "v")).cast("double").alias("largest")
     ).first()
     n, asked = rows.count(), queries.count()
@@ -331,6 +340,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     dim, largest = max(1, facts.dim), float(facts.largest)
     copies = Window.partitionBy("v").orderBy("id")
     kept = rows.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).drop("copy")
+    kept = _unfolded(kept)
     pivots = _pivots(rows, n, dim, largest)
     placed = stored(kept.withColumn("at", _placed(F.col("v"), pivots, dim, largest)))
     regions = {
@@ -363,7 +373,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     names = trees.select("tree", "pivot")
     first_tree = names.groupBy("pivot").agg(F.min("tree").alias("tree"))
     homes = asking.join(first_tree, F.col("home") == F.col("pivot")).withColumn("bound", F.lit(None).cast("long"))
-    seen = stored(_ranked(_searched(homes, trees, blocks, dim, k), k).drop("rank"))
+    seen = stored(_ranked(_searched(homes, trees, dim, k), k).drop("rank"))
     kth = seen.groupBy("query_id").agg(F.min("score").alias("bound"), F.count(F.lit(1)).alias("found"))
     kth = kth.filter(F.col("found") == k).select(F.col("query_id").alias("__query"), "bound")
     bounded = asking.join(kth, F.col("id") == F.col("__query"), "left").drop("__query")
@@ -373,5 +383,5 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         .join(first_tree.select(F.col("pivot").alias("home"), F.col("tree").alias("__first")), "home", "left")
         .filter(F.col("__first").isNull() | (F.col("tree") != F.col("__first")))
     )
-    both = _ranked(seen.union(_searched(rest, trees, blocks, dim, k)), k)
+    both = _ranked(seen.union(_searched(rest, trees, dim, k)), k)
     return both.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

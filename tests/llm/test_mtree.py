@@ -6,13 +6,15 @@ from tagsieve.llm import mtree
 
 
 def brute(rows, k):
-    points = {i: np.floor(256 * np.array(v, float)).astype(int) for i, v in rows.items()}
+    """rows: {id: vector}, or (id, vector) with queries of unlike ids."""
+    rows = list(rows.items()) if isinstance(rows, dict) else rows
+    points = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows]
     out = set()
-    for q in points:
+    for q, at in points:
         if q % 50:
             continue
         n = lambda a, b: sum(x * y for x, y in zip(a.tolist(), b.tolist()))
-        best = sorted(((-n(points[q], v), i) for i, v in points.items() if i != q))[:k]
+        best = sorted(((-n(at, v), i) for i, v in points if i != q))[:k]
         out |= {(q, rank + 1, i, -s) for rank, (s, i) in enumerate(best)}
     return out
 
@@ -46,12 +48,29 @@ def test_odd_tables(spark):
         (0, [1.0, 2.0], None), (50, [0.5, -1.0], None), (1, None, None), (2, [1.0, None], None), (3, [nan, 1.0], None),
         (4, [inf, 1.0], None), (None, [1.0, 1.0], None), (5, [1.0, 2.0], None), (5, [1.0, 2.0], None), (6, [0.25], None), (7, [], None),
     ]
-    usable = {0: [1.0, 2.0], 50: [0.5, -1.0], 5: [1.0, 2.0], 6: [0.25, 0.0], 7: [0.0, 0.0]}
+    usable = [(0, [1.0, 2.0]), (50, [0.5, -1.0]), (5, [1.0, 2.0]), (5, [1.0, 2.0]), (6, [0.25, 0.0]), (7, [0.0, 0.0])]
     assert set(found(spark, rows)) == brute(usable, 5)
     assert found(spark, rows[2:6]) == [] and found(spark, [(0, [1.0], None)]) == []
     assert found(spark, [(1, [1.0], None)]) == []
 
 
+def test_repeated_ids_and_rows_are_as_in_sql(spark, small_pages, tmp_path):
+    import duckdb
+
+    from tagsieve.llm.oracles import OP4
+    from tagsieve.llm.queries import op4_mtree_search
+
+    rng = np.random.default_rng(9)
+    rows = [(int(i), rng.integers(-3, 4, 4).astype(float).tolist()) for i in rng.integers(0, 160, 500)]
+    rows += [(1, [1.0, 0.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0, 0.0])] + [(50, [9.0, 9.0, 9.0, 9.0])] * 30 + [(50, [1.0, 2.0, 3.0, 3.0])] * 2
+    rows += [(7, [8.0, 8.0, 8.0, 8.0])] * 9 + [(i, [7.0, 7.0, 7.0, 7.0]) for i in range(40, 60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(tuple(r) for r in op4_mtree_search(spark, str(tmp_path)).collect())
+    duck = duckdb.connect()
+    duck.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(duck.sql(f"select query_id, rank, vec_id, score from ({OP4})").fetchall()) != []
+
+
 def test_bounds_skip_pages():
     rng = np.random.default_rng(6)
     points = np.concatenate([rng.normal(c, 3, size=(400, 4)) for c in (-400, 0, 400)]).astype(np.int64)
