@@ -26,7 +26,7 @@ written to the shared folder.
 Defined cases: texts without words, null ones included, have fingerprint 0 and are linked
 like others; texts of fewer than three words are one shingle; null ids count as largest: a
 component's id is null only if all its ids are null; repeated rows keep their rows in ``link``
-and count as copies in ``keep_one``; an empty table gives no rows. Extra columns stay.
+and count as copies in ``keep_one``; an empty table gives no rows. ``keep_one`` keeps all columns.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagsieve.llm.common import released, stored
@@ -273,7 +273,7 @@ def _distinct(docs: DataFrame, key: str) -> DataFrame:
 
 
 def link(docs: DataFrame, key: str, text: str, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """(key, fp, component_id) for every document."""
+    """(key, fp, component_id) for every document; other columns are not used."""
     prints = stored(docs.select(F.col(key).alias("__llm_key"), fingerprints(F.col(text), shingle).alias("__llm_fp")))
     distinct = _distinct(prints, "__llm_key")
     linked = classes(distinct, distance).withColumnRenamed("fp", "__fp")
@@ -285,16 +285,26 @@ def link(docs: DataFrame, key: str, text: str, distance: int = DISTANCE, shingle
 
 
 def keep_one(docs: DataFrame, key: str, text: str, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each component: the one with the smallest id, with all its columns."""
-    printed = docs.withColumn("__llm_fp", fingerprints(F.col(text), shingle))
-    distinct = _distinct(printed.select(key, "__llm_fp"), key)
-    linked = classes(distinct, distance)
-    first_of = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("first")
-    stays = linked.join(distinct, "fp").groupBy("root").agg(first_of).select(F.col("first.fp").alias("__stays"))
-    goes = linked.select("fp").join(stays, F.col("fp") == F.col("__stays"), "left_anti")
-    goes = goes.select(F.col("fp").alias("__llm_goes"))
-    order = Window.partitionBy("__llm_fp").orderBy(
-        F.col(key).asc_nulls_last(), F.xxhash64(*[F.col(c) for c in docs.columns])
+    """One document of each component: the one with the smallest id, with all its columns.
+
+    Fingerprints are made once and stored with the id and a 128-bit hash of the row. Who stays is decided on
+    these; texts meet only the hashes of rows that go, and equal rows, of which one stays, each other."""
+    row = ["__llm_x", "__llm_y"]
+    columns = [F.col(c) for c in docs.columns]
+    named = docs.withColumn(row[0], F.xxhash64(*columns)).withColumn(row[1], F.xxhash64(F.lit(1), *columns))
+    prints = stored(named.select(F.col(key).alias("__llm_key"), *row, fingerprints(F.col(text), shingle).alias("__llm_fp")))
+    first_of = F.min(F.struct(F.col("__llm_key").isNull().alias("none"), "__llm_key", *row)).alias("first")
+    firsts = stored(prints.groupBy(F.col("__llm_fp").alias("fp")).agg(first_of))
+    linked = stored(classes(firsts.select("fp", F.col("first.__llm_key").alias("id")), distance))
+    stays = linked.join(firsts, "fp").groupBy("root").agg(F.min(F.struct("first", "fp")).alias("best"))
+    goes = linked.join(stays, "root").filter(F.col("fp") != F.col("best.fp")).select(F.col("fp").alias("__llm_out"))
+    kept = firsts.join(goes, F.col("fp") == F.col("__llm_out"), "left_anti").select(
+        F.col("first.__llm_x").alias("__kept_x"), F.col("first.__llm_y").alias("__kept_y")
     )
-    first = printed.withColumn("__llm_rank", F.row_number().over(order)).filter("__llm_rank = 1")
-    return first.join(goes, F.col("__llm_fp") == F.col("__llm_goes"), "left_anti").select(*docs.columns)
+    going = prints.groupBy(*row).agg(F.count(F.lit(1)).alias("__llm_n"))
+    going = going.join(kept, (F.col(row[0]) == F.col("__kept_x")) & (F.col(row[1]) == F.col("__kept_y")), "left")
+    marked = stored(going.select(*row, F.col("__kept_x").isNotNull().alias("stays"), (F.col("__llm_n") > 1).alias("again")))
+    left = named.join(marked.filter("not stays").select(*row), row, "left_anti")
+    again = marked.filter("stays and again").select(*row)
+    single, repeated = left.join(again, row, "left_anti"), left.join(again, row, "left_semi")
+    return single.union(repeated.dropDuplicates(row)).select(*docs.columns)
