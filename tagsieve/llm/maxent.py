@@ -427,17 +427,8 @@ def train(docs: DataFrame, text: str, key: Column, words: Lexicon, rounds: int =
     return weights
 
 
-RARE = "array<struct<token:string,n:int>>"
-_SCORED = pa.struct(
-    [
-        ("n_tokens", pa.int64()),
-        ("known", pa.int64()),
-        ("log_counts", pa.float64()),
-        ("model", pa.float64()),
-        ("rare", pa.list_(pa.struct([("token", pa.string()), ("n", pa.int32())]))),
-    ]
-)
-SCORED = f"struct<n_tokens:bigint,known:bigint,log_counts:double,model:double,rare:{RARE}>"
+_SCORED = ["n_tokens", "known", "log_counts", "model", "rare"]
+SCORED = "struct<n_tokens:bigint,known:bigint,log_counts:double,model:double,rare:array<string>>"
 
 
 class Scorer:
@@ -454,7 +445,8 @@ class Scorer:
             out[top] += _chosen_logs(logits, places[top])
         return out
 
-    def texts(self, texts: list[str | None]) -> list[dict]:
+    def texts(self, texts: list[str | None]) -> pa.StructArray:
+        """A row for each text; rare: its tokens whose counts were not broadcast."""
         words = self.words
         found, sizes, (ids, classes, places, *rows) = _read_slice(words, texts)
         known, tail = ids >= 0, places < 0
@@ -464,22 +456,20 @@ class Scorer:
         fixed[tail] -= words.tail_log[classes[tail] - TOP // CLASS_SIZE]
         logs = fixed + np.concatenate([self.logs(*batch) for batch in _batched(iter([(classes, places, *rows)]))])
         first = np.cumsum(sizes) - sizes
-        sums = [np.add.reduceat(x, first) for x in (logs, known, np.where(known, self.log_counts[ids], 0.0))]
-        rare: list[Counter] = [Counter() for _ in texts]
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        for i in np.flatnonzero(~known).tolist():
-            at = int(owner[i])
-            rare[at][found[at][i - int(first[at])]] += 1
-        return [
-            {
-                "n_tokens": sizes[i],
-                "known": int(sums[1][i]),
-                "log_counts": float(sums[2][i]),
-                "model": float(sums[0][i]),
-                "rare": [{"token": w.decode("utf-8", "replace"), "n": n} for w, n in rare[i].items()],
-            }
-            for i in range(len(texts))
+        sums = [
+            np.add.reduceat(x, first) for x in (logs, known.astype(np.int64), np.where(known, self.log_counts[ids], 0.0))
         ]
+        flat = list(chain.from_iterable(found))
+        rare = pa.array([flat[i].decode("utf-8", "replace") for i in np.flatnonzero(~known).tolist()], pa.string())
+        ends = np.concatenate([[0], np.cumsum(np.array(sizes) - sums[1].astype(np.int64))])
+        columns = [
+            pa.array(sizes, pa.int64()),
+            pa.array(sums[1].astype(np.int64)),
+            pa.array(sums[2].astype(np.float64)),
+            pa.array(sums[0].astype(np.float64)),
+            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare),
+        ]
+        return pa.StructArray.from_arrays(columns, _SCORED)
 
 
 def _slices(batch: pa.Array) -> Iterator[list[str | None]]:
@@ -500,7 +490,7 @@ def _scored(text: Column, words, weights) -> Column:
         scorer = Scorer(words.value, weights.value)
         for batch in batches:
             for texts in _slices(batch):
-                yield pa.array(scorer.texts(texts), _SCORED)
+                yield scorer.texts(texts)
 
     @F.arrow_udf(SCORED)
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -525,11 +515,11 @@ def score(docs: DataFrame, key: str, text: str, held: Column) -> DataFrame:
             _scored(F.col("__llm_text"), shared_words, shared).alias("s"),
         )
     )
-    rare = first.select("__llm_row", F.explode("s.rare").alias("r")).select("__llm_row", "r.token", "r.n")
+    rare = first.select("__llm_row", F.explode("s.rare").alias("token"))
     # counts that were broadcast are used already; a rare token is never among them
     joined = rare.join(counts, "token")
     extra = joined.groupBy("__llm_row").agg(
-        F.sum(F.col("n") * F.log(F.col("c") + 1.0)).alias("logs"), F.sum("n").alias("known")
+        F.sum(F.log(F.col("c") + 1.0)).alias("logs"), F.count(F.lit(1)).alias("known")
     )
     logs = F.coalesce(F.col("logs"), F.lit(0.0))
     ten = float(np.log(10))
