@@ -29,5 +29,7 @@ TAG_SEPARATOR = " | "
 TRAIN_ROWS_PER_TASK = 2_000
 #: Numbers in a linear model that is broadcast, 32 MB, a term counting as four; a larger one is joined.
 BROADCAST_CELLS = 4 << 20
+#: Buckets of a table of corrections. A table keeps the number it was made with.
+REVIEW_BUCKETS = 64
 #: Ordered-prefix counts split the key space into this many ranges.
 RANK_BUCKETS = 65536

@@ -32,6 +32,42 @@ def clean_quotations(rows: DataFrame, columns: tuple[str, ...] = ("quotation", "
     return rows
 
 
+def _written(order: dict[str, Column]) -> Column:
+    return F.struct(*[value.alias(name) for name, value in order.items() if name != "seq"]).alias("written")
+
+
+def _originals(quotations: DataFrame) -> DataFrame:
+    return quotations.select(
+        F.concat(F.lit("o"), F.col("ref_pos").cast("string")).alias("row_id"),
+        F.lit(0).alias("source"),
+        _written(_empty()),
+        F.col("ref_pos").cast("bigint").alias("seq"),
+        "quotation",
+        "codes",
+    )
+
+
+def _corrections(reviews: DataFrame) -> DataFrame:
+    order = {
+        name: F.coalesce(F.col(name).cast(_TYPES[name]), value) if name in reviews.columns else value
+        for name, value in _empty().items()
+    }
+    number = F.col("seq").cast("string") if "seq" in reviews.columns else F.lit(None).cast("string")
+    unnumbered = F.hex(F.xxhash64("quotation", "codes", _written(order)))
+    return reviews.select(
+        F.concat(F.lit("r"), F.coalesce(number, unnumbered)).alias("row_id"),
+        F.lit(1).alias("source"),
+        _written(order),
+        order["seq"].alias("seq"),
+        "quotation",
+        "codes",
+    )
+
+
+def usable_reviews(reviews: DataFrame | None) -> bool:
+    return reviews is not None and {"quotation", "codes"} <= set(reviews.columns)
+
+
 def training_base(quotations: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
     """(row_id, quotation, codes): annotations with corrections on top.
 
@@ -41,38 +77,29 @@ def training_base(quotations: DataFrame, reviews: DataFrame | None = None) -> Da
     without quotation or codes is ignored, and then repeated quotations stay. Reviews that
     nothing orders are told apart by their codes, so the choice is repeatable.
     """
-    empty = _empty()
-    unordered = F.struct(*[value.alias(name) for name, value in empty.items() if name != "seq"])
-    originals = quotations.select(
-        F.concat(F.lit("o"), F.col("ref_pos").cast("string")).alias("row_id"),
-        F.lit(0).alias("source"),
-        unordered.alias("written"),
-        F.col("ref_pos").cast("bigint").alias("seq"),
-        "quotation",
-        "codes",
-    )
-    if reviews is None or not {"quotation", "codes"} <= set(reviews.columns):
-        merged = originals
-    else:
-        order = {
-            name: F.coalesce(F.col(name).cast(_TYPES[name]), value) if name in reviews.columns else value
-            for name, value in empty.items()
-        }
-        written = F.struct(*[value.alias(name) for name, value in order.items() if name != "seq"])
-        number = F.col("seq").cast("string") if "seq" in reviews.columns else F.lit(None).cast("string")
-        unnumbered = F.hex(F.xxhash64("quotation", "codes", written))
-        corrections = reviews.select(
-            F.concat(F.lit("r"), F.coalesce(number, unnumbered)).alias("row_id"),
-            F.lit(1).alias("source"),
-            written.alias("written"),
-            order["seq"].alias("seq"),
-            "quotation",
-            "codes",
-        )
-        merged = latest_by_quotation(originals.unionByName(corrections), ("source", "written", "seq"))
+    merged = _originals(quotations)
+    if usable_reviews(reviews):
+        merged = latest_by_quotation(merged.unionByName(_corrections(reviews)), ("source", "written", "seq"))
     return clean_quotations(merged).select("row_id", "quotation", "codes")
 
 
+def training_base_in_place(quotations: DataFrame, reviews: DataFrame) -> DataFrame:
+    """``training_base`` for reviews that lie by quotation, as a bucketed table does.
+
+    The latest review of each quotation is found where it lies, and the annotations come to it, so the reviews,
+    which grow with every round, are never exchanged.
+    """
+
+    def last(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("quotation").agg(F.max(F.struct("written", "seq", "row_id", "codes")).alias(name))
+
+    # a missing quotation joins nothing and is dropped at the end, as is an empty one
+    both = last(_originals(quotations), "o").join(last(_corrections(reviews), "r"), "quotation", "full_outer")
+    chosen = F.coalesce("r", "o")
+    merged = both.select(chosen["row_id"].alias("row_id"), "quotation", chosen["codes"].alias("codes"))
+    return clean_quotations(merged)
+
+
 def latest_by_quotation(rows: DataFrame, order: tuple[str, ...] = ("source", "seq")) -> DataFrame:
     """One row per quotation, the last by ``order``.
 

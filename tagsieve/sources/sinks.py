@@ -51,6 +51,42 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame | None:
     return tables.as_reviews(spark.read.option("mergeSchema", True).parquet(path))
 
 
+#: The columns of a table of corrections.
+_REVIEW_TYPES = {
+    "quotation": "string", "codes": "string", "data_revisao": "string", "seq": "bigint", "gravado_em": "bigint", "linha": "bigint",
+}
+
+
+def _bucketed(rows: DataFrame, table: str, path: str, buckets: int, mode: str) -> None:
+    """Rows lie by a hash of their quotation; each writer gives a bucket one file."""
+    columns = [
+        (F.col(name) if name in rows.columns else F.lit(None)).cast(kind).alias(name) for name, kind in _REVIEW_TYPES.items()
+    ]
+    dealt = rows.select(*columns).repartition(buckets, "quotation")
+    writer = dealt.write.format("parquet").bucketBy(buckets, "quotation").sortBy("quotation").mode(mode)
+    writer.option("path", path).saveAsTable(table)
+
+
+def append_to_review_table(new: DataFrame, table: str, path: str, buckets: int = config.REVIEW_BUCKETS) -> None:
+    """Append corrections to a table bucketed by quotation, which is made where it is missing. Only the
+    new rows move; ``labels.training_base_in_place`` reads the table without moving any, as long as it has
+    at least as many buckets as the session has shuffle partitions (Spark deals fewer out again)."""
+    stamped = new.withColumn("gravado_em", F.unix_micros(F.current_timestamp()))
+    _bucketed(stamped.withColumn("linha", F.monotonically_increasing_id()), table, path, buckets, "append")
+
+
+def compact_review_table(
+    spark: SparkSession, table: str, compacted: str, path: str, buckets: int = config.REVIEW_BUCKETS
+) -> None:
+    """A new table with only the latest row of each quotation, bucketed alike. Nothing moves to find it. The
+    caller turns to the new table and drops the old one when no reader is left."""
+    rows = spark.table(table)
+    empty = {"data_revisao": F.lit(""), "gravado_em": F.lit(-1), "linha": F.lit(-1), "seq": F.lit(-1)}
+    order = [F.coalesce(F.col(name), value).alias(name) for name, value in empty.items()]
+    last = rows.groupBy("quotation").agg(F.max(F.struct(F.struct(*order).alias("order"), F.struct("*").alias("row"))).alias("last"))
+    _bucketed(last.select("last.row.*"), compacted, path, buckets, "errorifexists")
+
+
 def write_review_version(current: DataFrame | None, pairs: DataFrame, path: str) -> int:
     """A new version of the corrections at ``path``, an empty place: ``current`` with the new pairs
     (seq, trecho, tags) on top. Returns the number of pairs saved; repeats count."""

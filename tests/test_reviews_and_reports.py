@@ -1,7 +1,9 @@
 from __future__ import annotations
 
-from tagsieve.operators import reports, reviews
-from tagsieve.sources import tables
+from pyspark.sql import functions as F
+
+from tagsieve.operators import labels, reports, reviews
+from tagsieve.sources import sinks, tables
 
 RESULT = (
     "doc_id int, arquivo string, trecho_id int, trecho string, similaridade double,"
@@ -119,3 +121,54 @@ def test_upsert(spark):
     got = {r["quotation"]: r["codes"] for r in reviews.upsert_reviews(stored, pairs).collect()}
     assert got == {"t": "y | z", "k": "kept"}
     assert reviews.upsert_reviews(None, pairs).count() == 1
+
+
+def executed(frame) -> str:
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_stored_corrections_are_merged_where_they_lie(spark, tmp_path):
+    quotations = spark.createDataFrame(
+        [(i, f"q{i % 30}", f"old {i}") for i in range(40)] + [(90, None, "x"), (91, "", "x"), (92, "nan", "x")],
+        "ref_pos bigint, quotation string, codes string",
+    )
+    first = spark.createDataFrame([(f"q{i}", f"first {i}", i) for i in range(0, 50, 3)], "quotation string, codes string, seq bigint")
+    second = spark.createDataFrame([(f"q{i}", f"second {i}") for i in range(0, 50, 6)], "quotation string, codes string")
+    sinks.append_to_review_table(first, "kept_reviews", f"{tmp_path}/a", 8)
+    sinks.append_to_review_table(second, "kept_reviews", f"{tmp_path}/a", 8)
+    stored = spark.table("kept_reviews")
+    expected = {f"q{i % 30}": f"old {i}" for i in range(40)}
+    expected |= {f"q{i}": f"first {i}" for i in range(0, 50, 3)} | {f"q{i}": f"second {i}" for i in range(0, 50, 6)}
+    for table in ("kept_reviews", "compacted_reviews"):
+        if table == "compacted_reviews":
+            sinks.compact_review_table(spark, "kept_reviews", table, f"{tmp_path}/b", 8)
+            assert spark.table(table).count() == stored.select("quotation").distinct().count() < stored.count()
+        base = labels.training_base_in_place(quotations, spark.table(table))
+        found = {r["quotation"]: r["codes"] for r in base.collect()}
+        plain = labels.training_base(quotations, spark.table(table))
+        assert found == expected == {r["quotation"]: r["codes"] for r in plain.collect()}
+        assert base.count() == len(expected)
+    # the annotations move, the stored corrections do not
+    plan = spark.table("kept_reviews").groupBy("quotation").count()
+    assert "Exchange" not in executed(plan)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = executed(labels.training_base_in_place(quotations, spark.table("kept_reviews")))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert merged.count("Exchange hashpartitioning") == 1
+    for table in ("kept_reviews", "compacted_reviews"):
+        spark.sql(f"drop table {table}")
+
+
+def test_compacting_keeps_what_is_written_later(spark, tmp_path):
+    rows = spark.createDataFrame([("q", "one"), ("p", "only")], "quotation string, codes string")
+    sinks.append_to_review_table(rows, "early_reviews", f"{tmp_path}/a", 2)
+    sinks.compact_review_table(spark, "early_reviews", "late_reviews", f"{tmp_path}/b", 2)
+    sinks.append_to_review_table(rows.limit(1).withColumn("codes", F.lit("two")), "late_reviews", f"{tmp_path}/b", 2)
+    nothing = spark.createDataFrame([], "ref_pos bigint, quotation string, codes string")
+    base = labels.training_base_in_place(nothing, spark.table("late_reviews")).collect()
+    assert {r["quotation"]: r["codes"] for r in base} == {"q": "two", "p": "only"}
+    for table in ("early_reviews", "late_reviews"):
+        spark.sql(f"drop table {table}")

@@ -376,17 +376,21 @@ def upsert_reviews(spark, sf_dir):
 
 
 def review_loop(spark, sf_dir):
-    """Corrections accepted twice, appended to a stored table that only has numbers, read back and
-    put on top of the annotations."""
-    path = f"{fresh_folder(spark)}/reviews"
-    inputs.reviews(spark, sf_dir).write.parquet(path)
+    """Corrections accepted twice, appended to a stored table that only has numbers, compacted in between, read
+    back where they lie and put on top of the annotations."""
+    folder = fresh_folder(spark)
+    name = f"reviews_{folder.rsplit('-', 1)[1]}"
+    sinks.append_to_review_table(inputs.reviews(spark, sf_dir), name, f"{folder}/reviews", 8)
     edited = _edited(spark, sf_dir)
-    sinks.write_reviews(review_ops.accepted_corrections(edited, REVIEWED_AT), path)
+    sinks.append_to_review_table(review_ops.accepted_corrections(edited, REVIEWED_AT), name, f"{folder}/reviews", 8)
+    sinks.compact_review_table(spark, name, f"{name}_c", f"{folder}/compacted", 8)
     again = edited.filter(F.array_contains("tags_corrigidas", "en")).withColumn(
         "tags_corrigidas", F.concat("tags_corrigidas", F.array(F.lit("again")))
     )
-    sinks.write_reviews(review_ops.accepted_corrections(again, REVIEWED_AT), path)
-    base = labels.training_base(inputs.annotated(spark, sf_dir), sinks.read_reviews(spark, path))
+    sinks.append_to_review_table(
+        review_ops.accepted_corrections(again, REVIEWED_AT), f"{name}_c", f"{folder}/compacted", 8
+    )
+    base = labels.training_base_in_place(inputs.annotated(spark, sf_dir), spark.table(f"{name}_c"))
     return base.select("quotation", "codes")
 
 
