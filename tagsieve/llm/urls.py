@@ -1,12 +1,13 @@
 """URL filtering against a list of canonical URL prefixes.
 
 A listed rule is a host and a path. It fits its host and all subdomains of it, for paths
-that begin with its path. A URL is looked up under every (host suffix, path prefix) whose
-shape, that is the number of labels and the length of the path, occurs in the list.
+that begin with its path. A URL is looked up by host first: under each suffix of its host whose number of
+labels occurs in the list. Only suffixes that are listed hosts go on, each with the path lengths listed for
+that host, so a URL meets the lengths of its own hosts and not those of the whole list.
 
-A blocked Bloom filter over the listed canonical entries passes possible hits: an entry's
+Blocked Bloom filters over the listed hosts and over the listed canonical entries pass possible hits: an entry's
 hash names one block of 256 bits, and eight bits of a second hash must all be set there.
-The filter is a table of at most ``MAX_BLOCKS`` blocks, which bounds what is broadcast; a
+A filter is a table of at most ``MAX_BLOCKS`` blocks, which bounds what is broadcast; a
 larger list makes it less selective, never wrong. Possible hits go to an exact hash join
 with the list, which removes false positives. The longest rule wins: by the length of host
 and path together, then by the longer host.
@@ -98,16 +99,28 @@ def possible(candidates: DataFrame, entry: str, blooms: DataFrame, blocks: int)
     return marked.join(F.broadcast(blooms), fits, "left_semi").select(*candidates.columns)
 
 
-def _candidates(urls: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
-    """(host, path, entry) under every listed shape; urls: host, path."""
-    listed = ", ".join(f"named_struct('labels', {a}, 'chars', {b})" for a, b in shapes)
-    labels = F.split(F.col("host"), r"\.", -1)
-    shaped = urls.withColumn("__llm_labels", labels).withColumn("__llm_shape", F.explode(F.expr(f"array({listed})")))
-    n, chars = F.col("__llm_shape")["labels"], F.col("__llm_shape")["chars"]
-    fits = (F.size("__llm_labels") >= n) & (F.length("path") >= chars)
+def _blocks(entries: int) -> int:
+    return min(MAX_BLOCKS, max(1, -(-entries * BITS_PER_ENTRY // BLOCK_BITS)))
+
+
+def _suffixes(urls: DataFrame, labels: list[int]) -> DataFrame:
+    """(host, path, suffix): the ends of each host with these numbers of labels; urls: host, path."""
+    parts = F.split(F.col("host"), r"\.", -1)
+    each = urls.filter(F.col("host") != "").withColumn("__llm_labels", parts)
+    each = each.withColumn("__llm_n", F.explode(F.expr(f"array({', '.join(map(str, labels))})")))
+    n = F.col("__llm_n")
     suffix = F.array_join(F.slice("__llm_labels", -n, n), ".")
-    prefix = F.substr(F.col("path"), F.lit(1), chars)
-    return shaped.filter(fits & (F.col("host") != "")).select("host", "path", _entry(suffix, prefix).alias("entry"))
+    return each.filter(F.size("__llm_labels") >= n).select("host", "path", suffix.alias("suffix"))
+
+
+def _candidates(urls: DataFrame, hosts: DataFrame, labels: list[int], blocks: int) -> DataFrame:
+    """(host, path, entry) under every listed host and each path length listed for it. hosts: listed, lengths."""
+    known = possible(_suffixes(urls, labels), "suffix", bloom_filter(hosts, "listed", blocks), blocks)
+    met = known.join(hosts, F.col("suffix") == F.col("listed"))
+    fitting = F.filter("lengths", lambda chars: chars <= F.length("path"))
+    each = met.select("host", "path", "suffix", F.explode(fitting).alias("chars"))
+    prefix = F.substr(F.col("path"), F.lit(1), F.col("chars"))
+    return each.select("host", "path", _entry(F.col("suffix"), prefix).alias("entry"))
 
 
 def verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -118,15 +131,14 @@ def verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
         _entry(F.col("host"), F.col("path")).alias("entry"),
         F.col("verdict"),
         F.length(F.col("host")).alias("host_chars"),
-        F.size(F.split(F.col("host"), r"\.", -1)).alias("labels"),
-        F.length("path").alias("path_chars"),
     )
-    shapes = [(r.labels, r.path_chars) for r in listed.select("labels", "path_chars").distinct().collect()]
-    if not shapes:
+    hosts = rules.groupBy(F.col("host").alias("listed")).agg(F.collect_set(F.length("path")).alias("lengths"))
+    # host names have at most 127 labels
+    labels = [r.n for r in hosts.select(F.size(F.split("listed", r"\.", -1)).alias("n")).distinct().collect()]
+    if not labels:
         return urls.limit(0).select("host", "path", F.lit("").alias("rule"), F.lit("").alias("verdict"))
-    n = listed.count()
-    blocks = min(MAX_BLOCKS, max(1, -(-n * BITS_PER_ENTRY // BLOCK_BITS)))
-    candidates = _candidates(urls.select("host", "path").distinct(), sorted(shapes))
+    blocks = _blocks(listed.count())
+    candidates = _candidates(urls.select("host", "path").distinct(), hosts, sorted(labels), _blocks(hosts.count()))
     passed = possible(candidates, "entry", bloom_filter(listed, "entry", blocks), blocks)
     hits = passed.join(listed.hint("shuffle_hash"), "entry")
     best = F.max(F.struct(F.length("entry"), "host_chars", "entry", "verdict"))

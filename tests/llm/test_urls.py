@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tagsieve.llm import urls
 
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -48,6 +50,18 @@ def test_many_listed_urls(spark):
     assert judged(spark, found, rules) == {i: plain(u, rules) for i, u in enumerate(found)}
 
 
+def test_a_list_of_two_thousand_lengths(spark):
+    """A URL meets the lengths of its own hosts only."""
+    rules = [(f"long{i % 5}.org/{'x' * i}", "block") for i in range(2000)] + [("com/a", "block"), ("net/", "allow")]
+    found = [f"http://a.long{i % 6}.org/{'x' * (i * 37 % 2100)}" for i in range(60)]
+    found += [f"http://h{i}.com/{'a' * (i % 3)}{i}" for i in range(100)] + ["http://other.net/" + "y" * 3000]
+    assert judged(spark, found, rules) == {i: plain(u, rules) for i, u in enumerate(found)}
+    cut = spark.createDataFrame([(f"h{i}.com", "/" + "a" * 2500) for i in range(100)], "host string, path string")
+    listed = spark.createDataFrame(rules, "rule string, verdict string")
+    hosts = urls.rules_of(listed).groupBy(F.col("host").alias("listed")).agg(F.collect_set(F.length("path")).alias("lengths"))
+    assert urls._candidates(cut, hosts, [1, 2], 4).count() == 100
+
+
 def test_the_filter_has_no_false_negatives_and_few_false_positives(spark):
     listed = spark.range(2000).selectExpr("concat('k', id) as entry")
     other = spark.range(20_000).selectExpr("concat('o', id) as entry")
