@@ -27,15 +27,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Removed when the process ends.
+_local_folders: list[tempfile.TemporaryDirectory] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path below the folder named in spark.checkpoint.dir. Where none is named, one
-    process that is driver and executor at once takes a temporary folder; a cluster must
+    process that is driver and executor at once takes a temporary folder, which goes with it; a cluster must
     name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tagsieve-")
+        if not _local_folders:
+            _local_folders.append(tempfile.TemporaryDirectory(prefix="tagsieve-"))
+        folder = _local_folders[0].name
     return f"{folder.rstrip('/')}/tagsieve-llm-{uuid.uuid4().hex}"
 
 

@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagsieve.llm.common import stored
+
 #: Rows that a numbering task handles at a time, about.
 BUCKET_ROWS = 1_000
 #: Copies of one row that one output list may hold.
@@ -156,5 +158,6 @@ def assign(df: DataFrame, key: str, text: str, shards: tuple[Shard, ...]) -> Dat
     rows = measured(df.select(F.col(key), F.col(text).alias("__llm_text")), "__llm_text").drop("__llm_text")
     rows = shard_of(rows, key, shards, "shard")
     rows = shard_of(rows, key, grow(shards), "grown_shard")
-    numbered = slots(rows, "shard", len(shards))
+    # narrow rows, stored once for the three steps that number them
+    numbered = slots(stored(rows), "shard", len(shards))
     return numbered.withColumn("law", F.lit("key"))

@@ -1,6 +1,10 @@
+import math
+import struct
 import zlib
 from collections import Counter
 
+import xxhash
+
 from tests.llm.helpers import ODD_TEXTS
 from tagsieve.llm import shards
 
@@ -32,6 +36,33 @@ def test_movement_stays_within_changed_subtrees(spark):
             assert (old.region, old.rack) != ("region0", "rack1") or new.number == 5
 
 
+def descended(key, tree):
+    """The shard of a key, drawn level by level."""
+
+    def draw(name, weight):
+        first = xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42)
+        bits = xxhash.xxh64_intdigest(name.encode(), seed=first) >> 11
+        return -math.log((bits + 0.5) / 2**53) / weight
+
+    def lightest(groups):
+        return min(groups, key=lambda name: draw(name, sum(s.weight for s in groups[name])))
+
+    held = list(tree)
+    for name_of in (lambda s: s.region, lambda s: f"{s.region}/{s.rack}", lambda s: f"shard{s.number}"):
+        groups = {}
+        for s in held:
+            groups.setdefault(name_of(s), []).append(s)
+        held = groups[lightest(groups)]
+    return held[0].number
+
+
+def test_places_equal_draws_made_one_by_one(spark):
+    uneven = tuple(shards.Shard(i, f"r{i % 3}", f"k{i % 2}", 0.5 + i) for i in range(11))
+    for tree in (shards.layout(24), shards.grow(shards.layout(24)), uneven):
+        found = placed(spark, tree, 1500)
+        assert found == {key: descended(key, tree) for key in range(1500)}
+
+
 def test_weights_are_followed(spark):
     tree = tuple(shards.Shard(i, f"r{i % 2}", "k", float(w)) for i, w in enumerate([1, 2, 3, 4, 0]))
     counts = Counter(placed(spark, tree, 20_000).values())
