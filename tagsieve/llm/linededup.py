@@ -167,7 +167,8 @@ def line_counts(docs: DataFrame, key: str, text: str, min_chars: int = MIN_CHARS
     """(a, b, n, last): for each key's hash the number of documents that hold it and the largest id."""
     doc = F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID))
     held = F.array_distinct(F.filter(key_hashes(F.col(text), min_chars), lambda h: h.isNotNull()))
-    rows = docs.select(doc.alias("doc"), F.explode(held).alias("h")).select("doc", "h.a", "h.b")
+    # an outer explode: for an inner one the optimizer hashes every line a second time
+    rows = docs.select(doc.alias("doc"), F.explode_outer(held).alias("h")).filter("h is not null").select("doc", "h.a", "h.b")
     once = rows.groupBy("a", "b", "doc").agg(F.lit(1).alias("one"))
     return once.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("last"))
 

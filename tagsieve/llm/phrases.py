@@ -69,7 +69,9 @@ _GAPS = r"[\x20\x09]+"
 def pieces(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, words): the word list of every piece."""
     parts = F.split(lower_ascii(F.coalesce(F.col(text), F.lit(""))), PIECE_ENDS, -1)
-    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.explode(parts).alias("piece"))
+    # outer explodes: for inner ones the optimizer makes each list a second time, to see that it is not empty
+    named = F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang")
+    rows = docs.select(named, F.explode_outer(parts).alias("piece"))
     return rows.select("lang", F.filter(F.split("piece", _GAPS, -1), lambda w: w != "").alias("words"))
 
 
@@ -211,7 +213,7 @@ def grams(rows: DataFrame, n: int, lengths: Column | None = None) -> DataFrame:
     runs = F.transform(
         "words", lambda w, i: F.array_join(F.slice("words", i + 1, F.get("lengths", i) if size is None else size), " ")
     )
-    each = sized.select("lang", F.explode(runs).alias("phrase"))
+    each = sized.select("lang", F.explode_outer(runs).alias("phrase")).filter("phrase is not null")
     return each.groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("f"))
 
 
