@@ -5,64 +5,99 @@ tags. The library's own classifier handles one tag per fit and works on features
 scaled to unit variance; with thousands of rare terms under an unscaled penalty it
 needed over a thousand passes per tag. Unscaled, some tens of passes do for all.
 
-Tasks reduce their rows to one (terms x tags) gradient; the driver holds only
-model-sized arrays.
+Rows are packed once into blocks of flat arrays, which every pass reads as they lie.
+Tags search on their own: in each pass every tag tries its own next point, so no tag
+waits for the step lengths of others. Tasks, one for a core, reduce their blocks to one
+(tags x terms) gradient; the driver holds only model-sized arrays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Partial gradients are added up in a tree with this many branches at each node; its root is the driver.
 _FAN = 32
 
+#: Rows of a block; what a task works on beside the model is a few times its terms.
+_BLOCK_ROWS = 256
 
-def _partial_gradients(model, n_rows: int, pos: np.ndarray, slice_rows: int = 256):
-    """Function over batches of (indices, values, labels) giving one summed row per task,
-    for the tags that the model names.
+_BLOCK = "sizes binary, terms binary, weights binary, n_labels binary, labels binary"
+
+
+def _packer(block_rows: int):
+    """Function over batches of (indices, values, labels) giving their flat arrays, block by block.
 
     Nested, so that it travels to the workers without this package.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def flat(column, kind):
+            return column.flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes()
+
+        def sizes(column):
+            return pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, block_rows):
+                terms, weights, found = batch.slice(start, block_rows).columns
+                arrays = [sizes(terms), flat(terms, np.int32), flat(weights, float), sizes(found), flat(found, np.int32)]
+                names = ["sizes", "terms", "weights", "n_labels", "labels"]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in arrays], names)
+
+    return run
+
+
+def _partial_gradients(model, n_rows: int, pos: np.ndarray):
+    """Function over batches of packed blocks giving one summed row per task, for the tags that
+    the model names: (tags x (loss, gradient of the intercept, gradient of each term)).
+
+    Nested, so that it travels to the workers without this package.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
 
         coefs, bias, live = model.value
+        n_terms = coefs.shape[1]
         weight_pos, weight_neg = 0.5 / np.maximum(pos[live], 1), 0.5 / np.maximum(n_rows - pos[live], 1)
-        loss, grad, grad_bias = np.zeros(len(live)), np.zeros_like(coefs), np.zeros(len(live))
+        place = np.full(len(pos), -1)
+        place[live] = np.arange(len(live))
+        sums = np.zeros((len(live), n_terms + 2))
+        kinds = (np.int64, np.int32, float, np.int64, np.int32)
         for batch in batches:
-            for start in range(0, len(batch), slice_rows):
-                part = batch.iloc[start : start + slice_rows]
-                sizes = part["indices"].map(len).to_numpy()
-                filled = np.flatnonzero(sizes)
-                row = np.repeat(np.arange(len(part)), sizes)
-                label_sizes = part["labels"].map(len).to_numpy()
-                truth = np.zeros((len(part), len(pos)), dtype=bool)
-                if label_sizes.sum():
-                    truth[np.repeat(np.arange(len(part)), label_sizes), np.concatenate(part["labels"].to_list())] = True
-                truth = truth[:, live]
-                margin = np.tile(bias, (len(part), 1))
-                if len(row):
-                    term = np.concatenate(part["indices"].to_list())
-                    value = np.concatenate(part["values"].to_list())[:, None]
-                    ends = np.cumsum(sizes)[filled]
-                    margin[filled] += np.add.reduceat(value * coefs[term], ends - sizes[filled])
-                weight = np.where(truth, weight_pos, weight_neg)
-                loss += (weight * np.logaddexp(0.0, np.where(truth, -margin, margin))).sum(axis=0)
-                error = weight * (0.5 * (1.0 + np.tanh(0.5 * margin)) - truth)
-                grad_bias += error.sum(axis=0)
-                if len(row):
-                    order = np.argsort(term, kind="stable")
-                    found, first = np.unique(term[order], return_index=True)
-                    grad[found] += np.add.reduceat(value[order] * error[row[order]], first)
-        sums = np.vstack([loss[None, :], grad_bias[None, :], grad])
-        yield pd.DataFrame({"sums": [sums.tobytes()]})
+            for k in range(batch.num_rows):
+                block = [np.frombuffer(column[k].as_buffer(), kind) for column, kind in zip(batch.columns, kinds)]
+                sizes, terms, values, n_labels, labels = block
+                terms, filled = terms.astype(np.intp), np.flatnonzero(sizes)
+                row, starts = np.repeat(np.arange(len(sizes)), sizes), (np.cumsum(sizes) - sizes)[filled]
+                truth = np.zeros((len(live) + 1, len(sizes)), dtype=bool)  # tags that are not live are in the last row
+                truth[place[labels], np.repeat(np.arange(len(sizes)), n_labels)] = True
+                part = np.empty(len(terms))
+                for j in range(len(live)):
+                    margin = np.full(len(sizes), bias[j])
+                    if len(terms):
+                        np.multiply(np.take(coefs[j], terms, out=part, mode="clip"), values, out=part)
+                        margin[filled] += np.add.reduceat(part, starts)
+                    weight = np.where(truth[j], weight_pos[j], weight_neg[j])
+                    sums[j, 0] += (weight * np.logaddexp(0.0, np.where(truth[j], -margin, margin))).sum()
+                    error = weight * (0.5 * (1.0 + np.tanh(0.5 * margin)) - truth[j])
+                    sums[j, 1] += error.sum()
+                    if len(terms):
+                        np.multiply(np.take(error, row, out=part, mode="clip"), values, out=part)
+                        sums[j, 2:] += np.bincount(terms, weights=part, minlength=n_terms)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
 
     return run
 
@@ -72,74 +107,95 @@ def _add_up(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slot": [int(group["slot"].iloc[0])], "sums": [total.tobytes()]})
 
 
-def _evaluate(rows: DataFrame, n_rows: int, pos: np.ndarray, penalty: float):
-    """Loss and gradient of some tags, one per column of a point; intercepts are row 0."""
-    context = rows.sparkSession.sparkContext
-    tasks = rows.rdd.getNumPartitions()
+def _evaluate(blocks: DataFrame, n_rows: int, pos: np.ndarray, penalty: float):
+    """Loss and gradient of some tags, one per row of a point; intercepts are column 0."""
+    context = blocks.sparkSession.sparkContext
+    tasks = min(blocks.rdd.getNumPartitions(), context.defaultParallelism)
 
     def at(point: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        model = context.broadcast((point[1:], point[0], live))
-        partial = rows.mapInPandas(_partial_gradients(model, n_rows, pos), "sums binary")
+        model = context.broadcast((np.ascontiguousarray(point[:, 1:]), point[:, 0], live))
+        partial = blocks.coalesce(tasks).mapInArrow(_partial_gradients(model, n_rows, pos), "sums binary")
         partial, parts = partial.withColumn("slot", F.spark_partition_id()), tasks
         while parts > _FAN:
             nodes = partial.withColumn("slot", F.expr(f"slot div {_FAN}").cast("int")).groupBy("slot")
             partial, parts = nodes.applyInPandas(_add_up, "slot int, sums binary"), -(-parts // _FAN)
-        total = sum(np.frombuffer(row["sums"]) for row in partial.collect()).reshape(-1, point.shape[1])
+        total = sum(np.frombuffer(row["sums"]) for row in partial.collect()).reshape(len(live), -1)
         model.destroy()
-        loss, grad = total[0].copy(), total[1:].copy()
-        loss += 0.5 * penalty * (point[1:] ** 2).sum(axis=0)
-        grad[1:] += penalty * point[1:]
+        loss, grad = total[:, 0].copy(), total[:, 1:].copy()
+        loss += 0.5 * penalty * (point[:, 1:] ** 2).sum(axis=1)
+        grad[:, 1:] += penalty * point[:, 1:]
         return loss, grad
 
     return at
 
 
+@dataclass
+class _Search:
+    """Limited-memory quasi-Newton steps of one tag, which halve until the loss falls enough."""
+
+    trial: np.ndarray
+    point: np.ndarray | None = None
+    loss: float = 0.0
+    grad: np.ndarray | None = None
+    direction: np.ndarray | None = None
+    slope: float = 0.0
+    length: float = 1.0
+    halved: int = 0
+    steps: int = 0
+    pairs: list[tuple[np.ndarray, np.ndarray, float]] = field(default_factory=list)
+
+    def take(self, loss: float, grad: np.ndarray, max_iter: int, tolerance: float, memory: int) -> bool:
+        """Take in what the trial point gave and choose the next one; False where the search ends at ``point``."""
+        if self.point is not None:
+            if self.halved < 30 and loss > self.loss + 1e-4 * self.length * self.slope + 1e-12:
+                self.halved, self.length = self.halved + 1, 0.5 * self.length
+                self.trial = self.point + self.length * self.direction
+                return True
+            step, change = self.trial - self.point, grad - self.grad
+            product = step @ change
+            self.pairs = [*self.pairs[1 - memory :], (step, change, 1.0 / product if product > 1e-14 else 0.0)]
+            self.steps += 1
+        self.point, self.loss, self.grad = self.trial, loss, grad
+        if self.steps >= max_iter or np.abs(grad).max() <= tolerance:
+            return False
+        self.direction = self._towards()
+        self.slope, self.length, self.halved = grad @ self.direction, 1.0, 0
+        self.trial = self.point + self.direction
+        return True
+
+    def _towards(self) -> np.ndarray:
+        direction, scales = -self.grad, []
+        for step, change, inverse in reversed(self.pairs):
+            scale = inverse * (step @ direction)
+            direction = direction - scale * change
+            scales.append(scale)
+        if self.pairs:
+            _, change, inverse = self.pairs[-1]
+            curvature = (change @ change) * inverse
+            direction = direction / (curvature if curvature > 0 else 1.0)
+        for (step, change, inverse), scale in zip(self.pairs, reversed(scales)):
+            direction = direction + (scale - inverse * (change @ direction)) * step
+        return direction
+
+
 def _minimise(
     at: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]],
-    point: np.ndarray,
+    start: np.ndarray,
+    tags: np.ndarray,
     max_iter: int,
     tolerance: float,
     memory: int = 10,
 ) -> np.ndarray:
-    """Limited-memory quasi-Newton steps for independent columns, each with its own
-    step length. A column whose gradient is small enough takes no further part."""
-    solution, live = point.copy(), np.arange(point.shape[1])
-    loss, grad = at(point, live)
-    pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for _ in range(max_iter):
-        keep = np.abs(grad).max(axis=0) > tolerance
-        solution[:, live] = point
-        point, loss, grad, live = point[:, keep], loss[keep], grad[:, keep], live[keep]
-        pairs = [(step[:, keep], change[:, keep], inverse[keep]) for step, change, inverse in pairs]
-        if not live.size:
-            break
-        direction, scales = -grad, []
-        for step, change, inverse in reversed(pairs):
-            scale = inverse * (step * direction).sum(axis=0)
-            direction = direction - scale * change
-            scales.append(scale)
-        if pairs:
-            step, change, inverse = pairs[-1]
-            curvature = (change * change).sum(axis=0) * inverse
-            direction = direction / np.where(curvature > 0, curvature, 1.0)
-        for (step, change, inverse), scale in zip(pairs, reversed(scales)):
-            direction = direction + (scale - inverse * (change * direction).sum(axis=0)) * step
-        slope = (grad * direction).sum(axis=0)
-        length, trial = np.ones(len(live)), point + direction
-        trial_loss, trial_grad = at(trial, live)
-        for _ in range(30):
-            long = np.flatnonzero(trial_loss > loss + 1e-4 * length * slope + 1e-12)
-            if not long.size:
-                break
-            length[long] *= 0.5
-            trial[:, long] = point[:, long] + length[long] * direction[:, long]
-            trial_loss[long], trial_grad[:, long] = at(trial[:, long], live[long])
-        step, change = trial - point, trial_grad - grad
-        product = (step * change).sum(axis=0)
-        inverse = np.where(product > 1e-14, 1.0 / np.where(product > 1e-14, product, 1.0), 0.0)
-        pairs = [*pairs[1 - memory :], (step, change, inverse)]
-        point, loss, grad = trial, trial_loss, trial_grad
-    solution[:, live] = point
+    """The minima of some tags, each found by a search of its own from its row of ``start``; the other rows stay. In each pass
+    every tag that still searches has its next point evaluated, be it a new step or a shorter one."""
+    searches, live = {int(i): _Search(start[i]) for i in tags}, np.asarray(tags)
+    while live.size:
+        loss, grad = at(np.stack([searches[i].trial for i in live.tolist()]), live)
+        going = [searches[i].take(loss[k], grad[k], max_iter, tolerance, memory) for k, i in enumerate(live.tolist())]
+        live = live[np.array(going)]
+    solution = start.copy()
+    for i, search in searches.items():
+        solution[i] = search.point
     return solution
 
 
@@ -153,10 +209,12 @@ def fit(
     without positive or without negative rows gets an infinite intercept.
     """
     usable = (pos > 0) & (pos < n_rows)
-    start = np.zeros((n_features + 1, len(pos)))
+    point = np.zeros((len(pos), n_features + 1))
     if usable.any():
-        point = _minimise(_evaluate(rows, n_rows, pos, 1.0 / n_rows), start, max_iter, tolerance)
-    else:
-        point = start
-    bias = np.where(usable, point[0], np.where(pos > 0, np.inf, -np.inf))
-    return np.where(usable, point[1:], 0.0), bias
+        blocks = rows.select("indices", "values", "labels").mapInArrow(_packer(_BLOCK_ROWS), _BLOCK).persist()
+        try:
+            point = _minimise(_evaluate(blocks, n_rows, pos, 1.0 / n_rows), point, np.flatnonzero(usable), max_iter, tolerance)
+        finally:
+            blocks.unpersist()
+    bias = np.where(usable, point[:, 0], np.where(pos > 0, np.inf, -np.inf))
+    return point[:, 1:].T, bias

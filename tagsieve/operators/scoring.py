@@ -87,8 +87,9 @@ def _term_filter(terms: DataFrame) -> Column:
     return F.call_function("shiftrightunsigned", word, inside).bitwiseAND(F.lit(1)) == 1
 
 
-def score_linear(rows: DataFrame, model: LinearModel, column: str = "trecho") -> DataFrame:
-    """``rows`` plus ``logits``; rows are told apart by (doc_id, trecho_id).
+def score_linear(rows: DataFrame, model: LinearModel, column: str = "trecho", norm: str | None = None) -> DataFrame:
+    """``rows`` plus ``logits``, and the lengths of their vectors where ``norm`` names a column for them; rows are told
+    apart by (doc_id, trecho_id).
 
     Terms are counted inside the row. With a small model the other columns travel on the first of
     a row's terms, so scoring is one pass: no self-join of the rows and, when
@@ -109,7 +110,8 @@ def score_linear(rows: DataFrame, model: LinearModel, column: str = "trecho") ->
         F.coalesce(F.col(f"_s{i}") / F.col("_norm"), F.lit(0.0)) + F.lit(float(bias))
         for i, bias in enumerate(model.intercepts)
     ]
-    return summed.select(*rows.columns, F.array(*logits).alias("logits"))
+    length = [F.col("_norm").alias(norm)] if norm else []
+    return summed.select(*rows.columns, F.array(*logits).alias("logits"), *length)
 
 
 def batches_of(sizes: np.ndarray, max_rows: int, max_chars: int) -> list[np.ndarray]:

@@ -176,18 +176,15 @@ def fit_linear(
     found = F.transform("tags", lambda tag: F.array_position(known, tag).cast("int") - 1)
     cores = train.sparkSession.sparkContext.defaultParallelism
     tasks = max(-(-n_rows // config.TRAIN_ROWS_PER_TASK), min(cores, -(-n_rows // 100)), 1)
+    # dealt before the words are paired: only the texts move
     rows = (
-        features.transform(with_grams(train, column).repartition(tasks))
+        features.transform(with_grams(train.select(column, "tags").repartition(tasks), column))
         .select(vector.alias("v"), F.filter(found, lambda i: i >= 0).alias("labels"))
         .select(F.col("v.indices").alias("indices"), F.col("v.values").alias("values"), "labels")
-        .persist()
     )
     vocabulary = features.stages[0].vocabulary
     pos = np.array([counts.get(tag, 0) for tag in tags], dtype=float)
-    try:
-        coefs, bias = logistic.fit(rows, len(vocabulary), n_rows, pos, max_iter, tolerance)
-    finally:
-        rows.unpersist()
+    coefs, bias = logistic.fit(rows, len(vocabulary), n_rows, pos, max_iter, tolerance)
     terms = pd.DataFrame(
         {"term": vocabulary, "idf": features.stages[1].getScalingVec().toArray(), "coefs": coefs.tolist()}
     )
@@ -243,24 +240,29 @@ def optimality(train: DataFrame, vocab: DataFrame, model: scoring.LinearModel, t
     usable = [0 < sides.get(tag, 0) < n for tag in model.tags]
     weigh_pos = F.array(*[F.lit(0.5 / sides[tag] if use else 0.0) for tag, use in zip(model.tags, usable)])
     weigh_neg = F.array(*[F.lit(0.5 / (n - sides[tag]) if use else 0.0) for tag, use in zip(model.tags, usable)])
-    texts = train.select(F.col("row_id").alias("doc_id"), F.lit(1).alias("trecho_id"), F.col("quotation").alias("trecho"), "tags")
-    scored = scoring.score_linear(texts, model)
+    texts = train.select(F.col("row_id").alias("doc_id"), F.lit(1).alias("trecho_id"), F.col("quotation").alias("trecho"))
+    scored = scoring.score_linear(texts, model, norm="norm").select("doc_id", "logits", "norm")
+    # tags come back afterwards: only numbers are summed up on the way, so postings are not sorted
+    carried = train.groupBy("row_id").agg(F.max("tags").alias("tags"))
+    both = scored.join(carried, F.col("doc_id").eqNullSafe(F.col("row_id")))
 
     def error(logit, i):
         truth = F.array_contains("tags", F.get(known, i))
         weight = F.when(truth, F.get(weigh_pos, i)).otherwise(F.get(weigh_neg, i))
         return F.when(weight > 0, weight * (scores.sigmoid(logit) - truth.cast("int"))).otherwise(0.0)
 
-    errors = stored(scored.select(F.col("doc_id").alias("row_id"), F.transform("logits", error).alias("e")))
-    # one array of errors a row: a term meets its rows once, not once for every tag
-    tf = term_counts(train, ["row_id"], "quotation", bigrams=True)
-    weighted = tf.join(model.terms.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weighted.groupBy("row_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    per_row = errors.join(norms, "row_id")
-    slopes = (
-        weighted.join(per_row, "row_id")
-        .groupBy("term")
-        .agg(*[F.sum(F.col("w") / F.col("norm") * F.get("e", F.lit(i))).alias(f"_g{i}") for i in range(len(model.tags))])
+    errors = stored(both.select("row_id", "norm", F.transform("logits", error).alias("e")))
+    per_row = errors.filter("norm is not null").select("row_id", F.transform("e", lambda e: e / F.col("norm")).alias("e"))
+    idf = model.terms.select("term", "idf")
+    if model.small:
+        # texts meet their errors before they are cut, and terms are summed up where they are cut
+        cut = term_counts(train.select("row_id", "quotation").join(per_row, "row_id"), ["e"], "quotation", bigrams=True)
+        weighted = cut.join(F.broadcast(idf), "term")
+    else:
+        # one array of errors a row: a term meets its rows once, not once for every tag
+        weighted = term_counts(train, ["row_id"], "quotation", bigrams=True).join(idf, "term").join(per_row, "row_id")
+    slopes = weighted.groupBy("term").agg(
+        *[F.sum(F.col("tf") * F.col("idf") * F.get("e", F.lit(i))).alias(f"_g{i}") for i in range(len(model.tags))]
     )
     both = model.terms.select("term", "coefs").join(slopes, "term", "left")
     gradient = [F.abs(F.coalesce(f"_g{i}", F.lit(0.0)) + F.get("coefs", F.lit(i)) / n) for i in range(len(model.tags))]

@@ -125,6 +125,35 @@ def test_partial_gradients_add_up_over_many_tasks(spark):
     assert np.allclose(results[0][0], results[1][0], atol=1e-6)
 
 
+def test_no_tag_waits_for_the_steps_of_others(spark, monkeypatch):
+    """All tags together take as many passes as the slowest of them alone, and end where each ends alone."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 4)) * np.array([12.0, 4.0, 1.0, 0.2])
+    truth = x @ rng.normal(size=(4, 3)) + rng.normal(size=(60, 3)) * 8 > np.array([0.0, 9.0, -14.0])
+    passes = []
+    evaluate = logistic._evaluate
+
+    def counting(*args):
+        at = evaluate(*args)
+        return lambda point, live: passes.append(len(live)) or at(point, live)
+
+    monkeypatch.setattr(logistic, "_evaluate", counting)
+
+    def fitted(tags):
+        labels = [[i for i, tag in enumerate(tags) if row[tag]] for row in truth]
+        rows = [([0, 1, 2, 3], [float(v) for v in values], found) for values, found in zip(x, labels)]
+        frame = spark.createDataFrame(rows, "indices array<int>, values array<double>, labels array<int>").coalesce(1)
+        passes.clear()
+        coefs, bias = logistic.fit(frame, 4, len(rows), truth[:, tags].sum(axis=0).astype(float), 100, 1e-6)
+        return coefs, bias, len(passes)
+
+    alone = [fitted([tag]) for tag in range(3)]
+    coefs, bias, together = fitted([0, 1, 2])
+    assert together == max(n for _, _, n in alone)
+    assert np.allclose(coefs, np.hstack([c for c, _, _ in alone]), atol=1e-6)
+    assert np.allclose(bias, np.concatenate([b for _, b, _ in alone]), atol=1e-6)
+
+
 def test_tag_without_rows_of_a_class(spark, data):
     vocab = spark.createDataFrame([(0, "term1"), (1, "unseen")], "idx int, tag string")
     model = training.fit_features(data.train)
