@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tagsieve.operators import labels, split
 from tagsieve.sources import sinks
 from tests import plain
+from workload import queries
 
 QUOTATION = "ref_pos bigint, quotation string, codes string"
 REVIEW = "seq bigint, quotation string, codes string"
@@ -206,3 +208,20 @@ def test_random_split_has_the_exact_size(spark):
     again = {r["row_id"] for r in split.random_split(rows.repartition(5)).filter("is_test").collect()}
     ordered = in_hash_order([(str(i), None) for i in range(1003)], 42)
     assert first == again == {row_id for row_id, _ in ordered[:201]}
+
+
+def test_untrained_tags_looks_at_every_training_row(spark, tmp_path):
+    """Rows of every language count; what only test rows carry is untrained."""
+    documents = [(i, f"text number {i}", "en" if i % 2 else "fr", f"s{i}", 10) for i in range(40)]
+    tables = {
+        "documents": spark.createDataFrame(documents, "doc_id bigint, text string, lang string, source string, n_chars bigint"),
+        "labels": spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id bigint, quality int, toxic int"),
+    }
+    for name, frame in tables.items():
+        frame.write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = {r["row_id"]: set(r["tags"]) for r in queries._tagged(spark, str(tmp_path)).collect()}
+    order = sorted(rows, key=lambda x: (hashlib.md5(f"42:{x}".encode()).hexdigest(), x))
+    trained = set().union(*(rows[x] for x in order[8:]))
+    found = {r["tag"] for r in queries.untrained_tags(spark, str(tmp_path)).collect()}
+    assert found == set().union(*rows.values()) - trained
+    assert len(found) == 8 and "fr" not in found
