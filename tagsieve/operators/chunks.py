@@ -15,13 +15,23 @@ from tagsieve import config
 from tagsieve.functions import text
 
 
+#: Parts that the reports of one split are dealt into. A few MB of text make some hundred MB of postings and pairs.
+_PARTS_OF_A_SPLIT = 32
+
+
 def dealt(reports: DataFrame) -> DataFrame:
     """(doc_id, nome, texto), dealt over the cluster by report.
 
     Cutting texts costs far more than moving them, and files may come in too few or too large
-    splits. All that reads the same reports shares this one exchange, whose parts adaptive
-    execution merges by their measured size, but not below the number of cores."""
-    return reports.select("doc_id", "nome", "texto").repartition("doc_id")
+    splits. All that reads the same reports shares this one exchange. What a task makes of a text is a hundred
+    times as large, so parts are counted by the splits of the table and stay as small when it grows: merged by the size of their
+    texts, they would not. Only a table in fewer splits than the cluster has cores is small enough for
+    adaptive execution to merge its parts, but not below the number of cores."""
+    texts = reports.select("doc_id", "nome", "texto")
+    splits = texts.rdd.getNumPartitions()
+    if splits < reports.sparkSession.sparkContext.defaultParallelism:
+        return texts.repartition("doc_id")
+    return texts.repartition(splits * _PARTS_OF_A_SPLIT, "doc_id")
 
 
 def spread(reports: DataFrame) -> DataFrame:

@@ -183,12 +183,20 @@ def candidates(
 
     (doc_id, arquivo, trecho_id, trecho, similaridade, quotation_referencia)
     """
+    # A list for each report meets the texts by report, as both lie; by report and chunk all texts would move again.
     quoted = chosen(reports, refs, threshold).join(refs.table, "ref_pos")
-    return report_chunks(dealt(reports)).join(quoted, KEYS).select(
+    entry = F.struct("trecho_id", "similaridade", "quotation")
+    found = quoted.groupBy("doc_id").agg(F.collect_list(entry).alias("found"))
+    cut = dealt(reports).join(found, "doc_id").select(
+        "doc_id", F.col("nome").alias("arquivo"), text.chunks(F.col("texto")).alias("pieces"), "found"
+    )
+    # a repeated report has the list of all its copies, and may have fewer chunks
+    listed = cut.select("doc_id", "arquivo", "pieces", F.explode_outer("found").alias("q")).select(
         "doc_id",
         "arquivo",
-        "trecho_id",
-        "trecho",
-        "similaridade",
-        F.col("quotation").alias("quotation_referencia"),
+        F.col("q.trecho_id").alias("trecho_id"),
+        F.get("pieces", F.col("q.trecho_id") - 1).alias("trecho"),
+        F.col("q.similaridade").alias("similaridade"),
+        F.col("q.quotation").alias("quotation_referencia"),
     )
+    return listed.filter("trecho is not null")

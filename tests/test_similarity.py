@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import random
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from tagsieve.operators import similarity
+from tagsieve.operators import chunks, similarity
 from tagsieve.plans import analyze
 from tests import plain
 
@@ -176,3 +177,31 @@ def test_the_session_keeps_its_settings(spark, case):
         assert after == before
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_parts_stay_small_when_the_table_grows(spark, case):
+    """A table of as many splits as cores is dealt into a number of parts that nothing merges."""
+    frame, refs, _ = case
+    cores = spark.sparkContext.defaultParallelism
+    texts = frame.repartition(cores).localCheckpoint()
+    assert chunks.dealt(texts).rdd.getNumPartitions() == cores * chunks._PARTS_OF_A_SPLIT
+    assert chunks.dealt(texts.coalesce(1)).rdd.getNumPartitions() <= cores
+    assert nearest(texts, refs) == nearest(texts.coalesce(1), refs)
+
+
+def test_texts_move_once(case):
+    """With quotations that are broadcast, candidates are found and cut where their reports lie."""
+    frame, refs, _ = case
+    small = {name: F.broadcast(getattr(refs, name)) for name in ("table", "postings", "frequencies", "moments")}
+    plan = similarity.candidates(frame, replace(refs, **small))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and not re.search(r"hashpartitioning\(doc_id#\w+, trecho_id", plan)
+
+
+def test_copies_of_a_report_of_different_length(spark):
+    text = "first words which fill a chunk of their own here"
+    reports = spark.createDataFrame(
+        [(1, "a", f"{text}\n\nsecond {text}"), (1, "b", text), (None, "c", text)], "doc_id bigint, nome string, texto string"
+    )
+    refs = similarity.prepare_references(spark.createDataFrame([(1, "first words")], "ref_pos bigint, quotation string"))
+    found = sorted((r["arquivo"], r["trecho_id"], r["trecho"]) for r in similarity.candidates(reports, refs, 0.01).collect())
+    assert found == [("a", 1, text), ("a", 2, f"second {text}"), ("b", 1, text)]
