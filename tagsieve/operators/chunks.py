@@ -23,7 +23,7 @@ def dealt(reports: DataFrame) -> DataFrame:
     """(doc_id, nome, texto), dealt over the cluster by report.
 
     Cutting texts costs far more than moving them, and files may come in too few or too large
-    splits. All that reads the same reports shares this one exchange. What a task makes of a text is a hundred
+    splits. What reads them in the same way shares the exchange. What a task makes of a text is a hundred
     times as large, so parts are counted by the splits of the table and stay as small when it grows: merged by the size of their
     texts, they would not. Only a table in fewer splits than the cluster has cores is small enough for
     adaptive execution to merge its parts, but not below the number of cores."""

@@ -183,7 +183,7 @@ def candidates(
 
     (doc_id, arquivo, trecho_id, trecho, similaridade, quotation_referencia)
     """
-    # A list for each report meets the texts by report, as both lie; by report and chunk all texts would move again.
+    # A list for each report meets the texts by report, as both lie; by report and chunk both would be dealt again.
     quoted = chosen(reports, refs, threshold).join(refs.table, "ref_pos")
     entry = F.struct("trecho_id", "similaridade", "quotation")
     found = quoted.groupBy("doc_id").agg(F.collect_list(entry).alias("found"))
