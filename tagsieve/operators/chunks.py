@@ -15,8 +15,9 @@ from tagsieve import config
 from tagsieve.functions import text
 
 
-#: Parts that the reports of one split are dealt into. A few MB of text make some hundred MB of postings and pairs.
-_PARTS_OF_A_SPLIT = 32
+#: Parts that the reports of one split are dealt into, and the text that a part holds at most. Text makes some hundred
+#: times its size of postings and pairs.
+_PARTS_OF_A_SPLIT, _PART_BYTES = 32, 2 << 20
 
 
 def dealt(reports: DataFrame) -> DataFrame:
@@ -24,14 +25,17 @@ def dealt(reports: DataFrame) -> DataFrame:
 
     Cutting texts costs far more than moving them, and files may come in too few or too large
     splits. What reads them in the same way shares the exchange. What a task makes of a text is a hundred
-    times as large, so parts are counted by the splits of the table and stay as small when it grows: merged by the size of their
-    texts, they would not. Only a table in fewer splits than the cluster has cores is small enough for
-    adaptive execution to merge its parts, but not below the number of cores."""
+    times as large, so parts are counted by the splits of the table and by the measured size of its texts, and stay as
+    small when it grows: a table ten times as large may have as many splits. Only a table that is small, or has texts
+    for fewer parts than the cluster has cores and fewer splits, is left to adaptive execution, which may merge its parts."""
     texts = reports.select("doc_id", "nome", "texto")
+    cores = reports.sparkSession.sparkContext.defaultParallelism
+    size = reports.agg(F.sum(F.octet_length("texto").cast("bigint"))).first()[0]
+    parts = -(-(size or 0) // _PART_BYTES)
     splits = texts.rdd.getNumPartitions()
-    if splits < reports.sparkSession.sparkContext.defaultParallelism:
-        return texts.repartition("doc_id")
-    return texts.repartition(splits * _PARTS_OF_A_SPLIT, "doc_id")
+    if splits >= cores:
+        parts = max(parts, splits * _PARTS_OF_A_SPLIT)
+    return texts.repartition(parts, "doc_id") if parts >= cores else texts.repartition("doc_id")
 
 
 def spread(reports: DataFrame) -> DataFrame:

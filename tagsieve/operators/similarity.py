@@ -12,9 +12,9 @@ terms it shares with the quotation. The same joined rows give the dot products,
 corpus is walked once.
 
 One plan serves every size. Texts are dealt over the cluster by report, once. Every later
-grouping is by report and something finer, so it stays in place. Joins with the quotations are
-left to the optimizer: it broadcasts them by size, and where they are too large it splits a
-term or a quotation that most rows share.
+grouping is by report and something finer, so it stays in place. Quotations of a measured, small size are
+broadcast whatever the session's threshold: with them in a sorted join all postings and all pairs would move. Joins
+with larger ones are left to the optimizer, which splits a term or a quotation that most rows share.
 """
 
 from __future__ import annotations
@@ -44,9 +44,13 @@ class References:
 
 
 def prepare_references(quotations: DataFrame) -> References:
-    """Index (ref_pos, quotation); quotations without text are left out. One small job counts them."""
+    """Index (ref_pos, quotation); quotations without text are left out. One small job counts them.
+
+    A posting takes at least four characters, and counts as six numbers, so quotations of a known size
+    have a known index; of at most ``BROADCAST_CELLS`` numbers it is broadcast, any other is not."""
     table = quotations.filter(text.present(F.col("quotation"))).select("ref_pos", "quotation")
-    size = table.agg(F.count(F.lit(1)).alias("n"), F.min("ref_pos").alias("first")).first()
+    length = F.sum(F.octet_length("quotation").cast("bigint") + 1)
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.min("ref_pos").alias("first"), length.alias("length")).first()
     postings = term_counts(table, ["ref_pos"], "quotation").withColumnRenamed("tf", "ref_tf")
     frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df_ref"))
     log_df = F.log(1.0 + F.col("df_ref"))
@@ -60,7 +64,10 @@ def prepare_references(quotations: DataFrame) -> References:
             F.sum(square * log_df * log_df).alias("m2"),
         )
     )
-    return References(table, postings, frequencies, moments, size["n"], size["first"])
+    tables = [table, postings, frequencies, moments]
+    if (size["length"] or 0) * 6 <= config.BROADCAST_CELLS * 4:
+        tables = [F.broadcast(x) for x in tables]
+    return References(*tables, size["n"], size["first"])
 
 
 def term_idf(reports: DataFrame, refs: References) -> DataFrame:
@@ -187,9 +194,10 @@ def candidates(
     quoted = chosen(reports, refs, threshold).join(refs.table, "ref_pos")
     entry = F.struct("trecho_id", "similaridade", "quotation")
     found = quoted.groupBy("doc_id").agg(F.collect_list(entry).alias("found"))
-    cut = dealt(reports).join(found, "doc_id").select(
-        "doc_id", F.col("nome").alias("arquivo"), text.chunks(F.col("texto")).alias("pieces"), "found"
-    )
+    # Never null: else the optimizer would cut every text once more for a filter on its pieces below
+    # the exchange, and the two branches would not share that.
+    pieces = F.coalesce(text.chunks(F.col("texto")), F.array().cast("array<string>"))
+    cut = dealt(reports).join(found, "doc_id").select("doc_id", F.col("nome").alias("arquivo"), pieces.alias("pieces"), "found")
     # a repeated report has the list of all its copies, and may have fewer chunks
     listed = cut.select("doc_id", "arquivo", "pieces", F.explode_outer("found").alias("q")).select(
         "doc_id",

@@ -205,3 +205,69 @@ def test_copies_of_a_report_of_different_length(spark):
     refs = similarity.prepare_references(spark.createDataFrame([(1, "first words")], "ref_pos bigint, quotation string"))
     found = sorted((r["arquivo"], r["trecho_id"], r["trecho"]) for r in similarity.candidates(reports, refs, 0.01).collect())
     assert found == [("a", 1, text), ("a", 2, f"second {text}"), ("b", 1, text)]
+
+
+def without_broadcasts(spark, plan):
+    """What ``plan`` returns in a session that broadcasts nothing by itself."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return plan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_postings_and_pairs_stay_in_place_at_any_broadcast_threshold(spark, case):
+    frame, refs, _ = case
+    for make in (similarity.candidates, similarity.similarity_pairs, similarity.chosen):
+        plan = without_broadcasts(spark, lambda: make(frame, refs)._jdf.queryExecution().executedPlan().toString())
+        assert "hashpartitioning(doc_id" in plan and not re.search(r"hashpartitioning\(doc_id#\w+, [a-z]", plan)
+        # the only sorted joins: texts with their lists, and the index of the quotations itself
+        assert len(re.findall("SortMergeJoin", plan)) <= 2
+
+
+def test_quotations_of_a_large_size_are_not_broadcast(spark, case, monkeypatch):
+    frame, refs, _ = case
+    monkeypatch.setattr(similarity.config, "BROADCAST_CELLS", 10)
+    quotations = spark.createDataFrame(refs.table.collect(), refs.table.schema)
+    large = similarity.prepare_references(quotations)
+    plan = without_broadcasts(spark, lambda: similarity.similarity_pairs(frame, large)._jdf.queryExecution().executedPlan().toString())
+    assert "Broadcast" not in plan
+    got, wanted = nearest(frame, large), nearest(frame, refs)
+    assert got.keys() == wanted.keys()
+    assert all(got[key] == (pytest.approx(sim, abs=1e-9), pos) for key, (sim, pos) in wanted.items())
+
+
+def test_parts_are_counted_by_the_size_of_texts(spark, case, monkeypatch):
+    """A table in one split, too, is dealt into as many parts as its texts ask for."""
+    frame, refs, _ = case
+    monkeypatch.setattr(chunks, "_PART_BYTES", 1000)
+    size = sum(len(row["texto"].encode()) for row in frame.collect())
+    one = frame.coalesce(1)
+    assert size > 8000
+    assert chunks.dealt(one).rdd.getNumPartitions() == -(-size // 1000)
+    assert nearest(one, refs) == nearest(frame, refs)
+
+
+def test_parts_of_texts_that_are_missing(spark):
+    reports = spark.createDataFrame([(1, "a", None), (2, "b", "")], "doc_id bigint, nome string, texto string")
+    refs = similarity.prepare_references(spark.createDataFrame([(1, "first words")], "ref_pos bigint, quotation string"))
+    for frame in (reports, reports.limit(0)):
+        assert similarity.candidates(frame, refs).collect() == nearest_rows(frame, refs) == []
+
+
+def nearest_rows(frame, refs):
+    return similarity.nearest_reference(frame, refs).collect()
+
+
+def test_texts_are_cut_behind_their_exchange_only(spark, case, tmp_path):
+    """Texts of a file, whose columns may be null: no filter below the exchange cuts them, so both branches share it."""
+    frame, refs, _ = case
+    frame.write.parquet(str(tmp_path / "reports"))
+    read = spark.read.parquet(str(tmp_path / "reports"))
+    found = similarity.candidates(read, refs)
+    optimized = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in optimized.split("\n") if "Filter" in line and "split(texto" in line]
+    plan = final_plan(found)
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning(doc_id" in line]
+    assert len([line for line in moved if "ReusedExchange" not in line]) == 1 and len(moved) == 2
