@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tagsieve import config
 from tagsieve.functions import text
-from tagsieve.operators.chunks import dealt, report_chunks, term_counts
+from tagsieve.operators.chunks import dealt, report_chunks, spread, term_counts
 
 KEYS = ["doc_id", "trecho_id"]
 
@@ -157,11 +157,12 @@ def _best(pairs: DataFrame) -> DataFrame:
 
 def nearest_reference(reports: DataFrame, refs: References) -> DataFrame:
     """(doc_id, trecho_id, sim, ref_pos) for every chunk; a chunk that shares no
-    term with any quotation gets 0 and the first quotation."""
+    term with any quotation gets 0 and the first quotation. Only numbers of chunks meet: the texts of this
+    branch are cut where they lie."""
     best = _best(similarity_pairs(reports, refs))
     first = F.lit(refs.first).cast("bigint")
     return (
-        report_chunks(dealt(reports))
+        report_chunks(spread(reports.select("doc_id", "nome", "texto")))
         .select(*KEYS)
         .join(best, KEYS, "left")
         .select(*KEYS, F.coalesce("sim", F.lit(0.0)).alias("sim"), F.coalesce("ref_pos", first).alias("ref_pos"))

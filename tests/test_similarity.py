@@ -271,3 +271,9 @@ def test_texts_are_cut_behind_their_exchange_only(spark, case, tmp_path):
     plan = final_plan(found)
     moved = [line for line in plan.split("\n") if "Exchange hashpartitioning(doc_id" in line]
     assert len([line for line in moved if "ReusedExchange" not in line]) == 1 and len(moved) == 2
+
+
+def test_nearest_reference_moves_texts_once(case):
+    frame, refs, _ = case
+    plan = similarity.nearest_reference(frame, refs)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("RepartitionByExpression", plan)) == 1
