@@ -26,16 +26,17 @@ def dealt(reports: DataFrame) -> DataFrame:
     Cutting texts costs far more than moving them, and files may come in too few or too large
     splits. What reads them in the same way shares the exchange. What a task makes of a text is a hundred
     times as large, so parts are counted by the splits of the table and by the measured size of its texts, and stay as
-    small when it grows: a table ten times as large may have as many splits. Only a table that is small, or has texts
-    for fewer parts than the cluster has cores and fewer splits, is left to adaptive execution, which may merge its parts."""
+    small when it grows: a table ten times as large may have as many splits. There are at least as many parts as the
+    cluster has cores. Their number is always given: adaptive execution may merge parts up to its advisory size of texts in
+    one task, and what a task makes of 64 MB of text does not fit its memory."""
     texts = reports.select("doc_id", "nome", "texto")
     cores = reports.sparkSession.sparkContext.defaultParallelism
     size = reports.agg(F.sum(F.octet_length("texto").cast("bigint"))).first()[0]
-    parts = -(-(size or 0) // _PART_BYTES)
+    parts = max(-(-(size or 0) // _PART_BYTES), cores)
     splits = texts.rdd.getNumPartitions()
     if splits >= cores:
         parts = max(parts, splits * _PARTS_OF_A_SPLIT)
-    return texts.repartition(parts, "doc_id") if parts >= cores else texts.repartition("doc_id")
+    return texts.repartition(parts, "doc_id")
 
 
 def spread(reports: DataFrame) -> DataFrame:

@@ -249,6 +249,22 @@ def test_parts_are_counted_by_the_size_of_texts(spark, case, monkeypatch):
     assert nearest(one, refs) == nearest(frame, refs)
 
 
+def test_parts_of_a_small_table_are_not_merged(spark, case):
+    """Merged up to the advisory size, all texts for fewer parts than cores would be cut and paired in one task."""
+    frame, refs, _ = case
+    merging = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(merging)
+    spark.conf.set(merging, "false")
+    try:
+        dealt = chunks.dealt(frame.coalesce(1))
+        held = dealt.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()
+        assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+        assert len(held) > 1 and sum(row["n"] for row in held) == frame.count()
+        assert nearest(frame.coalesce(1), refs) == nearest(frame, refs)
+    finally:
+        spark.conf.set(merging, before)
+
+
 def test_parts_of_texts_that_are_missing(spark):
     reports = spark.createDataFrame([(1, "a", None), (2, "b", "")], "doc_id bigint, nome string, texto string")
     refs = similarity.prepare_references(spark.createDataFrame([(1, "first words")], "ref_pos bigint, quotation string"))
