@@ -81,3 +81,32 @@ def test_bounds_skip_pages():
     scores = points @ q
     best = sorted(((-int(s), i) for i, s in enumerate(scores) if i != 7))[:5]
     assert copy.search(q, 7, 5, None) == [(-s, i) for s, i in best]
+
+
+@pytest.mark.parametrize("scale", [256, 1 << 20, 1 << 28])
+def test_queries_go_down_together_exactly(scale, monkeypatch):
+    monkeypatch.setattr(mtree, "TOGETHER", 30)
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(3000, 16))
+    points = np.floor(scale * points / np.linalg.norm(points, axis=1)[:, None]).astype(np.int64)
+    points[:40] = points[7]
+    ids = rng.permutation(3000) // 2
+    tree = mtree.Tree.load(mtree.Tree(ids, points, float((points**2).sum(1).max())).dump())
+    queries, own = points[:100], ids[:100]
+    bounds = np.sort(points @ queries.T, axis=0)[-4].copy()
+    bounds[::3] = np.iinfo(np.int64).min
+    place, score, found = tree.search_all(queries, own, 5, bounds)
+    for j in range(100):
+        scores = points @ queries[j]
+        best = sorted((-int(s), int(i)) for s, i in zip(scores, ids) if i != own[j] and s >= bounds[j])[:5]
+        assert [(-int(s), int(i)) for s, i in zip(score[place == j], found[place == j])] == best
+
+
+def test_trees_are_stored_small_and_few_in_a_file(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    points = np.floor(256 * rng.normal(size=(2000, 64)))
+    tree = mtree.Tree(np.arange(2000), points.astype(np.int64), float((points**2).sum(1).max()))
+    assert len(tree.dump()) < 2000 * 64 * 4
+    monkeypatch.setattr(mtree, "TREES_IN_FILE", 3)
+    rows = mtree._stored_trees(spark.range(10, numPartitions=1).selectExpr("string(id) tree", "1 pivot", "binary('x') pages"))
+    assert rows.count() == 10 and len(rows.inputFiles()) == 4
