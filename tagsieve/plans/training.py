@@ -135,9 +135,25 @@ def fit_features(train: DataFrame, limit: int = config.TFIDF_MAX_TERMS, column:
 
     The vocabulary, at most ``limit`` terms, is the only thing the driver holds.
     """
+    counter = _counter(train, limit, column)
+    return _weighed(counter, _counted(counter, train, column))
+
+
+def _counter(train: DataFrame, limit: int, column: str) -> CountVectorizerModel:
     vocabulary = sorted(row["term"] for row in top_terms(train, limit, column).collect())
-    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="counts")
-    found = counter.transform(with_grams(train, column)).select(F.unwrap_udt("counts")["indices"].alias("found"))
+    return CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="counts")
+
+
+def _counted(counter: CountVectorizerModel, rows: DataFrame, column: str, *others: str) -> DataFrame:
+    """(indices, values, others...): how often the vocabulary's terms are in each row."""
+    counts = F.unwrap_udt("counts").alias("_c")
+    found = counter.transform(with_grams(rows.select(column, *others), column)).select(counts, *others)
+    return found.select(F.col("_c.indices").alias("indices"), F.col("_c.values").alias("values"), *others)
+
+
+def _weighed(counter: CountVectorizerModel, counted: DataFrame) -> PipelineModel:
+    """The vectorizer with weights from the counted rows."""
+    vocabulary, found = counter.vocabulary, counted.select(F.col("indices").alias("found"))
     # rows with each term, and all rows under -1: as many numbers as terms, added up in place
     each = found.select(F.explode_outer(F.concat(F.array(F.lit(-1)), "found")).alias("pos"))
     rows_with = {r["pos"]: r["n"] for r in each.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -159,6 +175,12 @@ def feature_rows(model: PipelineModel, rows: DataFrame, column: str = "quotation
     )
 
 
+def _tasks(spark: SparkSession, n_rows: int) -> int:
+    """Parts of the training rows: at least one for a core where rows are enough."""
+    cores = spark.sparkContext.defaultParallelism
+    return max(-(-n_rows // config.TRAIN_ROWS_PER_TASK), min(cores, -(-n_rows // 100)), 1)
+
+
 def fit_linear(
     train: DataFrame,
     vocab: DataFrame,
@@ -166,28 +188,25 @@ def fit_linear(
     column: str = "quotation",
     max_iter: int = config.LR_MAX_ITER,
     tolerance: float = config.LR_TOLERANCE,
+    counted: DataFrame | None = None,
 ) -> scoring.LinearModel:
-    """Balanced logistic regression for each tag of ``vocab`` from (row_id, quotation, tags)."""
+    """Balanced logistic regression for each tag of ``vocab`` from (row_id, quotation, tags). ``counted``, where it is
+    given, has (indices, values, tags) of the same rows, the counts of the vectorizer's terms."""
     tags = [row["tag"] for row in vocab.orderBy("idx").collect()]
     n_rows = train.count()
     counts = {row["tag"]: row["n"] for row in labels.tag_frequency(train).collect()}
-    vector = F.unwrap_udt("features")
     known = F.array(*[F.lit(tag) for tag in tags]).cast("array<string>")
     found = F.transform("tags", lambda tag: F.array_position(known, tag).cast("int") - 1)
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    tasks = max(-(-n_rows // config.TRAIN_ROWS_PER_TASK), min(cores, -(-n_rows // 100)), 1)
-    # dealt before the words are paired: only the texts move
-    rows = (
-        features.transform(with_grams(train.select(column, "tags").repartition(tasks), column))
-        .select(vector.alias("v"), F.filter(found, lambda i: i >= 0).alias("labels"))
-        .select(F.col("v.indices").alias("indices"), F.col("v.values").alias("values"), "labels")
-    )
+    if counted is None:
+        # dealt before the words are paired: only the texts move
+        dealt = train.select(column, "tags").repartition(_tasks(train.sparkSession, n_rows))
+        counted = _counted(features.stages[0], dealt, column, "tags")
+    rows = counted.select("indices", "values", F.filter(found, lambda i: i >= 0).alias("labels"))
     vocabulary = features.stages[0].vocabulary
     pos = np.array([counts.get(tag, 0) for tag in tags], dtype=float)
-    coefs, bias = logistic.fit(rows, len(vocabulary), n_rows, pos, max_iter, tolerance)
-    terms = pd.DataFrame(
-        {"term": vocabulary, "idf": features.stages[1].getScalingVec().toArray(), "coefs": coefs.tolist()}
-    )
+    idf = features.stages[1].getScalingVec().toArray()
+    coefs, bias = logistic.fit(rows, len(vocabulary), n_rows, pos, max_iter, tolerance, idf)
+    terms = pd.DataFrame({"term": vocabulary, "idf": idf, "coefs": coefs.tolist()})
     table = train.sparkSession.createDataFrame(terms, "term string, idf double, coefs array<double>")
     return scoring.LinearModel(tags, table, bias.tolist(), len(vocabulary))
 
@@ -306,8 +325,12 @@ def train_and_report(
     """
     prepared = training_set(quotations, reviews, min_count, test_size, seed)
     data = TrainingSet(stored(prepared.rows), stored(prepared.vocab), prepared.frequencies, prepared.removed)
-    features = fit_features(data.train, max_terms)
-    model = fit_linear(data.train, data.vocab, features)
+    # texts are cut twice: for the vocabulary, and once dealt for the counts that weights and training both need
+    counter = _counter(data.train, max_terms, "quotation")
+    dealt = data.train.select("quotation", "tags").repartition(_tasks(quotations.sparkSession, data.train.count()))
+    counted = stored(_counted(counter, dealt, "quotation", "tags"))
+    features = _weighed(counter, counted)
+    model = fit_linear(data.train, data.vocab, features, counted=counted)
     paths = save_model(model, folder, features)
     paths |= sinks.write_label_tables(folder, data.vocab, data.frequencies, data.removed)
     paths |= {"avaliacao": f"{folder}/avaliacao", "metricas": f"{folder}/metricas"}

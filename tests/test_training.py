@@ -196,3 +196,56 @@ def test_optimality_tells_good_coefficients_from_others(spark, data):
     other = type(model)(model.tags, moved, model.intercepts)
     verdicts = {r["tag"]: r["optimal"] for r in training.optimality(data.train, data.vocab, other, 1e-5).collect()}
     assert verdicts == {"none": True, "term1": False, "term2": True, "term3": True}
+
+
+def zipf_rows(spark, n=400, terms=300):
+    """(indices, values, labels) of unit length; few terms are in nearly all rows, most in a few."""
+    rng = np.random.default_rng(12)
+    share = 0.9 / np.arange(1, terms + 1) ** 0.8
+    x = np.where(rng.random((n, terms)) < share, 1.0, 0.0) * (1.0 - np.log(share))
+    x[:3] = 0.0
+    x /= np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-9)[:, None]
+    truth = x @ rng.normal(size=(terms, 4)) + rng.normal(size=(n, 4)) * 0.3 > np.array([0.0, 0.5, -0.5, 1.0])
+    rows = []
+    for values, found in zip(x, truth):
+        at = np.flatnonzero(values)
+        rows.append((at.tolist(), values[at].tolist(), np.flatnonzero(found).tolist()))
+    frame = spark.createDataFrame(rows, "indices array<int>, values array<double>, labels array<int>").coalesce(2)
+    return frame, n, terms, truth.sum(axis=0).astype(float)
+
+
+def test_common_terms_do_not_hold_the_search_up(spark, monkeypatch):
+    frame, n, terms, pos = zipf_rows(spark)
+    passes, evaluate = [], logistic._evaluate
+
+    def counting(*args):
+        at = evaluate(*args)
+        return lambda point, live: passes.append(len(live)) or at(point, live)
+
+    monkeypatch.setattr(logistic, "_evaluate", counting)
+    logistic.fit(frame, terms, n, pos, 500, 1e-5)
+    assert len(passes) < 21  # 28 in plain coordinates
+
+
+def test_blocks_and_pieces_of_any_size_give_the_same_fit(spark, monkeypatch):
+    frame, n, terms, pos = zipf_rows(spark)
+    coefs, bias = logistic.fit(frame, terms, n, pos, 500, 1e-9)
+    for name, value in {"_BLOCK_ROWS": 37, "_BLOCK_VALUES": 100, "_PIECE": 16}.items():
+        monkeypatch.setattr(logistic, name, value)
+    small_coefs, small_bias = logistic.fit(frame, terms, n, pos, 500, 1e-9)
+    assert np.allclose(coefs, small_coefs, atol=1e-5) and np.allclose(bias, small_bias, atol=1e-5)
+    blocks = frame.mapInArrow(logistic._packer(37, 100, None), logistic._BLOCK).collect()
+    sizes = [np.frombuffer(b["sizes"], np.int64) for b in blocks]
+    assert sum(map(len, sizes)) == n and all(len(s) == 1 or (len(s) <= 37 and s.sum() <= 100) for s in sizes)
+
+
+def test_counts_made_once_serve_weights_and_training(spark, data):
+    features = training.fit_features(data.train, limit=60)
+    counted = training._counted(features.stages[0], data.train, "quotation", "tags")
+    again = training._weighed(features.stages[0], counted)
+    assert again.stages[1].getScalingVec() == features.stages[1].getScalingVec()
+    one = training.fit_linear(data.train, data.vocab, features, tolerance=1e-9)
+    two = training.fit_linear(data.train, data.vocab, features, tolerance=1e-9, counted=counted)
+    assert one.tags == two.tags and np.allclose(one.intercepts, two.intercepts, atol=1e-6)
+    first, second = ({r["term"]: r["coefs"] for r in m.terms.collect()} for m in (one, two))
+    assert first.keys() == second.keys() and all(np.allclose(first[t], second[t], atol=1e-6) for t in first)
